@@ -1,0 +1 @@
+"""Packet-flow fairness analytics as PySpark jobs."""
