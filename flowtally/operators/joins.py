@@ -97,15 +97,16 @@ def find_bound(rows: DataFrame, probes: DataFrame, key: list[str], value: str, t
     Unknown values are skipped; a key without rows gives NULL.
     """
     sizes = rows.groupBy(*key).agg(F.max("idx").alias("_last"))
-    side = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), "idx", F.lit(None).cast("long").alias("_probe"))
-    asks = probes.withColumn("_probe", F.monotonically_increasing_id())
-    union = side.unionByName(asks.select(*key, F.col(target).cast("double").alias("_v"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("idx"), "_probe"))
-    # Values at the target come after the probe, so the next value is the first at or past it.
+    # Each probe travels whole through the union, so nothing has to be joined back.
+    columns = probes.columns
+    asks = probes.select(*key, F.col(target).cast("double").alias("_v"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("idx"), F.struct(*columns).alias("_row"))
+    side = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), F.col("idx").cast("long").alias("idx"), F.lit(None).cast(asks.schema["_row"].dataType).alias("_row"))
+    # Values at the target come before the probe here, so the least index so far is the first at or past it.
     w = Window.partitionBy(*key).orderBy(F.desc("_v"), F.desc("_kind"), F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = union.withColumn("_next", F.min("idx").over(w)).where("_kind = 0").select("_probe", "_next")
-    out = asks.join(ahead, "_probe", "left").join(sizes, key, "left")
+    ahead = side.unionByName(asks).withColumn("_next", F.min("idx").over(w)).where("_kind = 0").select("_row.*", "_next")
+    out = ahead.join(sizes, key, "left")
     bound = F.least(F.coalesce("_next", "_last"), "_last") if direction == "after" else F.coalesce(F.greatest(F.col("_next") - 1, F.lit(0)), F.col("_last"))
-    return out.withColumn("bound", F.when(F.col("_last").isNotNull(), bound)).drop("_probe", "_next", "_last")
+    return out.withColumn("bound", F.when(F.col("_last").isNotNull(), bound)).select(*columns, "bound")
 
 
 def pair_experiments(experiments: DataFrame, flag: str = "unfair") -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from flowtally.sources.shared import stored
+
 # Upper ends of the condition classes (bandwidth in Mbit/s, RTT in us, queue in BDP).
 CONDITIONS = {"bw_mbps": [1.0, 10.0, 30.0, 50.0, 1000.0], "rtt_us": [1e3, 1e4, 1e5, 1e6], "queue_bdp": [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]}
 
@@ -55,10 +57,12 @@ def accuracy_by(rows: DataFrame, label: str, predicted: str, by: list[str]) -> D
 def global_row_numbers(rows: DataFrame, order: list[str | Column], name: str = "rn") -> DataFrame:
     """Adds row numbers from 0 in a global order without sending all rows to one task.
 
-    Rows are range-partitioned and sorted; partitions are counted, and a row's number is
-    the rows before its partition plus its place in it.
+    Rows are range-partitioned, sorted and stored with their place; partitions are
+    counted, and a row's number is the rows before its partition plus its place in it.
+    Storing matters: a second run of the range partitioning may cut elsewhere.
     """
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = stored(ordered, "ordered")
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

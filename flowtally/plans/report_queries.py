@@ -130,9 +130,9 @@ def d15_bottleneck_change(spark, sf_dir):
 
 
 @query(f"""WITH {ORACLE_PACKETS}, days AS (SELECT {KEY}, CAST(floor(arrival_us / 86400000000) AS BIGINT) AS x, CAST(sum(wire_b) AS DOUBLE) AS y FROM data GROUP BY ALL),
-g AS (SELECT exp_id, sender_port, receiver_port, CAST(floor(arrival_us / 86400000000) AS BIGINT) + 0.5 AS at FROM data GROUP BY ALL),
-m AS (SELECT g.*, (SELECT max(x) FROM days d WHERE d.sender_port = g.sender_port AND d.exp_id = g.exp_id AND x <= at) AS xb, (SELECT min(x) FROM days d WHERE d.sender_port = g.sender_port AND d.exp_id = g.exp_id AND x >= at) AS xa FROM g)
-SELECT m.exp_id, m.sender_port, m.receiver_port, CAST(at AS DOUBLE) AS at, round(CASE WHEN xb IS NULL THEN a.y WHEN xa IS NULL THEN b.y ELSE b.y + (at - xb) / (xa - xb) * (a.y - b.y) END, 6) AS y
+g AS (SELECT exp_id, sender_port, receiver_port, CAST(floor(arrival_us / 86400000000) AS BIGINT) + 0.5 AS pos FROM data GROUP BY ALL),
+m AS (SELECT g.*, (SELECT max(x) FROM days d WHERE d.sender_port = g.sender_port AND d.exp_id = g.exp_id AND x <= pos) AS xb, (SELECT min(x) FROM days d WHERE d.sender_port = g.sender_port AND d.exp_id = g.exp_id AND x >= pos) AS xa FROM g)
+SELECT m.exp_id, m.sender_port, m.receiver_port, CAST(pos AS DOUBLE) AS "at", round(CASE WHEN xb IS NULL THEN a.y WHEN xa IS NULL THEN b.y ELSE b.y + (pos - xb) / (xa - xb) * (a.y - b.y) END, 6) AS y
 FROM m LEFT JOIN days b ON b.exp_id = m.exp_id AND b.sender_port = m.sender_port AND b.x = xb LEFT JOIN days a ON a.exp_id = m.exp_id AND a.sender_port = m.sender_port AND a.x = xa""")
 def h6_interpolate(spark, sf_dir):
     day = F.floor(F.col("arrival_us") / DAY_US)

@@ -22,8 +22,9 @@ SMOOTHING, IDLE_S, ACTIVE_S = 10, 60, 5
 
 def packet_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table as a stream of received packets with event time ``ts``."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A pattern, since a streaming source takes folders or patterns but no single file.
+    path = f"{sf_dir}/event[s].parquet"
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return raw.select(
         F.col("ts").cast("timestamp").alias("ts"),
