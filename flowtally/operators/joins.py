@@ -105,7 +105,7 @@ def find_bound(rows: DataFrame, probes: DataFrame, key: list[str], value: str, t
     w = Window.partitionBy(*key).orderBy(F.desc("_v"), F.desc("_kind"), F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = side.unionByName(asks).withColumn("_next", F.min("idx").over(w)).where("_kind = 0").select("_row.*", "_next")
     out = ahead.join(sizes, key, "left")
-    bound = F.least(F.coalesce("_next", "_last"), "_last") if direction == "after" else F.coalesce(F.greatest(F.col("_next") - 1, F.lit(0)), F.col("_last"))
+    bound = F.least(F.coalesce("_next", "_last"), "_last") if direction == "after" else F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next") - 1, F.lit(0))).otherwise(F.col("_last"))
     return out.withColumn("bound", F.when(F.col("_last").isNotNull(), bound)).select(*columns, "bound")
 
 

@@ -313,7 +313,7 @@ def g12_feature_selection(spark, sf_dir):
 # Bounds, schedules, key sets ----------------------------------------------------------
 
 
-@query(f"WITH {ORACLE_PACKETS}, p AS (SELECT {KEY}, pkt_idx, arrival_us - 3600000000 AS target FROM data), n AS (SELECT {KEY}, max(pkt_idx) AS last FROM data GROUP BY {KEY}), nx AS (SELECT p.exp_id, p.sender_port, p.receiver_port, p.pkt_idx, min(d.pkt_idx) AS nxt FROM p LEFT JOIN data d ON d.exp_id = p.exp_id AND d.sender_port = p.sender_port AND d.arrival_us >= p.target GROUP BY ALL) SELECT exp_id, sender_port, receiver_port, pkt_idx, least(coalesce(nxt, last), last) AS after_idx, coalesce(greatest(nxt - 1, 0), last) AS before_idx FROM nx JOIN n USING (exp_id, sender_port, receiver_port)")
+@query(f"WITH {ORACLE_PACKETS}, p AS (SELECT {KEY}, pkt_idx, arrival_us - 3600000000 AS target FROM data), n AS (SELECT {KEY}, max(pkt_idx) AS last FROM data GROUP BY {KEY}), nx AS (SELECT p.exp_id, p.sender_port, p.receiver_port, p.pkt_idx, min(d.pkt_idx) AS nxt FROM p LEFT JOIN data d ON d.exp_id = p.exp_id AND d.sender_port = p.sender_port AND d.arrival_us >= p.target GROUP BY ALL) SELECT exp_id, sender_port, receiver_port, pkt_idx, least(coalesce(nxt, last), last) AS after_idx, CASE WHEN nxt IS NULL THEN last ELSE greatest(nxt - 1, 0) END AS before_idx FROM nx JOIN n USING (exp_id, sender_port, receiver_port)")
 def h2_find_bound(spark, sf_dir):
     data = data_packets(spark, sf_dir)
     rows = data.select(*FLOW, F.col("pkt_idx").alias("idx"), "arrival_us")
