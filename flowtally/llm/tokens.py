@@ -4,7 +4,7 @@ A BPE model never merges across the borders that its own pre-tokenizer draws.  E
 distinct pre-token is therefore given to the library's model once per Python worker
 and its ids are reused; the ids of a text are those of its pre-tokens in order.
 Texts whose normal form could move a border (added tokens, combining marks, letters
-whose lower case is longer or depends on its place) are given to the library whole.
+whose lower case is longer or depends on its place, unassigned characters) are given to the library whole.
 """
 
 from __future__ import annotations
@@ -97,13 +97,14 @@ class PieceEncoder:
         latin, general = _SPACED if self.keeps_spaces else _WORDS
         if text.isascii():
             return latin.findall(text if self.keeps_spaces else text.lower())
-        if self.keeps_spaces:
-            return (general if _BEYOND.search(text) else latin).findall(text)
-        if "İ" in text:
-            return None
         if not _BEYOND.search(text):
-            return latin.findall(text)
-        return general.findall(text) if unicodedata.is_normalized("NFC", text) and "Σ" not in text else None
+            return latin.findall(text) if self.keeps_spaces or "İ" not in text else None
+        # Tables of characters differ in what they make of unassigned ones.
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return None
+        if self.keeps_spaces:
+            return general.findall(text)
+        return general.findall(text) if unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of all texts, and the number of ids of each."""

@@ -32,6 +32,7 @@ def same(coder, texts):
 def test_odd_texts(coder):
     same(coder, ODD)
     same(coder, ODD[::-1])
+    same(coder, [":\U0003d000", "a\u0558b", ":\u0558"])
 
 
 @settings(max_examples=150, deadline=None)
