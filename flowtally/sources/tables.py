@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 FLOW = ["exp_id", "sender_port", "receiver_port"]
 PACKET_ORDER = ["arrival_us", "pkt_idx"]
-BANDWIDTHS = [(0, 1e-3, True), (1, 2e-3, True), (2, 5e-4, True), (3, 4e-3, True), (4, 1e-3, False)]
+BANDWIDTHS = [(0, 50.0, True), (1, 100.0, True), (2, 20.0, True), (3, 200.0, True), (4, 50.0, False)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,4 @@ data AS (SELECT exp_id, sender_port, receiver_port, sender_id, pkt_idx, CASE WHE
   arrival_us, tsecr, payload_b, payload_b + 66 AS wire_b, (k + 1) * 1000000000 AS gen_rtt_us, k FROM numbered),
 acks AS (SELECT exp_id, sender_port, receiver_port, tsecr AS tsval, arrival_us - gen_rtt_us AS ack_us,
   row_number() OVER (PARTITION BY exp_id, sender_port, receiver_port ORDER BY arrival_us - gen_rtt_us, tsecr) - 1 AS ack_idx FROM data WHERE k % 10 <> 0),
-bw(exp_id, bw_bps, use_bess) AS (VALUES (0, 1e-3::DOUBLE, true), (1, 2e-3::DOUBLE, true), (2, 5e-4::DOUBLE, true), (3, 4e-3::DOUBLE, true), (4, 1e-3::DOUBLE, false))"""
+bw(exp_id, bw_bps, use_bess) AS (VALUES (0, 50.0::DOUBLE, true), (1, 100.0::DOUBLE, true), (2, 20.0::DOUBLE, true), (3, 200.0::DOUBLE, true), (4, 50.0::DOUBLE, false))"""
