@@ -399,11 +399,8 @@ def a7_load_reports(spark, sf_dir):
     per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     end = F.struct(F.struct(F.col("s").alias("bits_per_second")).alias("sum_received"), F.struct(F.col("n").alias("retransmits"), F.lit(1.0).alias("start"), F.lit(5.0).alias("end")).alias("sum_sent"))
     per.select(F.to_json(F.struct(end.alias("end"))).alias("value")).repartition("value").write.text(path)
-    # One document per line here, so the multi-line reader is fed one array per file.
-    docs = spark.read.schema("end struct<sum_received: struct<bits_per_second: double>, sum_sent: struct<retransmits: double, start: double, `end`: double>, cpu_utilization_percent: struct<host_user: double>>").json(path)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    rows = docs.select(zero("end.sum_received.bits_per_second").alias("t"), (F.col("end.sum_sent.retransmits") / (F.col("end.sum_sent.end") - F.col("end.sum_sent.start"))).alias("r"), zero("end.cpu_utilization_percent.host_user").alias("c"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("t"), 3).alias("tput_bps"), F.round(F.sum("r"), 6).alias("retrans_per_s"), F.max("c").alias("cpu_host_user"))
+    rows = files.read_load_reports(spark, path, one_per_line=True)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tput_bps"), 3).alias("tput_bps"), F.round(F.sum("retrans_per_s"), 6).alias("retrans_per_s"), F.max("cpu_host_user").alias("cpu_host_user"))
 
 
 @query("WITH x AS (SELECT user_id, arg_max(value, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(v, 2) AS accuracy FROM x")

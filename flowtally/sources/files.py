@@ -93,14 +93,14 @@ def parse_skb_lengths(lines: DataFrame) -> DataFrame:
     return lines.where(F.contains(F.col("value"), F.lit("len,"))).select(F.get(F.split("value", ","), F.lit(2)).cast("int").alias("len"))
 
 
-def read_load_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Load-generator reports: throughput, retransmissions per second and CPU shares; missing fields are 0."""
+def read_load_reports(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Load-generator reports, one document per file or line: throughput, retransmissions per second and CPU shares; missing fields are 0."""
     cpu = ["host_total", "host_user", "host_system", "remote_total", "remote_user", "remote_system"]
     end = T.StructType.fromDDL("sum_received struct<bits_per_second: double>, sum_sent struct<retransmits: double, start: double, `end`: double>, cpu_utilization_percent struct<" + ", ".join(f"{c}: double" for c in cpu) + ">")
-    docs = spark.read.schema(T.StructType([T.StructField("end", end)])).option("multiLine", True).json(path)
+    docs = spark.read.schema(T.StructType([T.StructField("end", end)])).option("multiLine", not one_per_line).json(path)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     seconds = F.nullif(F.col("end.sum_sent.end") - F.col("end.sum_sent.start"), F.lit(0.0))
-    return docs.select(F.col("_metadata.file_name").alias("file"), zero("end.sum_received.bits_per_second").alias("tput_bps"), F.coalesce(F.col("end.sum_sent.retransmits") / seconds, F.lit(0.0)).alias("retrans_per_s"), *[zero(f"end.cpu_utilization_percent.{c}").alias(f"cpu_{c}") for c in cpu])
+    return docs.select(F.input_file_name().alias("file"), zero("end.sum_received.bits_per_second").alias("tput_bps"), F.coalesce(F.col("end.sum_sent.retransmits") / seconds, F.lit(0.0)).alias("retrans_per_s"), *[zero(f"end.cpu_utilization_percent.{c}").alias(f"cpu_{c}") for c in cpu])
 
 
 # The tags of a training log.
