@@ -12,7 +12,8 @@ more than ``GROUP_LIMIT`` packets.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtally.functions.registry import WINDOWS
@@ -29,43 +30,52 @@ def _pick(packets: DataFrame, key: list[str], method: str) -> str:
     return "builtin" if most > GROUP_LIMIT else "vectorised"
 
 
-def window_starts(packets: DataFrame, windows: list[int] = WINDOWS, key: list[str] = FLOW, idx: str = "pkt_idx", width: str = "min_rtt_us", method: str = "auto", forward_only: bool = False) -> DataFrame:
+def window_starts(packets: DataFrame, windows: list[int] = WINDOWS, key: list[str] = FLOW, idx: str = "pkt_idx", width: str = "min_rtt_us", method: str = "auto", forward_only: bool = False, carry: list[str] = []) -> DataFrame:
     """Adds s_w<k>: the index of the first packet with arrival >= own arrival - k * width, at most the index before; NULL for the first.
 
     ``idx`` numbers the packets of a key from 0 in time order.  With ``forward_only`` the
     start never moves back along the key (needed where widths of several flows mix).
+    Columns in ``carry`` are added as they are at the start: <column>_at_w<k>.
+
+    The vectorised form passes rows through one grouped map, so it needs the shuffle on
+    the key and no join; the built-in form joins its starts back on (key, idx).
     """
     names = [f"s_w{k}" for k in windows]
-    narrow = packets.select(*key, idx, "arrival_us", width)
     if _pick(packets, key, method) == "vectorised":
+        columns, kinds = packets.columns, dict(packets.dtypes)
 
-        def search(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(idx, kind="stable")
-            t, w, n = group["arrival_us"].to_numpy(np.float64), group[width].to_numpy(np.float64), len(group)
-            out = group[[*key, idx]].copy()
+        def search(table: pa.Table) -> pa.Table:
+            table = table.take(pc.sort_indices(table, sort_keys=[(idx, "ascending")])).combine_chunks()
+            t, w, n = table["arrival_us"].to_numpy().astype(np.float64), table[width].to_numpy().astype(np.float64), table.num_rows
             for k, name in zip(windows, names):
                 start = np.minimum(np.searchsorted(t, t - k * w, "left"), np.maximum(np.arange(n) - 1, 0))
                 start = np.maximum.accumulate(start) if forward_only else start
-                out[name] = pd.array(start, dtype="Int64")
-                out.loc[out[idx] == 0, name] = pd.NA
-            return out
-
-        kinds = {f.name: f.dataType.simpleString() for f in packets.schema}
-        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*key, idx]), *(f"{n} long" for n in names)])
-        starts = narrow.groupBy(*key).applyInPandas(search, schema)
-    else:
-        probe = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("arrival_us").cast("double") - F.lit(float(k)) * F.col(width)).alias("t")) for k in windows]))
-        asks = narrow.select(*key, F.col(idx).alias("_ask"), probe.alias("_p")).select(*key, "_ask", F.col("_p.k").alias("_k"), F.col("_p.t").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_i"))
-        marks = narrow.select(*key, F.lit(None).cast("long").alias("_ask"), F.lit(None).cast("int").alias("_k"), F.col("arrival_us").cast("double").alias("_t"), F.lit(1).alias("_kind"), F.col(idx).alias("_i"))
-        back = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-        found = asks.unionByName(marks).withColumn("_at", F.last("_i", ignorenulls=True).over(back)).where("_kind = 0")
-        wide = found.groupBy(*key, F.col("_ask").alias(idx)).pivot("_k", windows).agg(F.first("_at"))
-        own = {n: F.when(F.col(idx) > 0, F.least(F.col(str(k)), F.col(idx) - 1)) for k, n in zip(windows, names)}
-        starts = wide.select(*key, idx, *[c.alias(n) for n, c in own.items()])
-        if forward_only:
-            run = Window.partitionBy(*key).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-            starts = starts.select(*key, idx, *[F.max(n).over(run).alias(n) for n in names])
-    return packets.join(starts, [*key, idx])
+                at = pa.array(start, pa.int64(), mask=np.arange(n) == 0)
+                table = table.append_column(name, at)
+                for c in carry:
+                    table = table.append_column(f"{c}_at_w{k}", table[c].take(at))
+            return table
+
+        added = [f"{n} bigint" for n in names] if not carry else [x for k, n in zip(windows, names) for x in (f"{n} bigint", *(f"`{c}_at_w{k}` {kinds[c]}" for c in carry))]
+        return packets.groupBy(*key).applyInArrow(search, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *added]))
+    narrow = packets.select(*key, idx, "arrival_us", width, *[c for c in carry if c != "arrival_us"])
+    seen = F.struct(F.col(idx).alias("_i"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    probe = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("arrival_us").cast("double") - F.lit(float(k)) * F.col(width)).alias("t")) for k in windows]))
+    marks = narrow.select(*key, F.lit(None).cast("bigint").alias("_ask"), F.lit(None).cast("int").alias("_k"), F.col("arrival_us").cast("double").alias("_t"), F.lit(1).alias("_kind"), F.col(idx).alias("_o"), seen.alias("_s"))
+    asks = narrow.select(*key, F.col(idx).alias("_ask"), probe.alias("_p")).select(*key, "_ask", F.col("_p.k").alias("_k"), F.col("_p.t").alias("_t"), F.lit(0).alias("_kind"), F.col("_ask").alias("_o"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"))
+    back = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asks.unionByName(marks).withColumn("_at", F.last("_s", ignorenulls=True).over(back)).where("_kind = 0")
+    # The clamp to the packet before needs that packet's values too.
+    own = Window.partitionBy(*key).orderBy(idx)
+    before = narrow.select(*key, F.col(idx).alias("_ask"), F.lag(seen).over(own).alias("_before"))
+    wide = found.groupBy(*key, "_ask").pivot("_k", windows).agg(F.first("_at")).join(before, [*key, "_ask"])
+    clamped = {n: F.when(F.col(f"{k}._i") < F.col("_ask"), F.col(str(k))).otherwise(F.col("_before")) for k, n in zip(windows, names)}
+    starts = wide.select(*key, F.col("_ask").alias(idx), *[F.when(F.col("_before").isNotNull(), c).alias(f"_{n}") for n, c in clamped.items()])
+    if forward_only:
+        run = own.rowsBetween(Window.unboundedPreceding, 0)
+        starts = starts.select(*key, idx, *[F.max_by(f"_{n}", f"_{n}._i").over(run).alias(f"_{n}") for n in names])
+    flat = [x for k, n in zip(windows, names) for x in (F.col(f"_{n}._i").alias(n), *(F.col(f"_{n}.c_{c}").alias(f"{c}_at_w{k}") for c in carry))]
+    return packets.join(starts.select(*key, idx, *flat), [*key, idx])
 
 
 def _prefixes(packets: DataFrame) -> DataFrame:
@@ -86,17 +96,12 @@ def flow_windows(packets: DataFrame, windows: list[int] = WINDOWS, mode: str = "
 
     mode "offline": the Mathis value uses the packet's own loss rate (parity); "online": the window's.
     """
-    rows = window_starts(_prefixes(packets), windows, method=method)
     kept = ["arrival_us", "_bytes", "_rtts", "_rtt_n", "_ratios", "_ratio_n", "_losses", "rtt_us", "rtt_ratio"]
     first = F.min("arrival_us").over(Window.partitionBy(*FLOW))
-    rows = rows.withColumn("_t_first", first)
-    # One flow's prefix sums as seen from each start: the row at the start, by one equi-join per window.
-    for k in windows:
-        base = _prefixes(packets).select(*FLOW, F.col("pkt_idx").alias(f"s_w{k}"), F.struct(*kept).alias(f"_s{k}"))
-        rows = rows.join(base, [*FLOW, f"s_w{k}"], "left")
+    rows = window_starts(_prefixes(packets).withColumn("_t_first", first), windows, method=method, carry=kept)
     out: dict[str, Column] = {}
     for k in windows:
-        s, start = F.col(f"_s{k}"), F.col(f"s_w{k}")
+        s, start = {c: F.col(f"{c}_at_w{k}") for c in kept}, F.col(f"s_w{k}")
         open_ = (F.col("min_rtt_us") < NO_RTT) & (F.col("arrival_us") - F.col("_t_first") >= F.lit(float(k)) * F.col("min_rtt_us")) & start.isNotNull()
         span, n = F.col("arrival_us") - s["arrival_us"], F.col("pkt_idx") - start
         gated = lambda c, o=open_: F.when(o, c)
@@ -127,12 +132,10 @@ def merged_windows(packets: DataFrame, windows: list[int] = WINDOWS, method: str
     narrow = packets.select(*FLOW, "pkt_idx", "arrival_us", "wire_b", "min_rtt_us", "active_flows", "bw_bps", "use_bess").join(ordinals, FLOW)
     order = Window.partitionBy("exp_id").orderBy("arrival_us", "_flow_no", "pkt_idx")
     merged = narrow.withColumn("m_idx", (F.row_number().over(order) - 1).cast("long")).withColumn("_bytes", F.sum("wire_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = window_starts(merged, windows, ["exp_id"], "m_idx", method=method, forward_only=True)
+    rows = window_starts(merged, windows, ["exp_id"], "m_idx", method=method, forward_only=True, carry=["arrival_us", "_bytes"])
     out = {}
     for k in windows:
-        base = merged.select("exp_id", F.col("m_idx").alias(f"s_w{k}"), F.col("arrival_us").alias(f"_t{k}"), F.col("_bytes").alias(f"_b{k}"))
-        rows = rows.join(base, ["exp_id", f"s_w{k}"], "left")
-        tput = bits_per_second(F.col("_bytes") - F.col(f"_b{k}"), F.col("arrival_us") - F.col(f"_t{k}"))
+        tput = bits_per_second(F.col("_bytes") - F.col(f"_bytes_at_w{k}"), F.col("arrival_us") - F.col(f"arrival_us_at_w{k}"))
         out[f"total_tput_bps_w{k}"] = F.when(~F.col("use_bess") | (tput <= F.col("bw_bps")), tput)
     totals = rows.withColumns(out)
     shares = {f"tput_fair_share_bps_w{k}": F.col(f"total_tput_bps_w{k}") / F.col("active_flows") for k in windows}
@@ -181,9 +184,8 @@ def sliding_accuracy(predictions: DataFrame, fair: float = 1.0, share: float = 0
     run = Window.partitionBy("exp_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     # The window is open at its far end: t_i - t < rtt, in whole microseconds t >= t_i - (rtt - 1).
     sums = predictions.withColumns({"_p": F.sum("predicted").over(run), "_r": F.sum("ratio").over(run), "_w": (F.col("rtt_us") - 1).cast("double")})
-    starts = window_starts(sums.select("exp_id", "idx", "arrival_us", "_w"), [1], ["exp_id"], "idx", "_w", method, True).select("exp_id", "idx", F.col("s_w1").alias("start"))
-    base = sums.select("exp_id", F.col("idx").alias("start"), F.col("_p").alias("_p0"), F.col("_r").alias("_r0"), F.col("predicted").alias("_ps"), F.col("ratio").alias("_rs"))
-    rows = sums.join(starts, ["exp_id", "idx"]).join(base, ["exp_id", "start"])
+    rows = window_starts(sums, [1], ["exp_id"], "idx", "_w", method, True, ["_p", "_r", "predicted", "ratio"]).where("s_w1 is not null")
+    rows = rows.select("exp_id", "idx", "_p", "_r", *[F.col(f"{a}_at_w1").alias(b) for a, b in (("_p", "_p0"), ("_r", "_r0"), ("predicted", "_ps"), ("ratio", "_rs"))], F.col("s_w1").alias("start"))
     n = F.col("idx") - F.col("start") + 1
     agree = ((F.col("_p") - F.col("_p0") + F.col("_ps")) / n >= share) == ((F.col("_r") - F.col("_r0") + F.col("_rs")) / n > fair)
     return rows.groupBy("exp_id").agg(F.avg(agree.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
