@@ -47,32 +47,28 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     n = len(sizes)
     if k == 1:
         return np.zeros(n, np.int64)
-    # A node is a piece (below n) or the union of two nodes; a state holds k sums in
-    # ascending order, less the smallest, and the node behind each sum (-1: none).
+    # A node is a piece (below n) or the union of two nodes.  A state lists the sums that
+    # hold a node in ascending order, as (sum, node); sums without a node are 0 and left
+    # out.  Once all k sums hold a node they count from the smallest.
     unions: list[tuple[int, int]] = []
-    heap, states = [], {}
-    for i, size in enumerate(sizes):
-        sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[-1], nodes[-1] = size, i
-        states[i] = (sums, nodes)
-        heapq.heappush(heap, (-int(size), i))
-    last = n
-    while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        (sa, na), (sb, nb) = states.pop(a), states.pop(b)
-        sums, left, right = sa + sb[::-1], na, nb[::-1]
-        both = (left >= 0) & (right >= 0)
-        nodes = np.where(left >= 0, left, right)
-        where = np.flatnonzero(both)
-        nodes[where] = n + len(unions) + np.arange(len(where))
-        unions += zip(left[where].tolist(), right[where].tolist())
-        order = np.argsort(sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        states[last] = (sums - sums[0], nodes)
-        heapq.heappush(heap, (-int(sums[-1] - sums[0]), last))
-        last += 1
+    heap = [(-int(size), i, [(int(size), i)]) for i, size in enumerate(sizes)]
+    heapq.heapify(heap)
+    for last in range(n, 2 * n - 1):
+        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        # The largest sums of one meet the smallest of the other: without enough free sums
+        # the m smallest of both meet, crosswise.
+        m = max(0, len(a) + len(b) - k)
+        merged = a[m:] + b[m:]
+        for (x, i), (y, j) in zip(a[:m], reversed(b[:m])):
+            merged.append((x + y, n + len(unions)))
+            unions.append((i, j))
+        merged.sort()
+        base = merged[0][0] if len(merged) == k else 0
+        if base:
+            merged = [(x - base, i) for x, i in merged]
+        heapq.heappush(heap, (-merged[-1][0], last, merged))
     window = np.zeros(n, np.int64)
-    waiting = [(int(node), w) for w, node in enumerate(states[heap[0][1]][1]) if node >= 0]
+    waiting = [(node, w) for w, (_, node) in enumerate(heap[0][2])]
     while waiting:
         node, w = waiting.pop()
         if node < n:
