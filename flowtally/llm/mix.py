@@ -121,8 +121,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` in the mix, each as often as it is taken."""
-    (copies,) = fresh(docs, "_copies")
+    copies, taken_id = fresh(docs, "_copies", "_taken_row")
     rows, rid = with_row_ids(docs, "docs")
     sized = store(rows.select(F.col(rid).alias("rid"), F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    got = take(sized, **options).where("copies > 0").select(F.col("rid").alias("_rid"), F.col("copies").alias(copies))
-    return rows.join(got, F.col(rid) == F.col("_rid")).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    got = take(sized, **options).where("copies > 0").select(F.col("rid").alias(taken_id), F.col("copies").alias(copies))
+    return rows.join(got, F.col(rid) == F.col(taken_id)).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

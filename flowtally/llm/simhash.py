@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id stays, one row if it repeats."""
-    (fp,) = fresh(docs, "_fp")
+    fp, keep_id = fresh(docs, "_fp", "_keep")
     rows, rid = with_row_ids(docs, "docs", lambda d: with_fingerprints(d, text, fp))
     narrow = rows.select(F.col(rid).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
     found = groups(narrow, "fp", "doc_id").withColumnRenamed("fp", "_f")
@@ -129,5 +129,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Of each fingerprint first (many rows may share one), then of each group.
     best = narrow.groupBy("fp").agg(first.alias("best"))
     roots = best.join(found, F.col("fp") == F.col("_f")).groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-    keep = roots.agg(F.min("best").alias("best")).select(F.col("best.rid").alias("_keep"))
-    return rows.join(keep, F.col(rid) == F.col("_keep"), "left_semi").select(*docs.columns)
+    keep = roots.agg(F.min("best").alias("best")).select(F.col("best.rid").alias(keep_id))
+    return rows.join(keep, F.col(rid) == F.col(keep_id), "left_semi").select(*docs.columns)

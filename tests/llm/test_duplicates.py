@@ -63,7 +63,7 @@ def test_near_duplicates_of_documents(spark):
     rows = [(k, t, "s") for k, t in enumerate(base)]
     rows += [(100 + k, t.replace("w1 ", "w2 ", 1), "s") for k, t in enumerate(base)]
     rows += [(200, base[0], None), (200, base[0], None), (None, base[1], "s"), (300, None, "s"), (301, "", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep string")
     got = simhash.near_duplicates(docs).collect()
     prints = [int(r.fingerprint, 16) for r in got]
     want = partition(len(got), [(a, b) for a, b in combinations(range(len(got)), 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
