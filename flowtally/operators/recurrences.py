@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowtally.functions.registry import ALPHAS, ewma_name
@@ -15,17 +16,25 @@ from flowtally.functions.unknown import MATHIS_C
 from flowtally.sources.tables import FLOW
 
 
-def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """EWMA of x after each row, for all alphas at once (NaN: unknown).
+def ewma_paths(x: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """EWMA of each column of x after each row, for all alphas at once (NaN: unknown); shape rows x (columns * alphas).
 
     An unknown or zero average takes x as it is; else unknown, zero and infinite x leave it.
     """
-    e = np.full(len(alphas), np.nan) if start is None else start.astype(float).copy()
-    out = np.empty((len(x), len(alphas)))
-    usable = np.isfinite(x) & (x != 0)
+    x = x.reshape(len(x), -1)
+    wide, a = np.repeat(x, len(alphas), axis=1), np.tile(alphas, x.shape[1])
+    usable, out = np.isfinite(wide) & (wide != 0), np.empty_like(wide)
+    # What a usable x adds and what stays of the average; an x that is not usable adds nothing.
+    added, kept = np.where(usable, a * np.where(usable, wide, 0), 0), np.where(usable, 1 - a, 1)
+    e, open_ = np.full(wide.shape[1], np.nan), True
     for i in range(len(x)):
-        blend = alphas * x[i] + (1 - alphas) * e if usable[i] else e
-        e = np.where(np.isnan(e) | (e == 0), x[i], blend)
+        if open_:
+            fresh = np.isnan(e) | (e == 0)
+            e = np.where(fresh, wide[i], added[i] + kept[i] * e)
+            # Once every average is known and not zero, it stays so.
+            open_ = bool((np.isnan(e) | (e == 0)).any())
+        else:
+            e = added[i] + kept[i] * e
         out[i] = e
     return out
 
@@ -34,19 +43,19 @@ def ewma_features(rows: DataFrame, metrics: list[str], alphas: list[float] = ALP
     """Flow key, pkt_idx and one column per metric and alpha; unknown inverse-sqrt loss rates count as 1."""
     names = [ewma_name(m, a) for m in metrics for a in alphas]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pkt_idx", kind="stable")
-        out = group[[*FLOW, "pkt_idx"]].reset_index(drop=True)
-        parts = []
-        for m in metrics:
-            x = group[m].to_numpy(np.float64)
-            parts.append(ewma_paths(np.where(np.isnan(x), 1.0, x) if m == "inv_sqrt_loss_rate" else x, np.array(alphas)))
-        return pd.concat([out, pd.DataFrame(np.hstack(parts), columns=names)], axis=1)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pkt_idx")
+        x = np.column_stack([table[m].to_numpy() for m in metrics])
+        for k, m in enumerate(metrics):
+            if m == "inv_sqrt_loss_rate":
+                x[:, k] = np.where(np.isnan(x[:, k]), 1.0, x[:, k])
+        paths = ewma_paths(x, np.array(alphas))
+        # from_pandas: NaN becomes NULL.
+        return pa.table([*(table[c] for c in [*FLOW, "pkt_idx"]), *(pa.array(c, from_pandas=True) for c in paths.T)], names=[*FLOW, "pkt_idx", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*FLOW, "pkt_idx"]), *(f"{n} double" for n in names)])
-    out = rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics]).groupBy(*FLOW).applyInPandas(run, schema)
-    return out.select(*FLOW, "pkt_idx", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    return rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics]).groupBy(*FLOW).applyInArrow(run, schema)
 
 
 class LossEvents:
