@@ -130,7 +130,6 @@ def test_warc_pushes_filters_and_reads_foreign_members(spark, tmp_path):
     rows = spark.read.format("warc").load(path)
     assert rows.where("record_type = 'revisit'").count() == 2
     some = rows.where("record_type = 'response' and record_id like 'urn:page:%' and payload_bytes = 400000")
-    assert "PushedFilters" in some._jdf.queryExecution().toString() or True
     assert some.first().payload == b"x" * 400_000
     assert {bytes(r.payload) for r in rows.where("record_id in ('urn:x', 'urn:y')").collect()} == {b"ok"}
     bare = spark.read.format("warc").option("payload", "false").option("target_mb", "0.001").load(path)
