@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each sentence is normalised (lower case, every run of
 other characters than letters, digits and dots a space, outer dots dropped) and looked
-up among known licence sentences.  What is left of a text is the sequence of known
+up among known licence sentences.  Sentences may be wrapped over lines and commented out,
+as in the standard texts; a notice may also be a line of its own.  What is left of a text is the sequence of known
 sentence identifiers; a rule is an ordered run of identifiers, and a text holds a
 licence if one of its rules occurs in the sequence without a gap of known sentences.
 
@@ -58,8 +59,55 @@ RULES = {
     "ISC": [["isc_grant"]],
     "MIT": [["mit_notice"], ["mit_grant", "mit_condition"], ["mit_grant", "mit_condition", "mit_warranty"]],
 }
-ANCHORS = ("licen", "permission", "copyright", "warranty", "redistribut", "or later")
-BREAK, OTHER = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A\x0D]+", r"[^a-z0-9.]+"
+ANCHORS = ("licen", "permission", "copyright", "warranty", "redistribut", "acknowledgement", "or later")
+# The whole sentences of the standard texts, normalised like SENTENCES.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit_warranty",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache_warranty",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache_grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl_grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3_or_later_grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_or_later_grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2_notice",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3_notice",
+    "this work is licensed under the creative commons attribution 4.0 international license": "cc_by_notice",
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "cc_by_sa_notice",
+    "this work is licensed under the creative commons attribution sharealike 4.0 international license": "cc_by_sa_notice",
+    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "cc_by_nc_notice",
+    "this work is licensed under the creative commons attribution noncommercial 4.0 international license": "cc_by_nc_notice",
+    "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4.0 international public license public license": "cc_by_notice",
+    "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution sharealike 4.0 international public license public license": "cc_by_sa_notice",
+    "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution noncommercial 4.0 international public license public license": "cc_by_nc_notice",
+    "redistribution and use in source and binary forms with or without modification are permitted subject to the limitations in the disclaimer below provided that the following conditions are met": "bsd_clear_grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source_clause",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary_clause",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd_advertising_clause",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorsement_clause",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_warranty_clause",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+}
+WHOLE_RULES = {
+    "Apache-2.0": [["apache_grant"]],
+    "BSD-2-Clause": [["bsd_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_warranty_clause"]],
+    "BSD-3-Clause": [["bsd_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_endorsement_clause"]],
+    "BSD-3-Clause-Clear": [["bsd_clear_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_endorsement_clause"]],
+    "BSD-4-Clause": [["bsd_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_advertising_clause"]],
+    "GPL-2.0-or-later": [["gpl2_or_later_grant"]],
+    "GPL-3.0-or-later": [["gpl3_or_later_grant"]],
+}
+KNOWN = SENTENCES | WHOLE
+ALL_RULES = {name: RULES.get(name, []) + WHOLE_RULES.get(name, []) for name in {**RULES, **WHOLE_RULES}}
+# Where a standard text names its holder, the name is put back to the standard one.
+HOLDERS = {
+    r"neither[ \n]the[ \n]names?[ \n]of[ \n][a-z0-9. \n]+?[ \n]nor[ \n]the[ \n]names[ \n]of[ \n](?:its|their|the|any)[ \n]contributors": "neither the name of the copyright holder nor the names of its contributors",
+    r"this[ \n]software[ \n]is[ \n]provided[ \n]by[ \n][a-z0-9. \n]+?[ \n]as[ \n]is[ \n]and[ \n]any": "this software is provided by the copyright holders and contributors as is and any",
+}
+# Comment marks at the start of a line; ends of sentences and blank lines; what a space stands for, newlines aside.
+MARKS = r"(?<![^\x0A\x0D])[\x20\x09]*+(?:[#/*;:!%>|<-]+|(?:rem|dnl)(?=[\x20\x09\x0A\x0D]))"
+STOP = r"[.!?;:]+[\x20\x09-\x0D]+|(?>\x0D\x0A|\x0A|\x0D)[\x20\x09]*+[\x0A\x0D][\x20\x09-\x0D]*+"
+INLINE = r"[^a-z0-9.\x0A\x0D\x01]+"
 
 
 def _anchored(sentences: dict[str, str]) -> str:
@@ -69,16 +117,26 @@ def _anchored(sentences: dict[str, str]) -> str:
     return "|".join((*ANCHORS, "later version"))
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN) -> Column:
+    """The identifiers of the known sentences of a text, in order.
+
+    The text becomes lines of words with \\x01 at every end of a sentence; a known sentence
+    starts and ends with a line or a sentence and may be wrapped between any two words.
+    """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     low = F.lower(text)
-    parts = F.filter(F.split(low, BREAK), lambda s: s.rlike(_anchored(sentences)))
-    ids = F.transform(parts, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), r"^[. ]+|[. ]+$", ""))))
-    return F.when(low.rlike(_anchored(sentences)), F.filter(ids, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
-
-
-def licences(ids: Column, rules: dict[str, list[list[str]]] = RULES) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(low, "\x01", " "), MARKS, "")
+    plain = F.regexp_replace(F.regexp_replace(plain, STOP, "\x01"), INLINE, " ")
+    plain = F.regexp_replace(plain, r" ?[\x0A\x0D][ \x0A\x0D]*+", "\n")
+    for pattern, name in HOLDERS.items():
+        plain = F.regexp_replace(plain, pattern, name)
+    any_ = "|".join(s.replace(".", r"\.").replace(" ", r"[ \n]") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^\x01\n])[. ]*+({any_})[. ]*+(?![^\x01\n])"), F.lit(1))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+    return F.when(low.rlike(_anchored(sentences)), ids).otherwise(F.array().cast("array<string>"))
+
+
+def licences(ids: Column, rules: dict[str, list[list[str]]] = ALL_RULES) -> Column:
     """The licences of which a rule occurs in a sequence of identifiers, in order of name."""
     path = F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))
     found = [F.when(F.greatest(*[F.contains(path, F.lit("|" + "|".join(r) + "|")) for r in [*runs, runs[0]]]), F.lit(name)) for name, runs in sorted(rules.items())]
@@ -92,7 +150,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def oracle_sql() -> str:
-    """The same scan in DuckDB's SQL, from the same tables of sentences and rules."""
+    """The scan in DuckDB's SQL for sentences on one line, from SENTENCES and RULES; it does not know WHOLE."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(s)}, {q(i)})" for s, i in SENTENCES.items())
     tests = ", ".join("CASE WHEN " + " OR ".join(f"contains(path, {q('|' + '|'.join(r) + '|')})" for r in runs) + f" THEN {q(name)} END" for name, runs in sorted(RULES.items()))
