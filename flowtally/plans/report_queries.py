@@ -490,6 +490,17 @@ def j1_stream_rtt(spark, sf_dir):
     return live.run_to_end(live.stream_rtt(received, sent, "10 hours"), "rtt")
 
 
+@query(f"WITH {ORACLE_PACKETS} SELECT sender_port, tsecr, CAST(gen_rtt_us AS DOUBLE) AS rtt_us FROM data WHERE k % 10 <> 0")
+def j1_stream_rtt_all(spark, sf_dir):
+    """The same join kept for as long as the largest RTT of the table, so that every answered packet has its RTT; state still expires."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    longest = table(spark, sf_dir, "events").agg(F.max(F.get_json_object("props", "$.k").cast("long"))).first()[0] or 0
+    received = live.packet_stream(spark, sf_dir)
+    sent_us = F.col("arrival_us") - (F.col("k") + 1) * 1_000_000_000
+    sent = live.packet_stream(spark, sf_dir).where("k % 10 <> 0").select(F.timestamp_micros(sent_us).alias("ts"), "sender_port", F.col("tsecr").alias("tsval"), sent_us.alias("sent_us"))
+    return live.run_to_end(live.stream_rtt(received, sent, f"{(longest + 1) * 1000} seconds"), "rtt-all")
+
+
 @query()
 def j2_track_flows(spark, sf_dir):
     """Keyed state: buffers, readiness, features and removals of idle flows."""
