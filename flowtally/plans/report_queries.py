@@ -503,10 +503,11 @@ def j1_stream_rtt_all(spark, sf_dir):
 
 @query()
 def j2_track_flows(spark, sf_dir):
-    """Keyed state: buffers, readiness, features and removals of idle flows."""
+    """Keyed state: buffers, readiness, throughput, losses and removals of idle flows."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     stream = live.packet_stream(spark, sf_dir).withColumn("rtt_us", F.when(F.col("k") % 10 != 0, (F.col("k") + 1) * 1e6))
-    return live.run_to_end(live.track_flows(stream, "1 hour", smoothing=10, longest=8, idle_s=3600), "flows")
+    seq = data_packets(spark, sf_dir).select("tsecr", "seq")
+    return live.run_to_end(live.track_flows(stream.join(seq, "tsecr"), "1 hour", smoothing=10, idle_s=3600), "flows")
 
 
 def _decisions(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:

@@ -1,6 +1,6 @@
-"""The same features and decisions on live packets, with Structured Streaming.
+"""Rates, sessions, round trips and flow state on live packets, with Structured Streaming; decisions in batch form.
 
-Every job runs on an unbounded source and, in tests and registered queries, to the end of
+Every streaming job runs on an unbounded source and, in tests and registered queries, to the end of
 what is there (``run_to_end``).  State is keyed by flow and expires by event time.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowtally.functions.registry import WINDOWS
 from flowtally.functions.unknown import MATHIS_C, MIN_RWND_B, MSS_B
+from flowtally.operators.recurrences import LossEvents
 from flowtally.sources.shared import work_path
 
 SMOOTHING, IDLE_S, ACTIVE_S = 10, 60, 5
@@ -76,27 +77,44 @@ def stream_rtt(received: DataFrame, sent: DataFrame, keep: str = "1 hour") -> Da
     return r.join(s, on).select("r.sender_port", "r.tsecr", (F.col("r.arrival_us") - F.col("s.sent_us")).cast("double").alias("rtt_us"))
 
 
-FLOW_STATE = "arrivals array<long>, payloads array<long>, first_us long, min_rtt_us double, emitted long"
-FLOW_OUTPUT = "sender_port long, event string, arrival_us long, packets long, tput_bps double, min_rtt_us double, loss_rate double"
+FLOW_STATE = "arrivals array<long>, payloads array<long>, losses array<long>, first_us long, min_rtt_us double, emitted long, last_seq long, highest_seq long, seen array<long>, event_starts array<double>, event_sizes array<long>"
+FLOW_OUTPUT = "sender_port long, event string, arrival_us long, packets long, tput_bps double, min_rtt_us double, loss_rate double, loss_event_rate double"
 
 
 def flow_tracker(smoothing: int = SMOOTHING, longest: int = max(WINDOWS), idle_s: int = IDLE_S):
-    """State function: buffers a flow's packets, emits features once it is ready and a "removed" row once it has idled."""
+    """State function: buffers a flow's packets, emits features once it is ready and a "removed" row once it has idled.
+
+    Losses follow from sequence numbers by the tracker of the batch form: loss_rate over the
+    packets of the smoothing window, loss_event_rate over all packets of the flow.  Both are
+    unknown on packets without ``seq``.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FLOW_OUTPUT.split(", ")]
         if state.hasTimedOut:
-            arrivals, _, _, low, emitted = state.get
+            arrivals, low, emitted = state.get[0], state.get[4], state.get[5]
             state.remove()
-            yield pd.DataFrame([(key[0], "removed", arrivals[-1] if len(arrivals) else 0, emitted, None, low, None)], columns=names)
+            yield pd.DataFrame([(key[0], "removed", arrivals[-1] if len(arrivals) else 0, emitted, None, low, None, None)], columns=names)
             return
-        arrivals, payloads, first, low, emitted = state.get if state.exists else ([], [], None, float("inf"), 0)
-        arrivals, payloads, out = list(arrivals), list(payloads), []
+        tracker = LossEvents()
+        arrivals, payloads, losses, first, low, emitted, seq = [], [], [], None, float("inf"), 0, None
+        if state.exists:
+            arrivals, payloads, losses, first, low, emitted, seq, tracker.highest, seen, starts, sizes = state.get
+            tracker.seen, tracker.events = set(seen), [[a, n] for a, n in zip(starts, sizes)]
+        arrivals, payloads, losses, out = list(arrivals), list(payloads), list(losses), []
         # Packets of a batch are put in order; those older than what was seen are left out.
-        batch = pd.concat(list(frames)).sort_values("arrival_us", kind="stable")
+        batch = pd.concat(list(frames))
+        numbered = "seq" in batch
+        batch = batch.sort_values(["arrival_us", *(c for c in ("tsecr",) if c in batch)], kind="stable")
         for row in batch.itertuples():
             if arrivals and row.arrival_us < arrivals[-1]:
                 continue
+            lost = 0
+            if numbered and arrivals:
+                lost = tracker.losses(int(row.seq), int(seq), int(row.payload_b), int(payloads[-1]))
+                tracker.add(lost, float(arrivals[-1]), float(row.arrival_us), float(row.rtt_us) if pd.notna(row.rtt_us) else -1.0)
+            seq = int(row.seq) if numbered else None
+            losses.append(lost)
             first = row.arrival_us if first is None else first
             low = min(low, row.rtt_us) if row.rtt_us and row.rtt_us > 0 else low
             arrivals.append(row.arrival_us)
@@ -106,10 +124,12 @@ def flow_tracker(smoothing: int = SMOOTHING, longest: int = max(WINDOWS), idle_s
                 span = arrivals[-1] - arrivals[-smoothing]
                 rate = sum(payloads[-smoothing + 1 :]) * 8e6 / span if span else None
                 emitted += 1
-                out.append((key[0], "features", arrivals[-1], len(arrivals), rate, low, 0.0))
+                gone = sum(losses[-smoothing + 1 :])
+                loss = (gone / (gone + smoothing - 1), tracker.rates()[0]) if numbered else (None, None)
+                out.append((key[0], "features", arrivals[-1], len(arrivals), rate, low, *loss))
                 keep = int(np.searchsorted(arrivals, arrivals[-1] - low * longest))
-                arrivals, payloads = arrivals[keep:], payloads[keep:]
-        state.update((arrivals, payloads, first, low, emitted))
+                arrivals, payloads, losses = arrivals[keep:], payloads[keep:], losses[keep:]
+        state.update((arrivals, payloads, losses, first, low, emitted, seq, tracker.highest, sorted(tracker.seen), [float(a) for a, _ in tracker.events], [int(n) for _, n in tracker.events]))
         if arrivals and state.getCurrentWatermarkMs() < arrivals[-1] // 1000 + idle_s * 1000:
             state.setTimeoutTimestamp(int(arrivals[-1] // 1000 + idle_s * 1000))
         if out:
@@ -119,7 +139,7 @@ def flow_tracker(smoothing: int = SMOOTHING, longest: int = max(WINDOWS), idle_s
 
 
 def track_flows(stream: DataFrame, late: str = "1 minute", **options) -> DataFrame:
-    """Features of ready flows and removals of idle ones; the stream has ts, sender_port, arrival_us, payload_b, rtt_us."""
+    """Features of ready flows and removals of idle ones; the stream has ts, sender_port, arrival_us, payload_b, rtt_us and, for losses, seq."""
     return stream.withWatermark("ts", late).groupBy("sender_port").applyInPandasWithState(flow_tracker(**options), FLOW_OUTPUT, FLOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
