@@ -261,6 +261,21 @@ def d20_window_errors(spark, sf_dir):
     return errors.join(win.smallest_safe_window(errors), "exp_id")
 
 
+def _oracle_window_errors() -> str:
+    """Errors of every production window and the smallest without any."""
+    views = O_FEATURES + "".join(_oracle_flow_window(k).removeprefix(O_FEATURES) for k in win.WINDOWS)
+    counts = " UNION ALL ".join(f"SELECT exp_id, {k} AS k, count(*) FILTER (ok AND use_bess AND tput > bw_bps) AS n_errors FROM v{k} GROUP BY exp_id" for k in win.WINDOWS)
+    return f"WITH {views}, er AS ({counts}) SELECT *, coalesce(min(k) FILTER (n_errors = 0) OVER (PARTITION BY exp_id), 0) AS safe_k FROM er"
+
+
+@query(_oracle_window_errors())
+def d20_window_errors_all(spark, sf_dir):
+    """The smallest safe one of all production windows."""
+    rows = win.flow_windows(with_features(spark, sf_dir).withColumn("_real", F.col("use_bess")).withColumn("use_bess", F.lit(False)))
+    errors = win.window_errors(rows.withColumn("use_bess", F.col("_real")), column="tput_bps")
+    return errors.join(win.smallest_safe_window(errors), "exp_id")
+
+
 @query(f"""WITH {ORACLE_PACKETS},
 f AS (SELECT {KEY}, any_value(sender_id) AS sender_id, (sum(wire_b) - arg_min(wire_b, pkt_idx)) * 8e6 / nullif(max(arrival_us) - min(arrival_us), 0) AS tput FROM data GROUP BY {KEY})
 SELECT {KEY}, sender_id, round(tput, 9) AS tput_bps FROM f""")

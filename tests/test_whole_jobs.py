@@ -42,3 +42,13 @@ def test_losses_without_sequence_numbers_are_unknown(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     out = live.run_to_end(live.track_flows(stream, "1 hour", smoothing=8, longest=16, idle_s=3600), "flows").where("event = 'features'").collect()
     assert out and {(r.loss_rate, r.loss_event_rate) for r in out} == {(None, None)}
+
+
+def test_the_safe_window_is_sought_among_all(spark, sf_dir):
+    from flowtally.functions.registry import WINDOWS
+
+    rows = QUERIES["d20_window_errors_all"](spark, sf_dir).collect()
+    for e in {r.exp_id for r in rows}:
+        own = {r.k: r.n_errors for r in rows if r.exp_id == e}
+        assert sorted(own) == WINDOWS
+        assert {r.safe_k for r in rows if r.exp_id == e} == {min((k for k, n in own.items() if n == 0), default=0)}
