@@ -153,7 +153,7 @@ INPUTS = [ALL.index(r) for r in RATIOS]
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text") -> Additive:
     """The model of labelled rows that are not held out."""
-    stats, y = labelled_stats(docs, labels, "quality", max_rows, doc_id, text, only=lambda c: ~held_out(c))
+    stats, y, _ = labelled_stats(docs, labels, "quality", max_rows, doc_id, text, only=lambda c: ~held_out(c))
     return train(stats[:, INPUTS], y)
 
 

@@ -33,7 +33,7 @@ def op4_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
-    return quality_forest.verdicts(docs, quality_forest.fit(docs, labels))
+    return quality_forest.judged(docs, labels)
 
 
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

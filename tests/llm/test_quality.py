@@ -97,3 +97,85 @@ def test_additive_model_learns_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     m = gam.train(x, y)
     assert m.pairs[0] == (0, 1) and ((m.score(x) > 0.5) == y).mean() > 0.95
+
+
+def naive_path(f, t: int, row, node: int = 0, depth: int = 0) -> float:
+    """Depth of the leaf that a row reaches, found step by step."""
+    if f.feature[t, node] < 0:
+        assert f.path[t, node] >= depth
+        return f.path[t, node]
+    return naive_path(f, t, row, 2 * node + (2 if row[f.feature[t, node]] >= f.cut[t, node] else 1), depth + 1)
+
+
+def test_path_lengths_against_a_recursive_walk():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(300, 4)), np.zeros((50, 4)), rng.normal(5, 1, size=(10, 4))])
+    f = forest.grow(x, np.arange(360) < 350, trees=20, psi=64)
+    want = [np.mean([naive_path(f, t, row) for t in range(20)]) for row in x]
+    assert np.allclose(f.path_lengths(x), want, atol=1e-12)
+    c = lambda n: 0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    assert np.allclose(f.scores(x), 2 ** (-np.array(want) / c(64)), atol=1e-12)
+    assert all(np.isclose(forest.expected_path(n), c(n)) for n in (1, 2, 3, 64, 256))
+
+
+def clusters(rng, n: int, odd: int):
+    """Good rows near (0.1, 0.1) and (0.9, 0.9); odd ones near the other two corners, inside every single range."""
+    side = rng.random(n) < 0.5
+    good = np.where(side, 0.1, 0.9)[:, None] + rng.normal(0, 0.03, (n, 2))
+    side = rng.random(odd) < 0.5
+    bad = np.stack([np.where(side, 0.1, 0.9), np.where(side, 0.9, 0.1)], 1) + rng.normal(0, 0.03, (odd, 2))
+    bad = np.clip(bad, good.min(0), good.max(0))
+    return np.vstack([good, bad]), np.arange(n + odd) < n
+
+
+def test_odd_combinations_are_rejected_inside_every_single_range():
+    rng = np.random.default_rng(5)
+    x, good = clusters(rng, 4000, 60)
+    f = forest.grow(x, good)
+    y, fine = clusters(rng, 4000, 60)
+    s = f.scores(y)
+    f.threshold = forest.threshold_of(np.minimum((s * forest.SCORE_BINS).astype(int), forest.SCORE_BINS - 1), fine, np.ones(len(y)), 0.005)
+    z, clean = clusters(rng, 4000, 200)
+    rejected = f.scores(z) > f.threshold
+    low, high = x[good].min(0), x[good].max(0)
+    box = ((z < low) | (z > high)).any(1)
+    assert rejected[~clean].mean() > 0.8 and rejected[clean].mean() < 0.02
+    assert not box[~clean].any()  # a range rule finds none of them
+
+
+def test_threshold_against_every_possible_one():
+    rng = np.random.default_rng(7)
+    for good_n, bad_n in ((1000, 50), (3, 2), (1, 0), (0, 4)):
+        bins = np.concatenate([rng.integers(3000, 6000, good_n), rng.integers(4500, 8000, bad_n)])
+        good = np.arange(good_n + bad_n) < good_n
+        got = forest.threshold_of(bins, good, np.ones(len(bins)), 0.01)
+        if not good_n:
+            assert got == np.inf
+            continue
+        lost = lambda edge: (bins[good] > edge).sum()
+        edge = min(e for e in range(forest.SCORE_BINS) if lost(e) <= 0.01 * good_n)
+        worse = bins[~good][bins[~good] > edge]
+        assert np.isclose(got * forest.SCORE_BINS, edge + 1 + ((worse.min() - edge - 1) / 2 if len(worse) else 0))
+
+
+def test_one_pass_gives_the_verdicts_of_fit_and_kept_rows(tables):
+    docs, labels = tables
+    a = {r.doc_id: r for r in forest.verdicts(docs, forest.fit(docs, labels)).collect()}
+    b = {r.doc_id: r for r in forest.judged(docs, labels).collect()}
+    assert a == b
+    assert sorted(r.doc_id for r in forest.kept_rows(docs, labels).select("doc_id").collect()) == sorted(k for k, r in b.items() if r.kept)
+
+
+def test_verdict_against_a_range_rule(tables):
+    """How often ranges of single statistics (of good rows, 0.1 % off each end) would say the same; the forest must not be one."""
+    docs, labels = tables
+    f, share = forest.grown(docs, labels)
+    stats, y, _ = forest.labelled_stats(docs, labels, "quality", 10**6)
+    failed, score = forest.judge(stats, f)
+    f.threshold = forest.fit(docs, labels).threshold
+    x, good = stats[~failed][:, forest.AT], y[~failed] == 1
+    low, high = np.quantile(x[good], 0.001, axis=0), np.quantile(x[good], 0.999, axis=0)
+    outside, rejected = ((x < low) | (x > high)).any(1), score[~failed] > f.threshold
+    print(f"range rule and forest agree on {np.mean(outside == rejected):.4f} of {len(x)} rows; outside {outside.sum()}, rejected {rejected.sum()}, both {(outside & rejected).sum()}")
+    assert share == 0.5 and len(np.unique(score[~failed].round(6))) > 100
+    assert rejected[good].mean() <= 0.005 and rejected[~good].mean() > 0.9
