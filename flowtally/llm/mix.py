@@ -9,7 +9,9 @@
    apportionment for the divisor ``block``, and only the seats by which the sum is off
    are settled by comparing quotients.
 3. Shards: each source's words are dealt into shards of about ``shard_words`` words by
-   the hash of the row, and a source's seats are apportioned to its shards the same way.
+   the hash of the row.  A source's seats go down a tree over its shards, each node's
+   seats to its at most ``FAN`` children by the same rule, so no step compares more than
+   ``FAN`` rows however large a source is.
 4. Selection: a shard of m words has n = round(m / block) equal blocks; k seats are
    k div n whole passes and k mod n blocks spaced evenly from a seeded start.  What a
    document gives follows from where its words lie, so no block is ever a row.
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowtally.llm.common import fresh, n_words, store, with_row_ids
 
 WEIGHTS, BUDGET, EPOCHS, BLOCK, SHARD_WORDS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 16, 1 << 14, 17
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
 
 
 def water_levels(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: float = EPOCHS) -> DataFrame:
@@ -50,26 +54,47 @@ def apportion(claims: DataFrame, within: list[str], order: list[str], votes: str
     ``claims`` holds votes (double) and the seats of its group (long, equal in a group).
     With the group's mean price per seat as divisor every row gets its rounded quota; by
     as many seats as their sum is off, the highest next quotients gain or the lowest held
-    quotients lose one, ties by ``order``.
+    quotients lose one; of equal quotients the first in ``order`` keeps or gains.  With n rows and d seats to settle, a row with the
+    share v of all votes moves by at most v * (d + n) + 1 seats, so about d + 3 n quotients
+    are compared.
     """
     group = Window.partitionBy(*within)
-    start = claims.withColumn("_fair", F.when(F.sum(votes).over(group) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(group)).otherwise(F.lit(0.0)))
+    start = claims.withColumn("_all", F.sum(votes).over(group)).withColumn("_n", F.count(F.lit(1)).over(group))
+    start = start.withColumn("_fair", F.when(F.col("_all") > 0, F.col(votes) * F.col(seats) / F.col("_all")).otherwise(F.lit(0.0)))
     start = start.withColumn("_base", F.floor(F.col("_fair") + 0.5).cast("long"))
-    start = start.withColumn("_off", (F.when(F.sum(votes).over(group) > 0, F.col(seats)).otherwise(F.lit(0)) - F.sum("_base").over(group)).cast("long"))
+    start = start.withColumn("_off", (F.when(F.col("_all") > 0, F.col(seats)).otherwise(F.lit(0)) - F.sum("_base").over(group)).cast("long"))
     start = store(start, "quotas")
-    step = F.explode(F.sequence(F.lit(1), F.abs("_off")))
+    most = F.least(F.abs("_off"), F.ceil(F.try_divide(F.col(votes) * (F.abs("_off") + F.col("_n")), F.col("_all"))).cast("long") + 1)
     held = F.when(F.col("_off") > 0, F.col("_base") + F.col("_step") - 1).otherwise(F.col("_base") - F.col("_step"))
     keys = [*within, *order]
-    wanted = start.where("_off <> 0").select(*keys, votes, "_off", "_base", step.alias("_step")).withColumn("_j", held).where("_j >= 0")
-    quotient = F.col(votes) / (2 * F.col("_j") + 1)
-    gain = Window.partitionBy(*within).orderBy(F.when(F.col("_off") > 0, -quotient).otherwise(quotient), *[F.col(c).asc_nulls_last() for c in order], "_step")
-    changed = wanted.withColumn("_rank", F.row_number().over(gain)).where(F.col("_rank") <= F.abs("_off"))
+    wanted = start.where("_off <> 0").select(*keys, votes, "_off", "_base", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("_step")).withColumn("_j", held).where("_j >= 0")
+    falling = Window.partitionBy(*within).orderBy(-F.col(votes) / (2 * F.col("_j") + 1), *[F.col(c).asc_nulls_last() for c in order], "_j")
+    ranked = wanted.withColumn("_rank", F.row_number().over(falling)).withColumn("_last", F.count(F.lit(1)).over(group))
+    changed = ranked.where(F.when(F.col("_off") > 0, F.col("_rank") <= F.col("_off")).otherwise(F.col("_rank") > F.col("_last") + F.col("_off")))
     changed = changed.groupBy(*keys).agg(F.sum(F.signum("_off")).cast("long").alias("_plus"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
     joined = start.alias("l").join(changed.alias("r"), same, "left")
     return joined.select(*[F.col(f"l.{c}") for c in claims.columns], (F.col("l._base") + F.coalesce(F.col("r._plus"), F.lit(0))).alias("quota"))
 
 
+def shard_quotas(loads: DataFrame) -> DataFrame:
+    """``loads`` (source, shard, words, source_quota) with ``quota``: the source's seats handed down a tree over its shards.
+
+    A node's children are the shards (or nodes) whose numbers agree but for the last ``FAN_BITS`` bits.
+    """
+    loads = store(loads.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "loads")
+    last, level, have = loads.agg(F.max("shard")).first()[0] or 0, 0, None
+    while last >> (FAN_BITS * (level + 1)):
+        level += 1
+    for k in range(level, -1, -1):
+        node = F.shiftright("shard", FAN_BITS * k)
+        claims = loads.groupBy("src", node.alias("node")).agg(F.max("source").alias("source"), F.sum("words").alias("words"), F.max("source_quota").alias("seats")).withColumn("parent", F.shiftright("node", FAN_BITS))
+        if have is not None:
+            claims = claims.drop("seats").join(have.select("src", F.col("node").alias("parent"), F.col("quota").alias("seats")), ["src", "parent"])
+        have = apportion(claims, ["src", "parent"], ["node"], "words", "seats")
+    return have.select("source", F.col("node").alias("shard"), "words", "quota")
+
+
 def _given(point: Column) -> Column:
     """Words of the partial pass that lie before ``point`` on the shard's axis of words."""
     block = F.least(F.floor(point * F.col("n") / F.col("words")), F.col("n") - 1).cast("long")
@@ -90,8 +115,7 @@ def take(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
     quotas = apportion(targets, ["all"], ["source"], "target", "seats").select(F.col("source").alias("_s"), "source_size", "target", "shards", F.col("quota").alias("source_quota"))
     dealt = rows.join(quotas, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("shards")))
     loads = dealt.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("words"), F.max("source_quota").alias("source_quota"))
-    shards = apportion(loads.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), ["src"], ["shard"], "words", "source_quota")
-    shards = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_shard"), "words", "quota", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long").alias("n"))
+    shards = shard_quotas(loads).select(F.col("source").alias("_s"), F.col("shard").alias("_shard"), "words", "quota", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long").alias("n"))
     shards = shards.withColumn("seats", F.least(F.col("quota"), (F.col("n") * F.lit(epochs)).cast("long")))
     shards = shards.select("_s", "_shard", "words", "n", F.floor(F.col("seats") / F.col("n")).alias("passes"), F.pmod("seats", "n").alias("part"), F.pmod(F.xxhash64("_s", "_shard", F.lit(seed + 1)), F.col("n")).alias("phase"))
     axis = Window.partitionBy("source", "shard").orderBy(F.xxhash64("key", F.lit(seed + 2)), "key", "rid").rowsBetween(Window.unboundedPreceding, 0)

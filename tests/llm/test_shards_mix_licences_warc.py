@@ -78,6 +78,84 @@ def test_apportion_takes_the_highest_quotients(spark):
         assert got == {s: sum(q[3] == s for q in quotients) for s, _ in votes}
 
 
+def highest(votes: dict, seats: int) -> dict:
+    """Seats to the highest quotients, one at a time; ties to the smaller name, None last."""
+    held = dict.fromkeys(votes, 0)
+    if sum(votes.values()) > 0:
+        for _ in range(seats):
+            best = min(votes, key=lambda s: (-votes[s] / (2 * held[s] + 1), s is None, s))
+            held[best] += 1
+    return held
+
+
+def naive_shard_quotas(words: dict[int, float], seats: int, bits: int = mix.FAN_BITS) -> dict[int, int]:
+    """Seats handed down the tree of shard numbers, node by node."""
+    level = 0
+    while max(words) >> (bits * (level + 1)):
+        level += 1
+
+    def down(node: int, k: int, seats: int) -> dict[int, int]:
+        if k < 0:
+            return {node: seats}
+        loads = {}
+        for s, w in words.items():
+            if s >> (bits * (k + 1)) == node:
+                loads[s >> (bits * k)] = loads.get(s >> (bits * k), 0.0) + w
+        return {s: q for child, n in highest(loads, seats).items() for s, q in down(child, k - 1, n).items()}
+
+    return down(0, level, seats)
+
+
+def test_mix_against_a_word_by_word_one(spark, sf_dir, odd):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for table, block, shard_words in ((docs, 8, 100), (odd, 3, 500)):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.taken) for r in mix.mix(table, block=block, shard_words=shard_words).collect())
+        key = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+        rows = table.select("doc_id", "text", "source", key.alias("key")).select("*", F.xxhash64("key", F.lit(mix.SEED)).alias("deal"), F.xxhash64("key", F.lit(mix.SEED + 2)).alias("place")).collect()
+        size = lambda r: len((r.text or "").encode().split())
+        by_source = {}
+        for r in rows:
+            by_source.setdefault(r.source, []).append(r)
+        targets = naive_targets({s: sum(map(size, g)) for s, g in by_source.items()})
+        seats = highest(targets, round(sum(targets.values()) / block))
+        want, deep = [], 0
+        for source, group in by_source.items():
+            n_shards = max(1, -(-sum(map(size, group)) // shard_words))
+            members = {}
+            for r in group:
+                members.setdefault(r.deal % n_shards, []).append(r)
+            deep = max(deep, max(members))
+            quota = naive_shard_quotas({s: float(sum(map(size, g))) for s, g in members.items()}, seats[source])
+            phases = spark.createDataFrame([(source, s) for s in members], "s string, shard long").select("shard", F.xxhash64("s", "shard", F.lit(mix.SEED + 1)).alias("h")).collect()
+            phase = {r.shard: r.h for r in phases}
+            for s, g in members.items():
+                g.sort(key=lambda r: (r.place, r.key))
+                words = sum(map(size, g))
+                n = max(1, int(words / block + 0.5))
+                k = min(quota[s], 2 * n)
+                passes, part, start = k // n, k % n, phase[s] % n
+                chosen = [(b + 1) * part + start >= n * ((b * part + start) // n + 1) for b in range(n)]
+                assert sum(chosen) == part
+                given = lambda x: sum(max(0.0, min(x, (b + 1) * words / n) - b * words / n) for b in range(n) if chosen[b])
+                at = 0
+                for r in g:
+                    m, whole = size(r), lambda x: int(x + 0.5 + 1e-9)
+                    want.append((r.doc_id is None, r.doc_id or 0, m, min(2 * m, passes * m + whole(given(at + m)) - whole(given(at))) if m else 0))
+                    at += m
+        want.sort()
+        off = [(a, b) for a, b in zip(got, want) if a != b]
+        # A border within 1e-9 of half a word may round either way.
+        assert len(got) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) <= 1 for a, b in off) and len(off) <= len(want) // 50
+        assert table is odd or deep >= mix.FAN
+
+
+def test_apportion_compares_few_quotients(spark):
+    votes = [(k, 1.0 + (k * 7919 % 1000) / 500) for k in range(300)] + [(300, 5000.0)]
+    df = spark.createDataFrame([(s, v, 4000, 1) for s, v in votes], "shard long, votes double, seats long, g int")
+    got = {r.shard: r.quota for r in mix.apportion(df, ["g"], ["shard"], "votes", "seats").collect()}
+    assert got == highest(dict(votes), 4000)
+
+
 def test_mixed_rows_repeat_whole_documents(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = mix.mixed_rows(docs)
