@@ -4,20 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a local folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir.
+
+    Only a local master may do without; elsewhere executors would write to their own disks.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = _local_dir()
+    return place.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes ``df`` and reads it back, so that what follows starts from the files."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
