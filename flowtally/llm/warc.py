@@ -13,27 +13,36 @@ refers_to, payload) into records; each task writes files of its own, named by pa
 and attempt, and the driver drops those of attempts that did not commit.
 
 Paths are opened through pyarrow's file systems, so any store that it knows will do.
+
+Cases: a null payload is written as an empty one, a null URI is read back as null, blanks
+and control characters in a URI are percent-encoded; a very long payload is one record, held
+in memory alone; records with equal ids or equal content are all kept; a folder without
+archives, or with empty ones, gives no rows; columns beside those written are not read, so
+their names do not matter; records without a type or an id have nulls there.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from flowtally.llm.common import new_path
+from flowtally.llm.common import new_path, store
 
 HEADERS = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long"
 SCHEMA = f"{HEADERS}, payload binary"
 FILE_MB, TARGET_MB, BATCH_MB, LEAST_REVISIT = 64, 64, 8, 1000
+BLANK = re.compile(r"[\s\x00-\x1f]")
 # Fixed value: records carry this time, since pages have none.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -66,7 +75,7 @@ def record(row) -> bytes:
         f"WARC-Type: {row.record_type}",
         f"WARC-Record-ID: <{row.record_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join((row.target_uri or '').split())}",
+        f"WARC-Target-URI: {BLANK.sub(lambda m: quote(m[0]), row.target_uri or '')}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest.digest()).decode()}",
         f"X-Payload-Length: {len(payload)}",
@@ -290,14 +299,21 @@ def register(spark: SparkSession) -> None:
 def records_of(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Pages as rows to archive: of equal payloads of at least ``least`` bytes the largest page_id is the response, the others revisit it.
 
-    A null page is an empty payload; of rows that also share their page_id, all are responses.
+    Which pages revisit is settled on ids and digests alone; payloads only meet that list, by
+    page_id, so copies of one page never gather in a task (and a short list leaves the
+    payloads where they are).  A null page is an empty payload; of rows that also share their
+    page_id, all are responses.
     """
     raw = F.coalesce(F.encode(F.col(html), "UTF-8"), F.encode(F.lit(""), "UTF-8"))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("target_uri"), raw.alias("payload")).withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
-    first = rows.where("digest is not null").groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    digests = store(rows.where("digest is not null").groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")), "digests")
+    first = store(digests.groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("first"), F.sum("n").alias("copies")).where("copies > 1 and first is not null").drop("copies"), "first")
+    revisits = digests.join(first, F.col("digest") == F.col("_d")).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = store(revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"), "revisits")
+    revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
-    return rows.join(first, F.col("digest") == F.col("_digest"), "left").select(urn("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, urn("first")).alias("refers_to"), "payload")
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select(urn("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, urn("first")).alias("refers_to"), "payload")
 
 
 def archive(pages: DataFrame, path: str, **columns) -> None:
