@@ -107,9 +107,10 @@ def groups(rows: DataFrame, fp: str, doc_id: str) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint; component_id is the smallest doc_id reachable by links."""
     prints = store(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "prints")
     roots = components(links(prints.select("fp")))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return store(rooted.join(least, "root").select("fp", "component_id"), "groups")
+    rooted = store(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    # Both sides start from files: a large group is then an ordinary skewed join, which Spark splits.
+    least = store(rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id")), "least")
+    return store(rooted.join(least, F.col("root") == F.col("_root")).select("fp", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
