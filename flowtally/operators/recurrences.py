@@ -1,13 +1,15 @@
 """Recurrences along a flow: EWMAs that hold over unknown values, and loss events.
 
-Both are grouped maps over one flow's narrow rows; the helpers are plain numpy and are
-shared with the stream.
+Both stream a flow's narrow rows through a grouped map in Arrow batches, in packet order, and
+hand the state on from batch to batch, so a flow of any length needs the memory of a
+batch.  The helpers are plain numpy and are shared with the stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,17 +18,26 @@ from flowtally.functions.unknown import MATHIS_C
 from flowtally.sources.tables import FLOW
 
 
-def ewma_paths(x: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+def in_packet_order(rows: DataFrame):
+    """``rows`` grouped by flow; a grouped map sees each flow's rows in packet order, batch by batch.
+
+    The sort within partitions starts with the grouping key, so Spark adds no sort of its own.
+    """
+    return rows.repartition(*FLOW).sortWithinPartitions(*FLOW, "pkt_idx").groupBy(*FLOW)
+
+
+def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """EWMA of each column of x after each row, for all alphas at once (NaN: unknown); shape rows x (columns * alphas).
 
     An unknown or zero average takes x as it is; else unknown, zero and infinite x leave it.
+    ``start`` holds the averages to go on from.
     """
     x = x.reshape(len(x), -1)
     wide, a = np.repeat(x, len(alphas), axis=1), np.tile(alphas, x.shape[1])
     usable, out = np.isfinite(wide) & (wide != 0), np.empty_like(wide)
     # What a usable x adds and what stays of the average; an x that is not usable adds nothing.
     added, kept = np.where(usable, a * np.where(usable, wide, 0), 0), np.where(usable, 1 - a, 1)
-    e, open_ = np.full(wide.shape[1], np.nan), True
+    e, open_ = np.full(wide.shape[1], np.nan) if start is None else np.asarray(start, float), True
     for i in range(len(x)):
         if open_:
             fresh = np.isnan(e) | (e == 0)
@@ -43,41 +54,50 @@ def ewma_features(rows: DataFrame, metrics: list[str], alphas: list[float] = ALP
     """Flow key, pkt_idx and one column per metric and alpha; unknown inverse-sqrt loss rates count as 1."""
     names = [ewma_name(m, a) for m in metrics for a in alphas]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pkt_idx")
-        x = np.column_stack([table[m].to_numpy() for m in metrics])
-        for k, m in enumerate(metrics):
-            if m == "inv_sqrt_loss_rate":
-                x[:, k] = np.where(np.isnan(x[:, k]), 1.0, x[:, k])
-        paths = ewma_paths(x, np.array(alphas))
-        # from_pandas: NaN becomes NULL.
-        return pa.table([*(table[c] for c in [*FLOW, "pkt_idx"]), *(pa.array(c, from_pandas=True) for c in paths.T)], names=[*FLOW, "pkt_idx", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            x = np.column_stack([batch.column(m).to_numpy(zero_copy_only=False) for m in metrics]).astype(float)
+            for k, m in enumerate(metrics):
+                if m == "inv_sqrt_loss_rate":
+                    x[:, k] = np.where(np.isnan(x[:, k]), 1.0, x[:, k])
+            paths = ewma_paths(x, np.array(alphas), last)
+            last = paths[-1] if len(paths) else last
+            # from_pandas: NaN becomes NULL.
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*FLOW, "pkt_idx"]), *(pa.array(c, from_pandas=True) for c in paths.T)], names=[*FLOW, "pkt_idx", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*FLOW, "pkt_idx"]), *(f"{n} double" for n in names)])
-    return rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics]).groupBy(*FLOW).applyInArrow(run, schema)
+    return in_packet_order(rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics])).applyInArrow(run, schema)
+
+
+def gap_losses(seq: np.ndarray, payload: np.ndarray, packet_seq: bool = False, highest: int = 0) -> tuple[np.ndarray, int]:
+    """Packets lost before each packet but the first, and the highest sequence number that holds after the last.
+
+    A gap counts if it follows the highest number so far, so a repeat, or what follows one, has
+    none: within a lap of the numbers a repeat never exceeds the highest.  A packet whose
+    predecessor ends past 2^32 has no loss and starts a new lap, in which equal numbers are
+    new data.  Packets without payload have no loss on either side.  The count is rounded
+    half to even.
+    """
+    before, after = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
+    full = (payload[:-1] > 0) & (payload[1:] > 0)
+    step = np.ones(len(before), np.int64) if packet_seq else payload[:-1].astype(np.int64)
+    wraps = full & (before + step > 2**32)
+    # Laps lie far apart on this axis, so one running maximum serves all of them.
+    lap = (np.cumsum(wraps) - wraps) << 33
+    high = np.maximum(np.maximum.accumulate(before + lap) - lap, np.where(lap == 0, highest, 0)) if len(before) else before
+    gap = after - step - before
+    unit = np.ones(len(before)) if packet_seq else np.maximum(payload[1:], 1)
+    lost = np.where(full & ~wraps & (high == before) & (gap > 0), np.round(gap / unit), 0).astype(np.int64)
+    return lost, (highest if not len(before) else 0 if wraps[-1] else int(high[-1]))
 
 
 class LossEvents:
-    """Loss events of one flow: how many packets each of the latest ``largest + 1`` events spans, newest first."""
-
-    def __init__(self, windows: tuple[int, ...] = (8,), packet_seq: bool = False):
-        self.windows, self.packet_seq = windows, packet_seq
-        self.events: list[list[float]] = [[0.0, 0]]
-        self.highest, self.seen = 0, set()
-
-    def losses(self, seq: int, prev_seq: int, payload: int, prev_payload: int) -> int:
-        """Packets lost between two received ones: 0 on repeats, after repeats, without payload and at a wrap."""
-        self.highest = max(self.highest, prev_seq)
-        if payload == 0 or prev_payload == 0:
-            return 0
-        step = 1 if self.packet_seq else prev_payload
-        if prev_seq + step > 2**32:
-            self.highest = 0
-            return 0
-        again = seq in self.seen or prev_seq + step > seq
-        self.seen.add(seq)
-        return 0 if again or self.highest != prev_seq else round((seq - step - prev_seq) / (1 if self.packet_seq else payload))
+    """Loss events of one flow: start and number of packets of each of the latest ``largest + 1`` events, newest first."""
+
+    def __init__(self, windows: tuple[int, ...] = (8,), events: list[list[float]] | None = None):
+        self.windows, self.events = windows, events or [[0.0, 0]]
 
     def add(self, lost: int, prev_us: float, now_us: float, rtt_us: float) -> None:
         """Spreads the losses evenly between two arrivals; a loss over an RTT after its event's start opens a new one.
@@ -110,40 +130,60 @@ class LossEvents:
 
     def rates(self) -> list[float]:
         """The loss event rate over each number of events: weights fall linearly; the newest event counts if it lowers the rate."""
-        out = []
-        for n in self.windows:
+        return self._rates(np.array([self.events[0][1]], float))[0].tolist()
+
+    def _rates(self, newest: np.ndarray) -> np.ndarray:
+        """The rates for each size of the newest event, beside the older ones; sizes x windows."""
+        older, out = np.array([e[1] for e in self.events[1:]], float), np.empty((len(newest), len(self.windows)))
+        for k, n in enumerate(self.windows):
             weights = 1 - np.arange(n) / n
-            sizes = np.array([e[1] for e in self.events], float)
-            m = min(len(sizes), n)
-            with_newest = float((sizes[:m] * weights[:m]).sum())
-            older = sizes[1 : n + 1]
-            without = float((older * weights[: len(older)]).sum())
-            out.append(weights[:m].sum() / max(with_newest, without))
+            m = min(len(older) + 1, n)
+            with_newest = newest + float((older[: m - 1] * weights[1:m]).sum())
+            without = float((older[:n] * weights[: len(older[:n])]).sum())
+            out[:, k] = weights[:m].sum() / np.maximum(with_newest, without)
+        return out
+
+    def follow(self, lost: np.ndarray, arrival_us: np.ndarray, rtt_us: np.ndarray) -> np.ndarray:
+        """The rates after each packet but the first of the arrays; packets between two losses are counted at once."""
+        out, hits = np.empty((len(lost), len(self.windows))), np.flatnonzero(lost)
+        for start, end in zip([0, *hits.tolist()], [*hits.tolist(), len(lost)]):
+            if start == end:
+                continue
+            held = self.events[0][1]
+            if lost[start]:
+                self.add(int(lost[start]), float(arrival_us[start]), float(arrival_us[start + 1]), float(rtt_us[start + 1]))
+                held = self.events[0][1] - 1
+            sizes = held + np.arange(1, end - start + 1)
+            out[start:end] = self._rates(sizes.astype(float))
+            self.events[0][1] = int(sizes[-1])
         return out
 
 
 def loss_event_features(rows: DataFrame, windows: tuple[int, ...] = (8,)) -> DataFrame:
     """Flow key, pkt_idx, and per n: loss_event_rate_cw<n>, inv_sqrt_loss_event_rate_cw<n>, mathis_ler_bps_cw<n>; the first packet's rate is 0."""
-    names = [f"loss_event_rate_cw{n}" for n in windows]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pkt_idx", kind="stable")
-        seq, t, b = (group[c].to_numpy() for c in ("seq", "arrival_us", "payload_b"))
-        rtt = group["rtt_us"].fillna(-1).to_numpy(np.float64)
-        tracker, out = LossEvents(windows), np.zeros((len(group), len(windows)))
-        for i in range(1, len(group)):
-            lost = tracker.losses(int(seq[i]), int(seq[i - 1]), int(b[i]), int(b[i - 1]))
-            tracker.add(lost, float(t[i - 1]), float(t[i]), rtt[i])
-            out[i] = tracker.rates()
-        return pd.concat([group[[*FLOW, "pkt_idx"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+    names, keys = [f"loss_event_rate_cw{n}" for n in windows], [*FLOW, "pkt_idx", "payload_b", "rtt_us"]
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*FLOW, "pkt_idx"]), *(f"{n} double" for n in names)])
-    rates = rows.select(*FLOW, "pkt_idx", "seq", "arrival_us", "payload_b", F.col("rtt_us").cast("double").alias("rtt_us")).groupBy(*FLOW).applyInPandas(run, schema)
-    joined = rates.join(rows.select(*FLOW, "pkt_idx", "rtt_us", "payload_b"), [*FLOW, "pkt_idx"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracker, high, last = LossEvents(windows), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seq, t, b, rtt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seq", "arrival_us", "payload_b", "rtt_us"))
+            rtt = np.nan_to_num(rtt.astype(float), nan=-1.0)
+            if last is not None:
+                seq, t, b, rtt = (np.concatenate([[x], y]) for x, y in zip(last, (seq, t, b, rtt)))
+            lost, high = gap_losses(seq, b, highest=high)
+            rates = tracker.follow(lost, t, rtt)
+            rates = rates if last is not None else np.vstack([np.zeros((1, len(windows))), rates])
+            last = (seq[-1], t[-1], b[-1], rtt[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *map(pa.array, rates.T)], names=[*keys, *names])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"rtt_us": "double"}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), *(f"{n} double" for n in names)])
+    rates = in_packet_order(rows.select(*FLOW, "pkt_idx", "seq", "arrival_us", "payload_b", F.col("rtt_us").cast("double").alias("rtt_us"))).applyInArrow(run, schema)
     known = lambda n: F.when(F.col(n) > 0, F.col(n))
     extra = {}
     for w, n in zip(windows, names):
         extra[f"inv_sqrt_loss_event_rate_cw{w}"] = F.lit(1.0) / F.sqrt(known(n))
         extra[f"mathis_ler_bps_cw{w}"] = F.lit(8e6 * MATHIS_C) * F.col("payload_b") / F.when(F.col("rtt_us") > 0, F.col("rtt_us")) / F.sqrt(known(n))
-    return joined.withColumns(extra).select(*FLOW, "pkt_idx", *names, *extra)
+    return rates.withColumns(extra).select(*FLOW, "pkt_idx", *names, *extra)

@@ -194,9 +194,30 @@ def w10_all_ewmas(spark, sf_dir):
     return recurrences.ewma_features(with_features(spark, sf_dir), EWMA)
 
 
-@query()
+def loss_event_oracle(source: str, rtt: str, windows: tuple[int, ...]) -> str:
+    """CTEs gaps (losses before each packet) and rates (rate<n> after each) over ``source``, one lost packet after another."""
+    most = max(windows) + 1
+    weighted = lambda n, first: f"list_sum(list_transform(range(1, least(len(sizes) - {first}, {n}) + 1), lambda i: sizes[i + {first}] * (1 - (i - 1) / {n}::DOUBLE)))"
+    rate = lambda n: f"list_sum(list_transform(range(1, least(len(sizes), {n}) + 1), lambda i: 1 - (i - 1) / {n}::DOUBLE)) / greatest({weighted(n, 0)}, coalesce({weighted(n, 1)}, 0)) AS rate{n}"
+    return f"""gaps0 AS (SELECT *, lag(seq) OVER o AS ps, lag(payload_b) OVER o AS pb, lag(arrival_us) OVER o AS pt, max(seq) OVER (PARTITION BY {KEY} ORDER BY pkt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM {source} WINDOW o AS (PARTITION BY {KEY} ORDER BY pkt_idx)),
+gaps AS (SELECT {KEY}, pkt_idx, arrival_us, pt, coalesce({rtt}, -1) AS r, CASE WHEN ps = hi AND ps + pb < seq AND pb > 0 AND payload_b > 0 THEN CAST(round_even((seq - ps - pb) / payload_b::DOUBLE, 0) AS BIGINT) ELSE 0 END AS lost FROM gaps0 WHERE pkt_idx > 0),
+items AS (SELECT {KEY}, pkt_idx, r, m > lost AS packet, pt + m * ((arrival_us - pt) / nullif(lost, 0)::DOUBLE) AS at, row_number() OVER (PARTITION BY {KEY} ORDER BY pkt_idx, m) AS step FROM (SELECT *, unnest(range(1, lost + 2)) AS m FROM gaps)),
+evs AS (SELECT DISTINCT {KEY}, CAST(0 AS BIGINT) AS step, CAST(-1 AS BIGINT) AS pkt_idx, false AS packet, [0.0::DOUBLE] AS starts, [CAST(0 AS BIGINT)] AS sizes FROM gaps
+ UNION ALL SELECT i.exp_id, i.sender_port, i.receiver_port, i.step, i.pkt_idx, i.packet,
+  CASE WHEN NOT i.packet AND i.at > e.starts[1] + i.r THEN list_slice(list_prepend(i.at, e.starts), 1, {most}) ELSE e.starts END,
+  CASE WHEN NOT i.packet AND i.at > e.starts[1] + i.r THEN list_slice(list_prepend(1, e.sizes), 1, {most}) ELSE list_prepend(e.sizes[1] + 1, list_slice(e.sizes, 2, {most})) END
+ FROM items i JOIN evs e ON i.exp_id = e.exp_id AND i.sender_port = e.sender_port AND i.receiver_port = e.receiver_port AND i.step = e.step + 1),
+rates AS (SELECT {KEY}, pkt_idx, {", ".join(map(rate, windows))} FROM evs WHERE packet)"""
+
+
+LOSS_WINDOWS = (4, 8, 16)
+
+
+@query(f"""WITH RECURSIVE {O_RTT}, {loss_event_oracle("rtt", "rtt_us", LOSS_WINDOWS)}, a AS (SELECT rtt.exp_id, rtt.sender_port, rtt.receiver_port, rtt.pkt_idx, payload_b, rtt_us, {", ".join(f"coalesce(rate{n}, 0) AS rate{n}" for n in LOSS_WINDOWS)} FROM rtt LEFT JOIN rates USING ({KEY}, pkt_idx))
+SELECT {KEY}, pkt_idx, {", ".join(f"round(rate{n}, 9) AS loss_event_rate_cw{n}, round(1 / sqrt(nullif(rate{n}, 0)), 6) AS inv_sqrt_loss_event_rate_cw{n}, round(8e6 * sqrt(1.5::DOUBLE) * payload_b / CASE WHEN rtt_us > 0 THEN rtt_us END / sqrt(nullif(rate{n}, 0)), 6) AS mathis_ler_bps_cw{n}" for n in LOSS_WINDOWS)} FROM a""")
 def w11_loss_events(spark, sf_dir):
-    return recurrences.loss_event_features(with_rtt(spark, sf_dir), (4, 8, 16))
+    rows = recurrences.loss_event_features(with_rtt(spark, sf_dir), LOSS_WINDOWS)
+    return rows.select(*FLOW, "pkt_idx", *[F.round(c, 9 if c.startswith("loss") else 6).alias(c) for c in rows.columns[4:]])
 
 
 @query(f"WITH {O_FEATURES}, c AS (SELECT *, floor(arrival_us / 3600000000) AS cell FROM feat) SELECT e.exp_id, e.sender_port, e.receiver_port, e.pkt_idx AS end_idx, CAST(least(floor((o.arrival_us - (e.arrival_us - 3600000000)) * 10 / 3600000000.0), 9) AS INT) AS bucket, count(*) AS n FROM feat e JOIN feat o ON e.exp_id = o.exp_id AND e.sender_port = o.sender_port AND e.receiver_port = o.receiver_port AND o.arrival_us BETWEEN e.arrival_us - 3600000000 AND e.arrival_us GROUP BY ALL")

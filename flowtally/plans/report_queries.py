@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowtally.functions import unknown as u
 from flowtally.operators import experiments as ex, fairness, joins, models, packets as pk, reports, sampling, scoring, windows as win
-from flowtally.plans.packet_queries import CLASS, KEY, O_LABELLED, labelled
+from flowtally.plans.packet_queries import CLASS, KEY, O_LABELLED, labelled, loss_event_oracle
 from flowtally.plans.registry import query
 from flowtally.sources import files
 from flowtally.sources.shared import stored, work_path
-from flowtally.sources.tables import FLOW, ORACLE_PACKETS, data_packets, paired_packets, table
-from flowtally.streaming import flows as live
+from flowtally.sources.tables import FLOW, ORACLE_PACKETS, data_packets, paired_packets, table, wall_micros
+from flowtally.streaming import flows as live, online
 
 DAY_US = 86_400_000_000
 
@@ -475,15 +475,13 @@ def j16_ingress_rate(spark, sf_dir):
 @query("WITH e AS (SELECT user_id + 10000 AS sender_port, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY sender_port ORDER BY t) < 86400000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT *, sum(brk) OVER (PARTITION BY sender_port ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT sender_port, min(t) AS start_us, max(t) + 86400000000 AS end_us, count(*) AS packets FROM s GROUP BY sender_port, sid")
 def j5_active_sessions(spark, sf_dir):
     """Session windows of a day's gap, as the stream's batch twin (the same plan on the same table)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") + 10000).alias("sender_port"))
+    rows = table(spark, sf_dir, "events").select(F.timestamp_micros(wall_micros("ts")).alias("ts"), (F.col("user_id") + 10000).alias("sender_port"))
     return live.active_sessions(rows, "1 day")
 
 
 @query(f"WITH {ORACLE_PACKETS} SELECT sender_port, tsecr, CAST(gen_rtt_us AS DOUBLE) AS rtt_us FROM data WHERE k % 10 <> 0 AND gen_rtt_us <= 36000000000")
 def j1_stream_rtt(spark, sf_dir):
     """A stream-stream join of received packets with the outgoing ones that they echo (RTTs up to ten hours)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     received = live.packet_stream(spark, sf_dir)
     sent_us = F.col("arrival_us") - (F.col("k") + 1) * 1_000_000_000
     sent = live.packet_stream(spark, sf_dir).where("k % 10 <> 0").select(F.timestamp_micros(sent_us).alias("ts"), "sender_port", F.col("tsecr").alias("tsval"), sent_us.alias("sent_us"))
@@ -493,7 +491,6 @@ def j1_stream_rtt(spark, sf_dir):
 @query(f"WITH {ORACLE_PACKETS} SELECT sender_port, tsecr, CAST(gen_rtt_us AS DOUBLE) AS rtt_us FROM data WHERE k % 10 <> 0")
 def j1_stream_rtt_all(spark, sf_dir):
     """The same join kept for as long as the largest RTT of the table, so that every answered packet has its RTT; state still expires."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     longest = table(spark, sf_dir, "events").agg(F.max(F.get_json_object("props", "$.k").cast("long"))).first()[0] or 0
     received = live.packet_stream(spark, sf_dir)
     sent_us = F.col("arrival_us") - (F.col("k") + 1) * 1_000_000_000
@@ -504,12 +501,61 @@ def j1_stream_rtt_all(spark, sf_dir):
 @query()
 def j2_track_flows(spark, sf_dir):
     """Keyed state: buffers, readiness, throughput, losses and removals of idle flows."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     stream = live.packet_stream(spark, sf_dir).withColumn("rtt_us", F.when(F.col("k") % 10 != 0, (F.col("k") + 1) * 1e6))
     seq = data_packets(spark, sf_dir).select("tsecr", "seq")
     return live.run_to_end(live.track_flows(stream.join(seq, "tsecr"), "1 hour", smoothing=10, idle_s=3600), "flows")
 
 
+WATCHED, WATCHED_EWMAS = [8, 32], [("rtt_us", 0.1), ("rtt_us", 0.5), ("interarrival_us", 0.1)]
+LIVE_DIGITS = {f"{m}_w{k}": d for k in WATCHED for m, d in (("interarrival_us", 3), ("tput_bps", 9), ("rtt_us", 3), ("loss_rate", 9), ("mathis_tput_bps", 6))} | {"loss_event_rate": 9, "min_rtt_us": 0, "rtt_us_ewma_a0_1": 3, "rtt_us_ewma_a0_5": 3, "interarrival_us_ewma_a0_1": 3, "target_bps": 6}
+
+
+def _oracle_live() -> str:
+    """One evaluation per flow, since the table is one micro-batch: the last ten packets, what their longest window needs, and the first decision."""
+    longest, flow = max(WATCHED), "sender_port"
+    ewma = lambda x, e, a: f"CASE WHEN {e} IS NULL OR {e} = 0 THEN {x} WHEN {x} IS NULL OR {x} = 0 THEN {e} ELSE {a}::DOUBLE * {x} + {1 - a}::DOUBLE * {e} END"
+    inside = lambda k, what: f"(SELECT {what} FROM kept q WHERE q.sender_port = j.sender_port AND q.idx BETWEEN j.s{k}"
+    starts = ", ".join(f"least(idx - 1, (SELECT min(q.idx) FROM kept q WHERE q.sender_port = kept.sender_port AND q.arrival_us >= kept.arrival_us - {k} * kept.low)) AS s{k}" for k in WATCHED)
+    sums = ", ".join(f"arrival_us - (SELECT arrival_us FROM kept q WHERE q.sender_port = j.sender_port AND q.idx = j.s{k}) AS span{k}, {inside(k, 'sum(wire_b)')} + 1 AND j.idx) AS bytes{k}, {inside(k, 'sum(lost)')} + 1 AND j.idx) AS gone{k}, {inside(k, 'avg(rtt)')} AND j.idx) AS rtts{k}" for k in WATCHED)
+    values = ", ".join(f"age >= {k} * low AS ok{k}, CASE WHEN age >= {k} * low THEN span{k} / (idx - s{k})::DOUBLE END AS interarrival_us_w{k}, CASE WHEN age >= {k} * low THEN bytes{k} * 8e6 / nullif(span{k}, 0) END AS tput_bps_w{k}, CASE WHEN age >= {k} * low THEN rtts{k} END AS rtt_us_w{k}, CASE WHEN age >= {k} * low THEN gone{k} / (gone{k} + idx - s{k})::DOUBLE END AS loss_rate_w{k}" for k in WATCHED)
+    model = ", ".join(f"8e6 * payload_b * sqrt(1.5::DOUBLE) / nullif(rtt, 0) / sqrt(nullif(loss_rate_w{k}, 0)) AS mathis_tput_bps_w{k}" for k in WATCHED)
+    columns = ", ".join(f"round({c}, {d}) AS {c}" for c, d in LIVE_DIGITS.items())
+    rtt = "CASE WHEN k % 10 <> 0 THEN gen_rtt_us::DOUBLE END"
+    return f"""WITH RECURSIVE {ORACLE_PACKETS}, src AS (SELECT {KEY}, pkt_idx, arrival_us, seq, payload_b, wire_b, {rtt} AS rtt FROM data),
+{loss_event_oracle('src', 'rtt', (8,))},
+pk AS (SELECT s.*, coalesce(g.lost, 0) AS lost, coalesce(r.rate8, 0) AS loss_event_rate, row_number() OVER (PARTITION BY s.sender_port ORDER BY pkt_idx DESC) AS back, min(rtt) OVER (PARTITION BY s.sender_port) AS low, min(s.arrival_us) OVER (PARTITION BY s.sender_port) AS first_us
+  FROM src s LEFT JOIN gaps g USING ({KEY}, pkt_idx) LEFT JOIN rates r USING ({KEY}, pkt_idx)),
+ready AS (SELECT p.sender_port, min(q.pkt_idx) AS lead, p.pkt_idx AS tenth FROM pk p JOIN pk q ON q.sender_port = p.sender_port AND q.arrival_us >= p.arrival_us - {longest} * p.low WHERE p.back = 10 AND p.pkt_idx > 0 AND p.arrival_us - p.first_us >= {longest} * p.low GROUP BY p.sender_port, p.pkt_idx),
+kept AS (SELECT pk.*, pkt_idx - least(lead, tenth - 1) AS idx, count(*) OVER (PARTITION BY pk.sender_port) AS packets, arrival_us - min(arrival_us) OVER (PARTITION BY pk.sender_port) AS age,
+  greatest(arrival_us - lag(arrival_us) OVER (PARTITION BY pk.sender_port ORDER BY pkt_idx), 1)::DOUBLE AS gap FROM pk JOIN ready USING (sender_port) WHERE pkt_idx >= least(lead, tenth - 1)),
+ew AS (SELECT sender_port, idx, rtt AS e1, rtt AS e5, NULL::DOUBLE AS g1 FROM kept WHERE idx = 0
+  UNION ALL SELECT n.sender_port, n.idx, {ewma('n.rtt', 'e.e1', 0.1)}, {ewma('n.rtt', 'e.e5', 0.5)}, {ewma('n.gap', 'e.g1', 0.1)} FROM kept n JOIN ew e ON n.sender_port = e.sender_port AND n.idx = e.idx + 1),
+st AS (SELECT *, {starts} FROM kept WHERE back <= 10),
+sm AS (SELECT *, {sums} FROM st j),
+va AS (SELECT *, {values} FROM sm),
+mo AS (SELECT *, {model} FROM va),
+lb AS (SELECT sender_port, avg(tput_bps_w8 / nullif(mathis_tput_bps_w8, 0)) AS r, arg_max(coalesce(tput_bps_w8, -1), arrival_us * 1000 - back) AS measured FROM mo GROUP BY sender_port),
+de AS (SELECT *, CASE WHEN r < 0.9 THEN 0 WHEN r <= 1.1 THEN 1 WHEN r > 1.1 THEN 2 END AS label, CASE WHEN r > 1.1 AND measured >= 0 THEN measured / 2 END AS target_bps FROM lb)
+SELECT mo.sender_port, mo.arrival_us, mo.packets, {columns.replace('min_rtt_us, 0) AS', 'low, 0) AS').replace('round(rtt_us_ewma_a0_1', 'round(e1').replace('round(rtt_us_ewma_a0_5', 'round(e5').replace('round(interarrival_us_ewma_a0_1', 'round(g1')}, label,
+  CASE WHEN target_bps IS NULL THEN 1 ELSE 0 END AS decision, CASE WHEN target_bps IS NOT NULL THEN CAST(greatest(round_even(target_bps / 8 * low / 1e6, 0), 2000) AS BIGINT) END AS rwnd_b
+FROM mo JOIN ew ON mo.sender_port = ew.sender_port AND mo.idx = ew.idx JOIN de ON mo.sender_port = de.sender_port"""
+
+
+@query(_oracle_live())
+def j8_live_decisions(spark, sf_dir):
+    """Packets to features, labels and decisions in keyed state: J2, J3, J4, J8, J12, J15 and W13 as one streaming job."""
+    stream = live.packet_stream(spark, sf_dir).withColumn("rtt_us", F.when(F.col("k") % 10 != 0, (F.col("k") + 1) * 1e9))
+    seq = data_packets(spark, sf_dir).select("tsecr", "seq")
+    rows = live.run_to_end(online.decide_live(stream.join(seq, "tsecr"), WATCHED, WATCHED_EWMAS, "1 hour", idle_s=3600), "online").where("event = 'features'")
+    return rows.select("sender_port", "arrival_us", "packets", *[F.round(c, d).alias(c) for c, d in LIVE_DIGITS.items()], "label", "decision", "rwnd_b")
+
+
+@query("WITH e AS (SELECT user_id + 10000 AS sender_port, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY sender_port ORDER BY t) < 86400000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT *, sum(brk) OVER (PARTITION BY sender_port ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g), o AS (SELECT sender_port, min(t) AS start_us, max(t) + 86400000000 AS end_us, count(*) AS packets FROM s GROUP BY sender_port, sid) SELECT * FROM o WHERE end_us <= (SELECT (max(t) // 1000 - 60000) * 1000 FROM e)")
+def j5_closed_sessions(spark, sf_dir):
+    """The sessions that the stream has closed when its source ends: those whose gap passed a minute before the newest packet."""
+    return live.run_to_end(live.active_sessions(live.packet_stream(spark, sf_dir), "1 day", "1 minute"), "sessions")
+
+
 def _decisions(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     rows = data_packets(spark, sf_dir).select(*FLOW, "pkt_idx", (F.col("k") % 3).alias("label"), (F.col("payload_b") * 8000.0).alias("tput_bps"), F.lit(20000.0).alias("min_rtt_us"))
     return live.decisions(rows, FLOW, "pkt_idx", strategy)

@@ -7,7 +7,7 @@ and the number in its properties.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 FLOW = ["exp_id", "sender_port", "receiver_port"]
 PACKET_ORDER = ["arrival_us", "pkt_idx"]
@@ -18,19 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wall_micros(name: str) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    c = F.col(name)
+    minutes = F.unix_date(F.to_date(c)) * 1440 + F.hour(c) * 60 + F.minute(c)
+    return minutes.cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def flow_window() -> Window:
     return Window.partitionBy(*FLOW).orderBy("pkt_idx")
 
 
 def data_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Received data packets: flow key, pkt_idx, seq, arrival_us, tsecr, payload_b, wire_b, gen_rtt_us, k."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     base = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 5).alias("exp_id"),
         (F.col("user_id") + 10000).alias("sender_port"),
         F.lit(5201).cast("long").alias("receiver_port"),
         (F.col("user_id") % 3).alias("sender_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival_us"),
+        wall_micros("ts").alias("arrival_us"),
         F.col("event_id").alias("tsecr"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.col("event_type"),

@@ -1,4 +1,4 @@
-"""Rates, sessions, round trips and flow state on live packets, with Structured Streaming; decisions in batch form.
+"""Rates, sessions, round trips and flow state on live packets, with Structured Streaming; decisions in batch form (``online`` has them as keyed state).
 
 Every streaming job runs on an unbounded source and, in tests and registered queries, to the end of
 what is there (``run_to_end``).  State is keyed by flow and expires by event time.
@@ -6,6 +6,7 @@ what is there (``run_to_end``).  State is keyed by flow and expires by event tim
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowtally.functions.registry import WINDOWS
 from flowtally.functions.unknown import MATHIS_C, MIN_RWND_B, MSS_B
-from flowtally.operators.recurrences import LossEvents
+from flowtally.operators.recurrences import LossEvents, gap_losses
 from flowtally.sources.shared import work_path
+from flowtally.sources.tables import wall_micros
 
 SMOOTHING, IDLE_S, ACTIVE_S = 10, 60, 5
 
@@ -28,8 +30,8 @@ def packet_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1)
     path = f"{sf_dir}/event[s].parquet"
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return raw.select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival_us"),
+        F.timestamp_micros(wall_micros("ts")).alias("ts"),
+        wall_micros("ts").alias("arrival_us"),
         (F.col("user_id") % 3).alias("sender_id"),
         (F.col("user_id") + 10000).alias("sender_port"),
         F.col("event_id").alias("tsecr"),
@@ -77,12 +79,21 @@ def stream_rtt(received: DataFrame, sent: DataFrame, keep: str = "1 hour") -> Da
     return r.join(s, on).select("r.sender_port", "r.tsecr", (F.col("r.arrival_us") - F.col("s.sent_us")).cast("double").alias("rtt_us"))
 
 
-FLOW_STATE = "arrivals array<long>, payloads array<long>, losses array<long>, first_us long, min_rtt_us double, emitted long, last_seq long, highest_seq long, seen array<long>, event_starts array<double>, event_sizes array<long>"
+FLOW_STATE = "arrivals array<long>, payloads array<long>, losses array<long>, first_us long, min_rtt_us double, emitted long, last_seq long, highest_seq long, event_starts array<double>, event_sizes array<long>"
 FLOW_OUTPUT = "sender_port long, event string, arrival_us long, packets long, tput_bps double, min_rtt_us double, loss_rate double, loss_event_rate double"
 
 
+def in_order(frames: Iterator[pd.DataFrame], newest: int | None) -> tuple[pd.DataFrame, int]:
+    """A batch's packets in order of time, without those older than ``newest``, and the number of these late ones."""
+    batch = pd.concat(list(frames))
+    batch = batch.sort_values(["arrival_us", *(c for c in ("tsecr",) if c in batch)], kind="stable")
+    fresh = batch if newest is None else batch[batch["arrival_us"] >= newest]
+    return fresh, len(batch) - len(fresh)
+
+
 def flow_tracker(smoothing: int = SMOOTHING, longest: int = max(WINDOWS), idle_s: int = IDLE_S):
-    """State function: buffers a flow's packets, emits features once it is ready and a "removed" row once it has idled.
+    """State function: buffers a flow's packets, emits features once it is ready, a "late" row with the count of packets older than
+    what was seen, and a "removed" row once the flow has idled.
 
     Losses follow from sequence numbers by the tracker of the batch form: loss_rate over the
     packets of the smoothing window, loss_event_rate over all packets of the flow.  Both are
@@ -97,39 +108,42 @@ def flow_tracker(smoothing: int = SMOOTHING, longest: int = max(WINDOWS), idle_s
             yield pd.DataFrame([(key[0], "removed", arrivals[-1] if len(arrivals) else 0, emitted, None, low, None, None)], columns=names)
             return
         tracker = LossEvents()
-        arrivals, payloads, losses, first, low, emitted, seq = [], [], [], None, float("inf"), 0, None
+        arrivals, payloads, losses, first, low, emitted, seq, highest = [], [], [], None, float("inf"), 0, None, 0
         if state.exists:
-            arrivals, payloads, losses, first, low, emitted, seq, tracker.highest, seen, starts, sizes = state.get
-            tracker.seen, tracker.events = set(seen), [[a, n] for a, n in zip(starts, sizes)]
+            arrivals, payloads, losses, first, low, emitted, seq, highest, starts, sizes = state.get
+            tracker.events = [[a, n] for a, n in zip(starts, sizes)]
         arrivals, payloads, losses, out = list(arrivals), list(payloads), list(losses), []
-        # Packets of a batch are put in order; those older than what was seen are left out.
-        batch = pd.concat(list(frames))
+        batch, late = in_order(frames, arrivals[-1] if arrivals else None)
+        if late:
+            out.append((key[0], "late", arrivals[-1], late, None, low, None, None))
+        t, b = batch["arrival_us"].to_numpy(np.int64), batch["payload_b"].to_numpy(np.int64)
+        rtt = batch["rtt_us"].to_numpy(float, na_value=np.nan)
         numbered = "seq" in batch
-        batch = batch.sort_values(["arrival_us", *(c for c in ("tsecr",) if c in batch)], kind="stable")
-        for row in batch.itertuples():
-            if arrivals and row.arrival_us < arrivals[-1]:
+        lost, rates = np.zeros(len(t), np.int64), np.zeros(len(t))
+        if numbered and len(t):
+            numbers, known = batch["seq"].to_numpy(np.int64), len(arrivals) > 0
+            before = lambda last, x: np.concatenate([[last], x]) if known else x
+            gaps, highest = gap_losses(before(seq, numbers), before(payloads[-1] if known else 0, b), highest=highest)
+            found = tracker.follow(gaps, before(arrivals[-1] if known else 0, t), before(-1.0, np.nan_to_num(rtt, nan=-1.0)))[:, 0]
+            lost[len(t) - len(gaps) :], rates[len(t) - len(gaps) :], seq = gaps, found, int(numbers[-1])
+        first = int(t[0]) if first is None and len(t) else first
+        lows = np.minimum.accumulate(np.minimum(np.where(rtt > 0, rtt, np.inf), low)) if len(t) else rtt
+        for i in range(len(t)):
+            low = float(lows[i])
+            arrivals.append(int(t[i]))
+            payloads.append(int(b[i]))
+            losses.append(int(lost[i]))
+            if len(arrivals) < smoothing or not np.isfinite(low) or arrivals[-smoothing] - first < low * longest:
                 continue
-            lost = 0
-            if numbered and arrivals:
-                lost = tracker.losses(int(row.seq), int(seq), int(row.payload_b), int(payloads[-1]))
-                tracker.add(lost, float(arrivals[-1]), float(row.arrival_us), float(row.rtt_us) if pd.notna(row.rtt_us) else -1.0)
-            seq = int(row.seq) if numbered else None
-            losses.append(lost)
-            first = row.arrival_us if first is None else first
-            low = min(low, row.rtt_us) if row.rtt_us and row.rtt_us > 0 else low
-            arrivals.append(row.arrival_us)
-            payloads.append(row.payload_b)
-            ready = len(arrivals) >= smoothing and np.isfinite(low) and arrivals[-smoothing] - first >= low * longest
-            if ready:
-                span = arrivals[-1] - arrivals[-smoothing]
-                rate = sum(payloads[-smoothing + 1 :]) * 8e6 / span if span else None
-                emitted += 1
-                gone = sum(losses[-smoothing + 1 :])
-                loss = (gone / (gone + smoothing - 1), tracker.rates()[0]) if numbered else (None, None)
-                out.append((key[0], "features", arrivals[-1], len(arrivals), rate, low, *loss))
-                keep = int(np.searchsorted(arrivals, arrivals[-1] - low * longest))
-                arrivals, payloads, losses = arrivals[keep:], payloads[keep:], losses[keep:]
-        state.update((arrivals, payloads, losses, first, low, emitted, seq, tracker.highest, sorted(tracker.seen), [float(a) for a, _ in tracker.events], [int(n) for _, n in tracker.events]))
+            span = arrivals[-1] - arrivals[-smoothing]
+            rate = sum(payloads[-smoothing + 1 :]) * 8e6 / span if span else None
+            emitted += 1
+            gone = sum(losses[-smoothing + 1 :])
+            loss = (gone / (gone + smoothing - 1), float(rates[i])) if numbered else (None, None)
+            out.append((key[0], "features", arrivals[-1], len(arrivals), rate, low, *loss))
+            keep = bisect_left(arrivals, arrivals[-1] - low * longest)
+            del arrivals[:keep], payloads[:keep], losses[:keep]
+        state.update((arrivals, payloads, losses, first, low, emitted, seq, highest, [float(a) for a, _ in tracker.events], [int(n) for _, n in tracker.events]))
         if arrivals and state.getCurrentWatermarkMs() < arrivals[-1] // 1000 + idle_s * 1000:
             state.setTimeoutTimestamp(int(arrivals[-1] // 1000 + idle_s * 1000))
         if out:
@@ -164,17 +178,28 @@ def decide(label: int, measured_bps: float, paced_bps: float | None, strategy: s
     return paced_bps
 
 
+def paced_rates(labels: np.ndarray, measured_bps: np.ndarray, paced_bps: float | None, strategy: str = "aimd") -> np.ndarray:
+    """The paced rate after each label in turn (NaN: not paced); rows between changes are filled at once."""
+    out, moves = np.empty(len(labels)), np.flatnonzero(labels != 1)
+    out[: moves[0] if len(moves) else len(out)] = np.nan if paced_bps is None else paced_bps
+    for i, after in zip(moves.tolist(), [*moves[1:].tolist(), len(labels)]):
+        paced_bps = decide(int(labels[i]), float(measured_bps[i]), paced_bps, strategy)
+        out[i:after] = np.nan if paced_bps is None else paced_bps
+    return out
+
+
 def decisions(rows: DataFrame, key: list[str], order: str, strategy: str = "aimd") -> DataFrame:
     """Batch form: a decision per row of each flow in order (label, tput_bps, min_rtt_us): decision, target_bps, rwnd_b."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*key, order]), "decision int, target_bps double, rwnd_b double"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group, paced, out = group.sort_values(order, kind="stable"), None, []
-        for row in group.itertuples():
-            paced = decide(int(row.label), float(row.tput_bps), paced, strategy)
-            out.append((NOT_PACED, None, None) if paced is None else (PACED, paced, paced / 8 * row.min_rtt_us / 1e6))
-        return pd.concat([group[[*key, order]].reset_index(drop=True), pd.DataFrame(out, columns=["decision", "target_bps", "rwnd_b"])], axis=1)
+        group = group.sort_values(order, kind="stable")
+        target = paced_rates(group["label"].to_numpy(), group["tput_bps"].to_numpy(float), None, strategy)
+        out = group[[*key, order]].reset_index(drop=True)
+        out["decision"] = np.where(np.isnan(target), NOT_PACED, PACED)
+        out["target_bps"], out["rwnd_b"] = target, target / 8 * group["min_rtt_us"].to_numpy(float) / 1e6
+        return out.replace({np.nan: None}).infer_objects()
 
     return rows.select(*key, order, "label", "tput_bps", "min_rtt_us").groupBy(*key).applyInPandas(run, schema)
 

@@ -254,3 +254,57 @@ def test_interpolation_is_clamped(spark):
     series = spark.createDataFrame([(1, 10, 1.0), (1, 20, 3.0)], "k long, x_us long, tput_bps double")
     grid = spark.createDataFrame([(1, x) for x in (0, 10, 15, 30)], "k long, at long")
     assert [r.tput_bps for r in fairness.interpolate(series, grid, ["k"]).orderBy("at").collect()] == [1.0, 1.0, 2.0, 3.0]
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([-3000, -100, 0, 0, 0, 50, 100, 700, 2**31]), st.sampled_from([0, 1, 100, 100, 1448])), min_size=1, max_size=30), st.integers(0, 30), st.integers(2**32 - 4000, 2**32 - 1))
+def test_gap_losses_against_one_packet_after_another(steps, cut, origin):
+    seq, b, at = [], [], origin
+    for jump, payload in steps:
+        at = max(0, at + jump) % 2**32
+        seq.append(at)
+        b.append(payload)
+        at += payload
+    want, high = [], 0
+    for i in range(1, len(seq)):
+        high = max(high, seq[i - 1])
+        end = seq[i - 1] + b[i - 1]
+        if b[i] and b[i - 1] and end > 2**32:
+            high = 0
+            want.append(0)
+        else:
+            want.append(round((seq[i] - end) / b[i]) if b[i] and b[i - 1] and end < seq[i] and high == seq[i - 1] else 0)
+    s, p = np.array(seq, np.int64), np.array(b, np.int64)
+    lost, last = recurrences.gap_losses(s, p)
+    assert lost.tolist() == want and (len(seq) < 2 or last == high)
+    # In two parts that share a packet, as batches do.
+    k = min(cut, len(seq) - 1)
+    first, high = recurrences.gap_losses(s[: k + 1], p[: k + 1])
+    second, _ = recurrences.gap_losses(s[k:], p[k:], highest=high)
+    assert [*first.tolist(), *second.tolist()] == want
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 1, 3, 40]), st.integers(0, 500), st.sampled_from([-1.0, 0.0, 3.0, 50.0, 400.0])), min_size=1, max_size=40))
+def test_packets_between_losses_are_counted_at_once(steps):
+    windows = (4, 8, 16)
+    a, b = recurrences.LossEvents(windows), recurrences.LossEvents(windows)
+    t = np.cumsum([1000, *[g for _, g, _ in steps]]).astype(float)
+    got = a.follow(np.array([x for x, _, _ in steps]), t, np.array([0.0, *[r for _, _, r in steps]]))
+    for i, (lost, _, rtt) in enumerate(steps):
+        slow_events(b, lost, t[i], t[i + 1], rtt)
+        assert np.allclose(got[i], b.rates(), rtol=1e-12)
+    assert [e[1] for e in a.events] == [e[1] for e in b.events]
+
+
+def test_long_flows_go_through_in_batches(spark):
+    """State is handed on from batch to batch: the result does not depend on the batches' size."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("exp_id"), F.lit(1).alias("sender_port"), F.lit(1).alias("receiver_port"), F.floor(F.col("id") / 3).alias("pkt_idx"), (F.col("id") * 100 + F.when(F.col("id") % 50 == 0, 700).otherwise(0)).alias("seq"), (F.col("id") * 1000).alias("arrival_us"), F.lit(100).alias("payload_b"), F.when(F.col("id") % 7 != 0, 5000.0 + F.col("id") % 11).alias("rtt_us"))
+    found, limit = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found.append([sorted(map(tuple, df.collect())) for df in (recurrences.ewma_features(rows, ["rtt_us"], [0.1, 0.9]), recurrences.loss_event_features(rows, (4, 8)))])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert found[0] == found[1] and len(found[0][0]) == 3000
