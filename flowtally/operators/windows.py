@@ -122,24 +122,27 @@ def flow_windows(packets: DataFrame, windows: list[int] = WINDOWS, mode: str = "
     return rows.withColumns(out).select(*packets.columns, *[f"s_w{k}" for k in windows], *out)
 
 
-def merged_windows(packets: DataFrame, windows: list[int] = WINDOWS, method: str = "auto") -> DataFrame:
-    """Adds total_tput_bps_w<k> and tput_fair_share_bps_w<k>: throughput of all flows of the experiment over the merged timeline.
+def merged_totals(packets: DataFrame, windows: list[int] = WINDOWS, method: str = "auto") -> DataFrame:
+    """Flow key, pkt_idx, total_tput_bps_w<k> and tput_fair_share_bps_w<k>: throughput of all flows of the experiment over the merged timeline.
 
-    Only narrow rows move to the experiment key; results come back on (flow, pkt_idx).
+    Only narrow columns of ``packets`` are read; pass stored rows, since they are read twice.
     """
-    flow_no = F.dense_rank().over(Window.partitionBy("exp_id").orderBy(*FLOW[1:]))
-    ordinals = packets.select(*FLOW).distinct().withColumn("_flow_no", flow_no)
-    narrow = packets.select(*FLOW, "pkt_idx", "arrival_us", "wire_b", "min_rtt_us", "active_flows", "bw_bps", "use_bess").join(ordinals, FLOW)
-    order = Window.partitionBy("exp_id").orderBy("arrival_us", "_flow_no", "pkt_idx")
+    method = _pick(packets, ["exp_id"], method)
+    narrow = packets.select(*FLOW, "pkt_idx", "arrival_us", "wire_b", "min_rtt_us", "active_flows", "bw_bps", "use_bess")
+    order = Window.partitionBy("exp_id").orderBy("arrival_us", *FLOW[1:], "pkt_idx")
     merged = narrow.withColumn("m_idx", (F.row_number().over(order) - 1).cast("long")).withColumn("_bytes", F.sum("wire_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = window_starts(merged, windows, ["exp_id"], "m_idx", method=method, forward_only=True, carry=["arrival_us", "_bytes"])
     out = {}
     for k in windows:
         tput = bits_per_second(F.col("_bytes") - F.col(f"_bytes_at_w{k}"), F.col("arrival_us") - F.col(f"arrival_us_at_w{k}"))
         out[f"total_tput_bps_w{k}"] = F.when(~F.col("use_bess") | (tput <= F.col("bw_bps")), tput)
-    totals = rows.withColumns(out)
     shares = {f"tput_fair_share_bps_w{k}": F.col(f"total_tput_bps_w{k}") / F.col("active_flows") for k in windows}
-    return packets.join(totals.withColumns(shares).select(*FLOW, "pkt_idx", *out, *shares), [*FLOW, "pkt_idx"])
+    return rows.withColumns(out).withColumns(shares).select(*FLOW, "pkt_idx", *out, *shares)
+
+
+def merged_windows(packets: DataFrame, windows: list[int] = WINDOWS, method: str = "auto") -> DataFrame:
+    """``packets`` with their ``merged_totals``, brought back on (flow, pkt_idx)."""
+    return packets.join(merged_totals(packets, windows, method), [*FLOW, "pkt_idx"])
 
 
 def fairness_ratios(rows: DataFrame, windows: list[int] = WINDOWS) -> DataFrame:

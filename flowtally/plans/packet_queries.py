@@ -146,19 +146,21 @@ mt AS (SELECT j.exp_id, j.sender_port, j.receiver_port, j.pkt_idx, j.active_flow
 
 @query(f"WITH {_oracle_merged(8)} SELECT {KEY}, pkt_idx, round(total, 9) AS total_tput_bps_w8, round(total / active_flows, 9) AS tput_fair_share_bps_w8 FROM mt")
 def w8_merged_windows(spark, sf_dir):
-    rows = win.merged_windows(with_features(spark, sf_dir), [8])
+    rows = win.merged_totals(with_features(spark, sf_dir), [8])
     return rows.select(*FLOW, "pkt_idx", *[F.round(c, 9).alias(c) for c in ("total_tput_bps_w8", "tput_fair_share_bps_w8")])
 
 
 @query(f"WITH {_oracle_merged(8)} SELECT {KEY}, pkt_idx, round(total, 9) AS total_tput_bps_w8 FROM mt")
 def c7_merged_windows_builtin(spark, sf_dir):
-    return win.merged_windows(with_features(spark, sf_dir), [8], method="builtin").select(*FLOW, "pkt_idx", F.round("total_tput_bps_w8", 9).alias("total_tput_bps_w8"))
+    return win.merged_totals(with_features(spark, sf_dir), [8], method="builtin").select(*FLOW, "pkt_idx", F.round("total_tput_bps_w8", 9).alias("total_tput_bps_w8"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows with windows of 8, the ground truth ratio and its class."""
-    rows = win.flow_windows(with_features(spark, sf_dir), [8])
-    rows = win.fairness_ratios(win.merged_windows(rows, [8]), [8])
+    packets = with_features(spark, sf_dir)
+    # Both kinds of windows start from the stored packets; the flows' own go through their grouped map once.
+    rows = win.flow_windows(packets, [8]).join(win.merged_totals(packets, [8]), [*FLOW, "pkt_idx"])
+    rows = win.fairness_ratios(rows, [8])
     return rows.withColumns({"label": u.fairness_class(F.col("tput_to_fair_ratio_w8")), "binary": u.binary_class(F.col("tput_to_fair_ratio_w8")), "mathis_class": u.fairness_class(u.safe_div(F.col("tput_bps_w8"), F.col("mathis_tput_bps_w8")))})
 
 
