@@ -87,6 +87,11 @@ def sender_series(series: DataFrame) -> DataFrame:
     return series.join(length, ["exp_id", "sender_id"]).where("sample_idx <= _last").groupBy("exp_id", "sender_id", "sample_idx").agg(F.sum("tput_bps").alias("tput_bps"))
 
 
+def mixed_senders(flows: DataFrame) -> DataFrame:
+    """Senders of an experiment whose flows differ in congestion control: exp_id, sender_id, ccas (sorted)."""
+    return flows.groupBy("exp_id", "sender_id").agg(F.array_sort(F.collect_set("cca")).alias("_c")).where(F.size("_c") > 1).select("exp_id", "sender_id", F.concat_ws(",", "_c").alias("ccas"))
+
+
 def avg_flow_throughput(rows: DataFrame, column: str) -> DataFrame:
     """Mean known windowed throughput of each flow."""
     return rows.groupBy(*FLOW).agg(F.avg(column).alias("mean_tput_bps"))

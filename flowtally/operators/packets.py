@@ -109,12 +109,20 @@ def flag_non_finite(rows: DataFrame, columns: list[str], by: list[str] = EXP) ->
     return rows.groupBy(*by).agg(*[bad(F.col(c)).alias(c) for c in columns]).unpivot(by, columns, "feature", "has_non_finite")
 
 
-def replace_unknowns(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Unknown values become the column's mean (one aggregate row); all-unknown columns stay unknown."""
+def replace_unknowns(rows: DataFrame, columns: list[str], mode: str = "mean") -> DataFrame:
+    """Unknown values become the column's mean (one aggregate row), or with mode "trees" NaN; all-unknown columns stay unknown under "mean"."""
+    if mode == "trees":
+        return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns})
     means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
     return rows.join(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
+def unknown_report(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Long form (feature, n_unknown, all_unknown): one aggregate over all columns."""
+    counts = rows.agg(*[F.count(F.lit(1)).alias("_n"), *[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in columns]])
+    return counts.unpivot(["_n"], columns, "feature", "known").select("feature", (F.col("_n") - F.col("known")).alias("n_unknown"), (F.col("known") == 0).alias("all_unknown"))
+
+
 def replace_infinite(c: Column) -> Column:
     """Infinite values become unknown."""
     return F.when(F.abs(c) != float("inf"), c)

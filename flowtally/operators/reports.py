@@ -23,9 +23,9 @@ def cdf(rows: DataFrame, value: str, by: list[str] = []) -> DataFrame:
     return counts.select(*by, value, (F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)).alias("cdf"))
 
 
-def binned_cdf(rows: DataFrame, value: str, bins: int | None = None) -> DataFrame:
-    """CDF over equal-width bins, as many as there are values unless given: (bin, upper, cdf)."""
-    hist = histogram(rows, value, bins or max(1, rows.where(F.col(value).isNotNull()).count()))
+def binned_cdf(rows: DataFrame, value: str, bins: int = 1000) -> DataFrame:
+    """CDF over ``bins`` equal-width bins: (bin, upper, cdf); one row per bin at most, so the running sum is small."""
+    hist = histogram(rows, value, bins)
     w = Window.orderBy("bin")
     return hist.select("bin", "upper", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
 
@@ -71,6 +71,21 @@ def cca_pair_summary(experiments: DataFrame) -> DataFrame:
     return rows.groupBy("cca_1", "cca_2").agg(F.avg("jain_off").alias("jain_off"), F.avg("jain_on").alias("jain_on"), F.avg(F.col("jain_on") - F.col("jain_off")).alias("change"), F.count(F.lit(1)).alias("n"))
 
 
+def pooled_cdfs(experiments: DataFrame, metrics: list[str]) -> DataFrame:
+    """CDF of each metric over all pairs but those with dctcp: metric, value, cdf."""
+    rows = experiments.where((F.col("cca_1") != "dctcp") & (F.col("cca_2") != "dctcp"))
+    return cdf(rows.unpivot([], metrics, "metric", "value"), "value", ["metric"])
+
+
+def class_deltas(utilisation: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
+    """Utilisation per class (flow_class) without and with the mechanism (enabled) side by side, with delta and percent of each class."""
+    names = F.concat("flow_class", F.when(F.col("enabled"), "_on").otherwise("_off"))
+    wide = utilisation.where(F.col("flow_class").isin(classes)).withColumn("_side", names).groupBy(*by).pivot("_side", [f"{c}_{s}" for c in classes for s in ("off", "on")]).agg(F.first("utilisation"))
+    for c in classes:
+        wide = paired_deltas(wide, c)
+    return wide
+
+
 def counter_means(counters: DataFrame, columns: list[str]) -> DataFrame:
     return counters.agg(*[F.avg(c).alias(c) for c in columns])
 

@@ -163,6 +163,11 @@ def smallest_safe_window(errors: DataFrame) -> DataFrame:
     return errors.groupBy("exp_id").agg(F.coalesce(F.min(F.when(F.col("n_errors") == 0, F.col("k"))), F.lit(0)).alias("safe_k"))
 
 
+def global_safe_window(errors: DataFrame) -> DataFrame:
+    """The largest of the experiments' smallest safe windows, one row."""
+    return smallest_safe_window(errors).agg(F.max("safe_k").alias("safe_k"))
+
+
 def flatten_window(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     """The last n packets' columns side by side: <column>_<i> with i = 0 for the packet itself."""
     w = flow_window()

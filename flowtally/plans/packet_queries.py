@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtally.functions import unknown as u
+from flowtally.functions.registry import ALPHAS, EWMA, ewma_name
 from flowtally.operators import fairness, features, joins, packets as pk, recurrences, windows as win
 from flowtally.plans.registry import query
 from flowtally.sources.shared import stored
@@ -188,12 +189,27 @@ def w10_ewma(spark, sf_dir):
     return rows.select(*FLOW, "pkt_idx", *[F.round(c, 3).alias(c) for c in ("rtt_us_ewma_a0_1", "rtt_us_ewma_a0_5", "interarrival_us_ewma_a0_1")])
 
 
-@query()
+EWMA_DIGITS = {"interarrival_us": 3, "inv_interarrival_bps": 9, "rtt_us": 3, "rtt_ratio": 9, "loss_rate": 9, "inv_sqrt_loss_rate": 6, "mathis_tput_bps": 6}
+
+
+def _oracle_ewmas() -> str:
+    """All averages in one recursion along the packets."""
+    value = lambda m: f"coalesce({m}, 1)" if m == "inv_sqrt_loss_rate" else m
+    both = [(m, a, ewma_name(m, a)) for m in EWMA for a in ALPHAS]
+    first = ", ".join(f"{value(m)}::DOUBLE AS {n}" for m, _, n in both)
+    step = lambda m, a, n: f"CASE WHEN e.{n} IS NULL OR e.{n} = 0 THEN f.{m} WHEN f.{m} IS NULL OR f.{m} = 0 THEN e.{n} ELSE {a!r}::DOUBLE * f.{m} + (1 - {a!r}::DOUBLE) * e.{n} END"
+    return f"""WITH RECURSIVE {O_FEATURES}, fx AS (SELECT {KEY}, pkt_idx, {", ".join(f"{value(m)}::DOUBLE AS {m}" for m in EWMA)} FROM feat),
+ew AS (SELECT {KEY}, pkt_idx, {first} FROM feat WHERE pkt_idx = 0
+ UNION ALL SELECT f.exp_id, f.sender_port, f.receiver_port, f.pkt_idx, {", ".join(step(*x) for x in both)}
+ FROM fx f JOIN ew e ON f.exp_id = e.exp_id AND f.sender_port = e.sender_port AND f.receiver_port = e.receiver_port AND f.pkt_idx = e.pkt_idx + 1)
+SELECT {KEY}, pkt_idx, {", ".join(f"round({n}, {EWMA_DIGITS[m]}) AS {n}" for m, _, n in both)} FROM ew"""
+
+
+@query(_oracle_ewmas())
 def w10_all_ewmas(spark, sf_dir):
     """All seven metrics and twenty factors."""
-    from flowtally.functions.registry import EWMA
-
-    return recurrences.ewma_features(with_features(spark, sf_dir), EWMA)
+    rows = recurrences.ewma_features(with_features(spark, sf_dir), EWMA)
+    return rows.select(*FLOW, "pkt_idx", *[F.round(ewma_name(m, a), EWMA_DIGITS[m]).alias(ewma_name(m, a)) for m in EWMA for a in ALPHAS])
 
 
 def loss_event_oracle(source: str, rtt: str, windows: tuple[int, ...]) -> str:
@@ -331,9 +347,17 @@ def d5_class_utilisation(spark, sf_dir):
     return fairness.class_utilisation(flows, ["exp_id"], "sender").withColumn("utilisation", F.round("utilisation", 9))
 
 
-@query()
+O_SERIES = ORACLE_PACKETS + f""",
+cu AS (SELECT *, sum(wire_b) OVER (PARTITION BY {KEY} ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING) AS upto FROM data),
+nx AS (SELECT a.exp_id, a.sender_port, a.receiver_port, a.pkt_idx, min(b.pkt_idx) AS nxt FROM data a LEFT JOIN data b ON a.exp_id = b.exp_id AND a.sender_port = b.sender_port AND a.receiver_port = b.receiver_port AND b.arrival_us > a.arrival_us + 86400000000 GROUP BY ALL),
+bk AS (SELECT exp_id, sender_port, receiver_port, pkt_idx, nxt FROM nx WHERE pkt_idx = 0 UNION ALL SELECT nx.exp_id, nx.sender_port, nx.receiver_port, nx.pkt_idx, nx.nxt FROM nx JOIN bk ON nx.exp_id = bk.exp_id AND nx.sender_port = bk.sender_port AND nx.receiver_port = bk.receiver_port AND nx.pkt_idx = bk.nxt),
+series AS (SELECT s.exp_id, s.sender_port, s.receiver_port, s.sender_id, row_number() OVER (PARTITION BY s.exp_id, s.sender_port, s.receiver_port ORDER BY s.pkt_idx) - 1 AS sample_idx, (s.arrival_us + z.arrival_us) / 2.0::DOUBLE AS x_us, (z.upto - s.upto) * 8e6 / (z.arrival_us - s.arrival_us) AS tput
+ FROM bk JOIN cu s USING ({KEY}, pkt_idx) JOIN cu z ON z.exp_id = s.exp_id AND z.sender_port = s.sender_port AND z.receiver_port = s.receiver_port AND z.pkt_idx = bk.nxt - 1 WHERE z.arrival_us > s.arrival_us)"""
+
+
+@query(f"WITH RECURSIVE {O_SERIES} SELECT {KEY}, sender_id, sample_idx, x_us, round(tput, 9) AS tput_bps FROM series")
 def d6_throughput_series(spark, sf_dir):
-    return fairness.throughput_series(data_packets(spark, sf_dir), 86_400_000_000)
+    return fairness.throughput_series(data_packets(spark, sf_dir), 86_400_000_000).withColumn("tput_bps", F.round("tput_bps", 9))
 
 
 @query(f"WITH {ORACLE_PACKETS} SELECT {KEY}, CAST(floor(arrival_us / 86400000000) AS BIGINT) AS bucket, round(sum(wire_b) * 8e6 / 86400000000, 9) AS tput_bps FROM data GROUP BY ALL")
@@ -341,9 +365,10 @@ def d6_throughput_grid(spark, sf_dir):
     return fairness.throughput_grid(data_packets(spark, sf_dir), 86_400_000_000).withColumn("tput_bps", F.round("tput_bps", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {O_SERIES}, fi AS (SELECT exp_id, sender_id, min(sender_port) AS sender_port FROM series GROUP BY ALL), le AS (SELECT exp_id, sender_id, max(sample_idx) AS last FROM series JOIN fi USING (exp_id, sender_id, sender_port) GROUP BY ALL)
+SELECT exp_id, sender_id, sample_idx, round(sum(tput), 9) AS tput_bps FROM series JOIN le USING (exp_id, sender_id) WHERE sample_idx <= last GROUP BY ALL""")
 def d7_sender_series(spark, sf_dir):
-    return fairness.sender_series(fairness.throughput_series(data_packets(spark, sf_dir), 86_400_000_000))
+    return fairness.sender_series(fairness.throughput_series(data_packets(spark, sf_dir), 86_400_000_000)).withColumn("tput_bps", F.round("tput_bps", 9))
 
 
 @query(f"WITH {O_LABELLED} SELECT {KEY}, round(avg(flow_tput), 9) AS mean_tput_bps FROM labelled GROUP BY {KEY}")

@@ -122,11 +122,15 @@ def c10_maxmin_shares(spark, sf_dir):
     return fairness.maxmin_shares(packets, rates).select(*FLOW, "from_s", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+_ON = "SELECT t.exp_id, t.sender_port, t.receiver_port, from_s, (sum(wire_b) - arg_min(wire_b, pkt_idx)) * 8e6 / nullif(max(rel_us) - min(rel_us), 0) / (max(maxmin_mbps) * 1e6) AS ratio FROM two t JOIN mr ON t.exp_id = mr.exp_id AND t.sender_id = mr.sender_id AND rel_us >= from_s * 1e6 AND rel_us < to_s * 1e6 WHERE tsecr % 2 = 0 GROUP BY ALL"
+
+
+@query(O_SHARES + f", so AS ({_ON}), a AS (SELECT from_s, avg(ratio) AS off FROM sh GROUP BY from_s), b AS (SELECT from_s, avg(ratio) AS o FROM so GROUP BY from_s) SELECT from_s, round(off, 6) AS ratio_off, round(o, 6) AS ratio_on, round((o - off) / nullif(off, 0) * 100, 3) AS change_pct FROM a JOIN b USING (from_s)")
 def d15_bottleneck_change(spark, sf_dir):
     packets, rates = _maxmin(spark, sf_dir)
     rates = stored(rates, "rates")
-    return fairness.bottleneck_change(fairness.maxmin_shares(packets, rates), fairness.maxmin_shares(packets.where("tsecr % 2 = 0"), rates))
+    out = fairness.bottleneck_change(fairness.maxmin_shares(packets, rates), fairness.maxmin_shares(packets.where("tsecr % 2 = 0"), rates))
+    return out.select("from_s", F.round("ratio_off", 6).alias("ratio_off"), F.round("ratio_on", 6).alias("ratio_on"), F.round("change_pct", 3).alias("change_pct"))
 
 
 @query(f"""WITH {ORACLE_PACKETS}, days AS (SELECT {KEY}, CAST(floor(arrival_us / 86400000000) AS BIGINT) AS x, CAST(sum(wire_b) AS DOUBLE) AS y FROM data GROUP BY ALL),
@@ -592,8 +596,26 @@ def j11_sender_ready(spark, sf_dir):
     return live.sender_ready(flows.join(F.broadcast(latest)), F.col("n") >= 60, F.col("z") >= F.col("_z") - 432_000_000_000)
 
 
-@query()
+MERGED = ["rtt_us", "loss_event_rate", "loss_rate", "tput_bps", "min_rtt_us"]
+
+
+def _oracle_sender_merge() -> str:
+    """Each flow at the last ten times of its sender, between its packets before and after."""
+    at = lambda c: f"CASE WHEN b.{c} IS NULL THEN a.{c} WHEN a.{c} IS NULL OR a.arrival_us = b.arrival_us THEN b.{c} ELSE b.{c} + (t - b.arrival_us) / (a.arrival_us - b.arrival_us)::DOUBLE * (a.{c} - b.{c}) END AS {c}"
+    how = {"rtt_us": "avg", "loss_event_rate": "min", "loss_rate": "avg", "tput_bps": "sum", "min_rtt_us": "min"}
+    values = ", ".join(f"{f}({c}) AS {c}" for c, f in how.items())
+    return f"""WITH {ORACLE_PACKETS}, v AS (SELECT sender_id, sender_port, arrival_us, tsecr, gen_rtt_us::DOUBLE AS rtt_us, 1 / (k + 2)::DOUBLE AS loss_event_rate, 1 / (k + 3)::DOUBLE AS loss_rate, payload_b::DOUBLE AS tput_bps, gen_rtt_us::DOUBLE AS min_rtt_us FROM data),
+ti AS (SELECT sender_id, arrival_us AS t, n FROM (SELECT *, row_number() OVER (PARTITION BY sender_id ORDER BY arrival_us DESC, sender_port) AS n FROM v) WHERE n <= 10),
+fl AS (SELECT DISTINCT sender_id, sender_port FROM v),
+br AS (SELECT fl.sender_id, fl.sender_port, t, n, (SELECT max(arrival_us) FROM v WHERE v.sender_port = fl.sender_port AND v.arrival_us <= t) AS tb, (SELECT min(arrival_us) FROM v WHERE v.sender_port = fl.sender_port AND v.arrival_us >= t) AS ta FROM fl JOIN ti USING (sender_id)),
+va AS (SELECT br.sender_id, t, n, {", ".join(map(at, how))} FROM br LEFT JOIN v b ON b.sender_port = br.sender_port AND b.arrival_us = tb LEFT JOIN v a ON a.sender_port = br.sender_port AND a.arrival_us = ta),
+ag AS (SELECT sender_id, t, n, {values} FROM va GROUP BY ALL)
+SELECT sender_id, 1 AS epoch, t AS arrival_us, {", ".join(f"round({c}, 6) AS {c}" for c in how)}, round(8e6 * 1448 * sqrt(1.5::DOUBLE) / nullif(rtt_us, 0) / sqrt(nullif(loss_event_rate, 0)), 6) AS mathis_bps FROM ag"""
+
+
+@query(_oracle_sender_merge())
 def j10_sender_merge(spark, sf_dir):
     rows = data_packets(spark, sf_dir).select("sender_id", "sender_port", F.lit(1).alias("epoch"), "arrival_us", F.col("gen_rtt_us").cast("double").alias("rtt_us"), (1 / (F.col("k") + 2)).alias("loss_event_rate"), (1 / (F.col("k") + 3)).alias("loss_rate"), F.col("payload_b").cast("double").alias("tput_bps"), F.col("gen_rtt_us").cast("double").alias("min_rtt_us"))
     n = rows.groupBy("sender_id").agg(F.countDistinct("sender_port").alias("n_flows"))
-    return live.sender_merge(rows.join(n, "sender_id"))
+    out = live.sender_merge(rows.join(n, "sender_id"))
+    return out.select("sender_id", "epoch", "arrival_us", *[F.round(c, 6).alias(c) for c in [*MERGED, "mathis_bps"]])

@@ -231,30 +231,26 @@ def sender_merge(flows: DataFrame, window: int = SMOOTHING) -> DataFrame:
 
     An epoch counts once all of the sender's n_flows are there; of a sender only the
     newest such epoch stays.  Mean RTT and loss rate, least loss event rate and minimum
-    RTT, summed throughput; the Mathis rate follows anew from those.
+    RTT, summed throughput; the Mathis rate follows anew from those.  Times are cut to
+    the last of each flow, then of the sender, so no task sees all packets of a sender.
     """
-    ready = flows.groupBy("sender_id", "epoch").agg(F.countDistinct("sender_port").alias("have"), F.max("n_flows").alias("n_flows")).where("have = n_flows")
+    epoch, flow = ["sender_id", "epoch"], ["sender_id", "epoch", "sender_port"]
+    ready = flows.groupBy(*epoch).agg(F.countDistinct("sender_port").alias("have"), F.max("n_flows").alias("n_flows")).where("have = n_flows")
     newest = ready.groupBy("sender_id").agg(F.max("epoch").alias("epoch"))
-    rows = flows.join(newest, ["sender_id", "epoch"])
     columns = ["rtt_us", "loss_event_rate", "loss_rate", "tput_bps", "min_rtt_us"]
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["arrival_us"].to_numpy())[-window:]
-        parts = {c: [] for c in columns}
-        for _, flow in group.groupby("sender_port"):
-            flow = flow.sort_values("arrival_us")
-            for c in columns:
-                parts[c].append(np.interp(times, flow["arrival_us"], flow[c]))
-        how = {"rtt_us": np.mean, "loss_event_rate": np.min, "loss_rate": np.mean, "tput_bps": np.sum, "min_rtt_us": np.min}
-        out = pd.DataFrame({c: how[c](np.array(v), axis=0) for c, v in parts.items()})
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out["mathis_bps"] = np.where(out["loss_event_rate"] > 0, 8e6 * MSS_B * MATHIS_C / out["rtt_us"] / np.sqrt(out["loss_event_rate"]), np.nan)
-        out.insert(0, "arrival_us", times)
-        out.insert(0, "epoch", group["epoch"].iloc[0])
-        out.insert(0, "sender_id", group["sender_id"].iloc[0])
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in flows.schema}
-    schema = f"sender_id {kinds['sender_id']}, epoch {kinds['epoch']}, arrival_us {kinds['arrival_us']}, " + ", ".join(f"{c} double" for c in [*columns, "mathis_bps"])
-    return rows.groupBy("sender_id", "epoch").applyInPandas(merge, schema)
-
+    rows = flows.join(newest, epoch).select(*flow, "arrival_us", *columns)
+    latest = lambda key, order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    last = rows.select(*flow, "arrival_us").withColumn("_own", latest(flow, [F.desc("arrival_us")])).where(F.col("_own") <= window)
+    times = last.withColumn("_at", latest(epoch, [F.desc("arrival_us"), "sender_port", "_own"])).where(F.col("_at") <= window).select(*epoch, "_at", F.col("arrival_us").alias("_t"))
+    asks = rows.select(*flow).distinct().join(times, epoch)
+    seen = F.struct(F.col("arrival_us").alias("_x"), *columns)
+    union = rows.select(*flow, F.col("arrival_us").alias("_t"), F.lit(None).cast("int").alias("_at"), seen.alias("_s")).unionByName(asks, allowMissingColumns=True)
+    asked = F.col("_at").isNotNull()
+    side = lambda order: F.last("_s", ignorenulls=True).over(Window.partitionBy(*flow).orderBy(order, asked).rowsBetween(Window.unboundedPreceding, 0))
+    met = union.withColumns({"_b": side(F.col("_t")), "_a": side(F.desc("_t"))}).where(asked)
+    b, a = (lambda c: F.coalesce(F.col("_b"), F.col("_a"))[c]), (lambda c: F.coalesce(F.col("_a"), F.col("_b"))[c])
+    share = F.coalesce((F.col("_t") - b("_x")) / F.nullif(a("_x") - b("_x"), F.lit(0)), F.lit(0.0))
+    how = {"rtt_us": F.avg, "loss_event_rate": F.min, "loss_rate": F.avg, "tput_bps": F.sum, "min_rtt_us": F.min}
+    out = met.groupBy(*epoch, "_at", F.col("_t").alias("arrival_us")).agg(*[f(b(c) + share * (a(c) - b(c))).alias(c) for c, f in how.items()])
+    model = F.lit(8e6 * MSS_B * MATHIS_C) / F.nullif("rtt_us", F.lit(0.0)) / F.sqrt(F.when(F.col("loss_event_rate") > 0, F.col("loss_event_rate")))
+    return out.select(*epoch, "arrival_us", *columns, model.alias("mathis_bps"))

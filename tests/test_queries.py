@@ -13,7 +13,6 @@ import pytest
 import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"g12_feature_selection", "g14_train_predict"}
 
 
 @pytest.fixture(scope="module")
@@ -51,11 +50,13 @@ def test_against_oracle(spark, sf_dir, duck, name):
     assert lines(rows, [df.columns.index(c) for c in sorted(columns)]) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
-def test_others_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+# Queries without an oracle give rows on the smallest tables.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_others_give_rows(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
 
-def test_models(spark, sf_dir):
-    report = QUERIES["g14_train_predict"](spark, sf_dir).collect()
-    assert report and all(0 <= r.accuracy <= 1 for r in report)
+def test_oracle_rows_prove_something(spark, sf_dir, duck):
+    """Only these oracles may be empty on the smallest tables."""
+    empty = {n for n, sql in ORACLES.items() if duck.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] == 0}
+    assert empty <= {"h5_key_differences", "d7_mixed_senders"}
