@@ -59,7 +59,7 @@ RULES = {
     "ISC": [["isc_grant"]],
     "MIT": [["mit_notice"], ["mit_grant", "mit_condition"], ["mit_grant", "mit_condition", "mit_warranty"]],
 }
-ANCHORS = ("licen", "permission", "copyright", "warranty", "redistribut", "acknowledgement", "or later")
+ANCHORS = ("licen", "permission", "copyright", "warranty", "redistribut", "acknowledgement", "or later", "public domain")
 # The whole sentences of the standard texts, normalised like SENTENCES.
 WHOLE = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
@@ -71,6 +71,17 @@ WHOLE = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_or_later_grant",
     "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2_notice",
     "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3_notice",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_or_later_grant",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license version 3 as published by the free software foundation": "agpl3_notice",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl_grant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_or_later_grant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21_or_later_grant",
+    "either version 2.1 of the license or at your option any later version": "lgpl21_or_later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl_notice",
+    "this is free and unencumbered software released into the public domain": "unlicense_dedication",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost_grant",
+    "certain owners wish to permanently relinquish those rights to a work for the purpose of contributing to a commons of creative cultural and scientific works commons that the public can reliably and without fear of later claims of infringement build upon modify incorporate in other works reuse and redistribute as freely as possible in any form whatsoever and for any purposes including without limitation commercial purposes": "cc0_purpose",
     "this work is licensed under the creative commons attribution 4.0 international license": "cc_by_notice",
     "this work is licensed under a creative commons attribution sharealike 4.0 international license": "cc_by_sa_notice",
     "this work is licensed under the creative commons attribution sharealike 4.0 international license": "cc_by_sa_notice",
@@ -89,13 +100,22 @@ WHOLE = {
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
 }
 WHOLE_RULES = {
+    "AGPL-3.0-only": [["agpl3_notice"]],
+    "AGPL-3.0-or-later": [["agpl3_or_later_grant"]],
     "Apache-2.0": [["apache_grant"]],
     "BSD-2-Clause": [["bsd_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_warranty_clause"]],
     "BSD-3-Clause": [["bsd_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_endorsement_clause"]],
     "BSD-3-Clause-Clear": [["bsd_clear_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_endorsement_clause"]],
     "BSD-4-Clause": [["bsd_grant", "bsd_source_clause", "bsd_binary_clause", "bsd_advertising_clause"]],
+    "BSL-1.0": [["boost_grant"]],
+    "CC0-1.0": [["cc0_purpose"]],
     "GPL-2.0-or-later": [["gpl2_or_later_grant"]],
     "GPL-3.0-or-later": [["gpl3_or_later_grant"]],
+    "LGPL-2.1-or-later": [["lgpl_grant", "lgpl21_or_later"], ["lgpl21_or_later_grant"]],
+    "LGPL-3.0-or-later": [["lgpl_grant", "gpl3_or_later"], ["lgpl3_or_later_grant"]],
+    "MPL-2.0": [["mpl_notice"]],
+    "Unlicense": [["unlicense_dedication"]],
+    "Zlib": [["zlib_grant"]],
 }
 KNOWN = SENTENCES | WHOLE
 ALL_RULES = {name: RULES.get(name, []) + WHOLE_RULES.get(name, []) for name in {**RULES, **WHOLE_RULES}}

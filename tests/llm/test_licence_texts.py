@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import pytest
 
 from flowtally.llm import licences
@@ -77,7 +79,29 @@ GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either versio
 ONLY2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n"
 ISC = "Copyright (c) 2020 A. Writer\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
 CC = "This work is licensed under the Creative Commons\nAttribution-ShareAlike 4.0 International License.\n"
-TEXTS = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "BSD-3-Clause ": NAMED, "BSD-3-Clause-Clear": CLEAR, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "GPL-2.0-only": ONLY2, "ISC": ISC, "CC-BY-SA-4.0": CC}
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+LGPL21 = GPL3.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either\nversion 2.1")
+LGPL3 = GPL3.replace("GNU General", "GNU Lesser General")
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.\n"
+ZLIB = "This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented.\n"
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+CC0 = """Certain owners wish to permanently relinquish those rights to a Work for the
+purpose of contributing to a commons of creative, cultural and scientific
+works ("Commons") that the public can reliably and without fear of later
+claims of infringement build upon, modify, incorporate in other works, reuse
+and redistribute as freely as possible in any form whatsoever and for any
+purposes, including without limitation commercial purposes.
+"""
+TEXTS = {"AGPL-3.0-or-later": AGPL, "LGPL-2.1-or-later": LGPL21, "LGPL-3.0-or-later": LGPL3, "MPL-2.0": MPL, "Unlicense": UNLICENSE, "Zlib": ZLIB, "BSL-1.0": BOOST, "CC0-1.0": CC0, "MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "BSD-3-Clause ": NAMED, "BSD-3-Clause-Clear": CLEAR, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "GPL-2.0-only": ONLY2, "ISC": ISC, "CC-BY-SA-4.0": CC}
 FORMS = {
     "as it is": lambda t: t,
     "hashes": lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()),
@@ -85,6 +109,8 @@ FORMS = {
     "stars": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint main;",
     "semicolons": lambda t: "".join(f";; {x}\n" for x in t.splitlines()),
     "carriage returns": lambda t: t.replace("\n", "\r\n"),
+    "short lines": lambda t: "\n\n".join(textwrap.fill(x, 60) for x in t.split("\n\n")),
+    "long lines": lambda t: "\n\n".join(textwrap.fill(x, 100) for x in t.split("\n\n")),
     "unwrapped": lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n")),
 }
 
@@ -103,3 +129,37 @@ def test_lines_that_only_hold_a_part_are_not_known(spark):
     texts = ["not licensed under\nthe MIT License", "Licensed under the MIT\n\nLicense", "Licensed under. The MIT License", "Licensed under the\nMIT License and more", "Title\nLicensed under the\nMIT License\nmore"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.licences for r in licences.scan(docs).orderBy("doc_id").collect()] == ["", "", "", "", "MIT"]
+
+
+def test_two_licences_in_one_text(spark):
+    pairs = [("MIT", "Apache-2.0"), ("GPL-3.0-or-later", "BSD-3-Clause"), ("MPL-2.0", "Zlib")]
+    docs = spark.createDataFrame([(k, f"Part one\n\n{TEXTS[a]}\n\nPart two\n\n{TEXTS[b]}") for k, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    assert [r.licences for r in licences.scan(docs).orderBy("doc_id").collect()] == [",".join(sorted(p)) for p in pairs]
+
+
+def plain_ids(text: str) -> list[str]:
+    """Sentences word by word, without patterns: for texts without comment marks and named holders."""
+    out, words, blank = [], [], False
+    flat = text.lower().replace("\r\n", "\n") + "\n\n"
+    close = lambda: (out.append(" ".join(words).strip(". ")), words.clear())
+    token = ""
+    for k, c in enumerate(flat):
+        if c.isascii() and (c.isalnum() or c == "."):
+            token, blank = token + c, False
+            continue
+        ends = c in "!?;:" and flat[k + 1 : k + 2].isspace() or c.isspace() and (token.endswith(".") or c == "\n" and blank)
+        if token:
+            words.append(token.rstrip(".") if token.endswith(".") and c.isspace() else token)
+            token = ""
+        if ends:
+            close()
+        blank = c == "\n" or blank and c in " \t"
+    return [licences.KNOWN[s] for s in out if s in licences.KNOWN]
+
+
+def test_sentences_against_a_plain_reading(spark):
+    texts = [t for k, t in TEXTS.items() if not k.endswith(" ") and " * " not in t]
+    docs = spark.createDataFrame([(k, "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.sentences for r in licences.scan(docs).collect()}
+    want = {r.doc_id: "|".join(plain_ids(r.text)) for r in docs.collect()}
+    assert got == want and all(want.values())
