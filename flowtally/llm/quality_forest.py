@@ -11,8 +11,8 @@ most ``clean_loss`` of the good ones, moved up to halfway to the next bad one, s
 documents stay.  Two plain rules come first: fewer than 50 words, or over half the words
 in repeated three-word windows.
 
-Documents are scored by the broadcast forest (some hundred kB whatever the input) in one
-pass over the texts; only ids and scores are joined with the labels.
+Documents are scored by the broadcast forest (some hundred kB whatever the input) in the
+scan; only ids and scores are joined with the labels.
 
 Cases: null and blank texts have no words and fail the base rule; without any usable
 label only the base rules decide; without a good label outside the sample the grown-on
@@ -29,9 +29,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from flowtally.llm.common import fresh, slices, store
+from flowtally.llm.common import slices, store
 from flowtally.llm.textstats import ALL, stat_matrix
 
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "top_word_share", "chars_per_word", "distinct_share")
@@ -224,22 +223,15 @@ def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, clean_l
 def kept_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, clean_loss: float = CLEAN_LOSS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Rows that pass the base rules are stored with their scores, so texts are measured once.
+    Texts are measured twice, for the threshold and for the verdicts, rather than stored between.
     """
-    (forest, share), at = grown(docs, labels, max_rows, doc_id, text), docs.columns.index(text)
-    (name,) = fresh(docs, "_score")
-    names = [*docs.columns, name]
+    forest, at = fit(docs, labels, max_rows, clean_loss, doc_id, text), docs.columns.index(text)
+    limit = forest.threshold if forest is not None else np.inf
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, at):
                 failed, score = judge(stat_matrix(texts), forest)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=names).filter(pa.array(~failed))
+                yield part.filter(pa.array(~failed & ~(score > limit)))
 
-    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
-    if forest is None:
-        return rows.select(*docs.columns)
-    rows = store(rows, "scored")
-    scored = rows.select(F.col(doc_id).alias("doc_id"), F.lit(False).alias("base_failed"), F.col(name).alias("score"))
-    limit = calibrated(scored, labels.withColumnRenamed(doc_id, "doc_id"), share, clean_loss)
-    return rows.where(~(F.col(name) > F.lit(float(limit)))).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
