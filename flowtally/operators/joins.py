@@ -73,19 +73,30 @@ def match_rtt_asof(packets: DataFrame, acks: DataFrame) -> DataFrame:
     return packets.join(found, [*FLOW, "pkt_idx"], "left").join(n, FLOW, "left").join(last_two, FLOW, "left").withColumn("rtt_us", F.nullif(rtt, F.lit(0)).cast("double")).drop("_seen", "_acks", "_first", "_end", "_late")
 
 
+SPANS = 1024
+
+
 def active_flows(packets: DataFrame) -> DataFrame:
     """Adds active_flows: flows of the experiment whose [first, last] holds the packet's time, both ends inclusive.
 
     A sweep: +1 at a flow's first, -1 after its last, a running sum over all of them in
     time order; it needs neither a cross join nor bounds that fit a broadcast.  The sum
-    runs over distinct times only, and packets join their time's count back.
+    runs over distinct times only, within ``SPANS`` equal parts of the experiment's time
+    whose sums are carried on, so an experiment is spread over many tasks; packets join
+    their time's count back.
     """
     bounds = packets.groupBy(*FLOW).agg(F.min("arrival_us").alias("first"), F.max("arrival_us").alias("last"))
     moves = bounds.select("exp_id", F.col("first").alias("t"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(bounds.select("exp_id", F.col("last").alias("t"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     times = packets.select("exp_id", F.col("arrival_us").alias("t"), F.lit(0).alias("up"), F.lit(0).alias("down")).unionByName(moves).groupBy("exp_id", "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    w = Window.partitionBy("exp_id").orderBy("t")
-    open_ = F.sum("up").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce(F.sum("down").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = times.select("exp_id", F.col("t").alias("arrival_us"), open_.alias("active_flows"))
+    ends = bounds.groupBy("exp_id").agg(F.min("first").alias("_lo"), F.max("last").alias("_hi"))
+    # In doubles: monotone in t, which is all that the sums need.
+    part = F.floor((F.col("t") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * SPANS)
+    placed = times.join(ends, "exp_id").select("exp_id", part.alias("_part"), "t", "up", "down")
+    change = F.sum(F.col("up") - F.col("down"))
+    before = placed.groupBy("exp_id", "_part").agg(change.alias("_net")).select("exp_id", "_part", F.coalesce(F.sum("_net").over(Window.partitionBy("exp_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # A flow that ends at t is still open then.
+    own = change.over(Window.partitionBy("exp_id", "_part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)) + F.col("down")
+    counts = placed.withColumn("_own", own).join(before, ["exp_id", "_part"]).select("exp_id", F.col("t").alias("arrival_us"), (F.col("_own") + F.col("_before")).alias("active_flows"))
     return packets.join(counts, ["exp_id", "arrival_us"])
 
 

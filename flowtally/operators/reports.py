@@ -4,30 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowtally.operators.running import running, with_group
+
 # The percentile lists of the two reports.
 PERCENTILES = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.999]
 LENGTH_PERCENTILES = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 1.0]
 
+BINS = 4096
+
 
 def percentiles(rows: DataFrame, value: str, by: list[str] = [], points: list[float] = PERCENTILES, approximate: bool = False) -> DataFrame:
-    """Long form (by, p, value) with linear interpolation; ``approximate`` for huge inputs."""
+    """Long form (by, p, value) with linear interpolation; ``approximate`` takes a sketch's values instead.
+
+    Counts over ``BINS`` equal parts of each group's range tell in which parts the ranks
+    asked for lie; only values of those parts are counted one by one and numbered.  So a
+    group of any size is exact without a buffer of its values, and rows are not shuffled.
+    Unknown values do not count, a group without values gives no row; NaN is above all.
+    """
     at = F.array(*map(F.lit, points))
-    got = F.percentile_approx(value, at) if approximate else F.percentile(value, at)
-    return rows.groupBy(*by).agg(got.alias("_v")).select(*by, F.posexplode("_v").alias("_k", "value")).withColumn("p", F.get(at, F.col("_k"))).select(*by, "p", "value")
+    if approximate:
+        got = rows.groupBy(*by).agg(F.percentile_approx(value, at).alias("_v"))
+        return got.select(*by, F.posexplode("_v").alias("_k", "value")).withColumn("p", F.get(at, F.col("_k"))).select(*by, "p", "value")
+    x = F.col("_x")
+    seen = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    finite = F.when(F.abs(x) < float("inf"), x)
+    span = seen.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(F.lit(1)).alias("_all"))
+    # Halves, so that the range of the largest doubles stays finite.
+    part = F.floor((x / 2 - F.col("_lo") / 2) / F.nullif(F.col("_hi") / 2 - F.col("_lo") / 2, F.lit(0.0)) * BINS)
+    bin_ = F.when(x == float("-inf"), 0).when(finite.isNull(), BINS - 1).otherwise(F.coalesce(F.least(part, F.lit(BINS - 1)), F.lit(0))).cast("int")
+    placed = with_group(seen, span, by).select(*by, "_x", "_all", bin_.alias("_bin"))
+    w = Window.partitionBy(*by).orderBy("_bin")
+    bins = placed.groupBy(*by, "_all", "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(w))
+    # A value or bin covers the ranks _upto - _n to _upto - 1; a point lies between two ranks.
+    place = lambda p: p * (F.col("_all") - 1)
+    covers = lambda rank: (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
+    near = lambda p: covers(F.floor(place(p))) | covers(F.ceil(place(p)))
+    chosen = bins.where(F.exists(at, near)).select(*by, "_bin", (F.col("_upto") - F.sum("_n").over(w)).alias("_skipped"))
+    counts = with_group(placed, chosen, [*by, "_bin"]).groupBy(*by, "_x", "_all", "_skipped").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, by, ["_x"], {"_within": ("sum", F.col("_n"))}).withColumn("_upto", F.col("_within") + F.col("_skipped"))
+    met = ranked.withColumn("p", F.explode(F.filter(at, near)))
+    low, high = F.max(F.when(covers(F.floor(place(F.col("p")))), x)), F.max(F.when(covers(F.ceil(place(F.col("p")))), x))
+    share = F.max(place(F.col("p")) - F.floor(place(F.col("p"))))
+    return met.groupBy(*by, "p").agg(F.when(share > 0, (1 - share) * low + share * high).otherwise(low).alias("value"))
 
 
 def cdf(rows: DataFrame, value: str, by: list[str] = []) -> DataFrame:
     """Share of values up to and including each distinct value."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    return counts.select(*by, value, (F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)).alias("cdf"))
+    return running(counts, by, [value], {"_upto": ("sum", F.col("n"))}, totals=True).select(*by, value, (F.col("_upto") / F.col("_upto_all")).alias("cdf"))
 
 
 def binned_cdf(rows: DataFrame, value: str, bins: int = 1000) -> DataFrame:
-    """CDF over ``bins`` equal-width bins: (bin, upper, cdf); one row per bin at most, so the running sum is small."""
-    hist = histogram(rows, value, bins)
-    w = Window.orderBy("bin")
-    return hist.select("bin", "upper", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
+    """CDF over ``bins`` equal-width bins: (bin, upper, cdf), however many they are."""
+    return running(histogram(rows, value, bins), [], ["bin"], {"_upto": ("sum", F.col("n"))}, totals=True).select("bin", "upper", (F.col("_upto") / F.col("_upto_all")).alias("cdf"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:

@@ -4,8 +4,8 @@
 windowed value from two rows, so the cost does not grow with the window.
 
 method="vectorised": one sorted search per group of packets, for groups that fit a task.
-method="builtin": packets and their probes in one sorted union with a running last; it
-spills and so suits groups of any size.  ``auto`` takes the first unless some group has
+method="builtin": packets and their probes in one sorted union with a running last, in
+ranges of time that hand their last packet on; a group is spread over many tasks, so it may be of any size.  ``auto`` takes the first unless some group has
 more than ``GROUP_LIMIT`` packets.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtally.functions.registry import WINDOWS
 from flowtally.functions.unknown import NO_RTT, bits_per_second, known, mathis_bps, safe_div
+from flowtally.operators.running import running
 from flowtally.sources.tables import FLOW, flow_window
 
 GROUP_LIMIT = 5_000_000
@@ -63,17 +64,15 @@ def window_starts(packets: DataFrame, windows: list[int] = WINDOWS, key: list[st
     probe = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("arrival_us").cast("double") - F.lit(float(k)) * F.col(width)).alias("t")) for k in windows]))
     marks = narrow.select(*key, F.lit(None).cast("bigint").alias("_ask"), F.lit(None).cast("int").alias("_k"), F.col("arrival_us").cast("double").alias("_t"), F.lit(1).alias("_kind"), F.col(idx).alias("_o"), seen.alias("_s"))
     asks = narrow.select(*key, F.col(idx).alias("_ask"), probe.alias("_p")).select(*key, "_ask", F.col("_p.k").alias("_k"), F.col("_p.t").alias("_t"), F.lit(0).alias("_kind"), F.col("_ask").alias("_o"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"))
-    back = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
-    found = asks.unionByName(marks).withColumn("_at", F.last("_s", ignorenulls=True).over(back)).where("_kind = 0")
+    found = running(asks.unionByName(marks), key, [F.desc("_t"), F.desc("_kind"), F.desc("_o")], {"_at": ("last", F.col("_s"))}).where("_kind = 0")
     # The clamp to the packet before needs that packet's values too.
-    own = Window.partitionBy(*key).orderBy(idx)
-    before = narrow.select(*key, F.col(idx).alias("_ask"), F.lag(seen).over(own).alias("_before"))
-    wide = found.groupBy(*key, "_ask").pivot("_k", windows).agg(F.first("_at")).join(before, [*key, "_ask"])
+    before = narrow.select(*key, (F.col(idx) + 1).alias("_ask"), seen.alias("_before"))
+    wide = found.groupBy(*key, "_ask").pivot("_k", windows).agg(F.first("_at")).join(before, [*key, "_ask"], "left")
     clamped = {n: F.when(F.col(f"{k}._i") < F.col("_ask"), F.col(str(k))).otherwise(F.col("_before")) for k, n in zip(windows, names)}
     starts = wide.select(*key, F.col("_ask").alias(idx), *[F.when(F.col("_before").isNotNull(), c).alias(f"_{n}") for n, c in clamped.items()])
     if forward_only:
-        run = own.rowsBetween(Window.unboundedPreceding, 0)
-        starts = starts.select(*key, idx, *[F.max_by(f"_{n}", f"_{n}._i").over(run).alias(f"_{n}") for n in names])
+        ahead = running(starts, key, [idx], {f"far_{n}": ("max", F.col(f"_{n}")) for n in names})
+        starts = ahead.select(*key, idx, *[F.col(f"far_{n}").alias(f"_{n}") for n in names])
     flat = [x for k, n in zip(windows, names) for x in (F.col(f"_{n}._i").alias(n), *(F.col(f"_{n}.c_{c}").alias(f"{c}_at_w{k}") for c in carry))]
     return packets.join(starts.select(*key, idx, *flat), [*key, idx])
 
@@ -129,8 +128,12 @@ def merged_totals(packets: DataFrame, windows: list[int] = WINDOWS, method: str
     """
     method = _pick(packets, ["exp_id"], method)
     narrow = packets.select(*FLOW, "pkt_idx", "arrival_us", "wire_b", "min_rtt_us", "active_flows", "bw_bps", "use_bess")
-    order = Window.partitionBy("exp_id").orderBy("arrival_us", *FLOW[1:], "pkt_idx")
-    merged = narrow.withColumn("m_idx", (F.row_number().over(order) - 1).cast("long")).withColumn("_bytes", F.sum("wire_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["arrival_us", *FLOW[1:], "pkt_idx"]
+    if method == "builtin":
+        merged = running(narrow, ["exp_id"], order, {"_count": ("sum", F.lit(1)), "_bytes": ("sum", F.col("wire_b"))}).withColumn("m_idx", F.col("_count") - 1).drop("_count")
+    else:
+        w = Window.partitionBy("exp_id").orderBy(*order)
+        merged = narrow.withColumn("m_idx", (F.row_number().over(w) - 1).cast("long")).withColumn("_bytes", F.sum("wire_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = window_starts(merged, windows, ["exp_id"], "m_idx", method=method, forward_only=True, carry=["arrival_us", "_bytes"])
     out = {}
     for k in windows:
@@ -189,9 +192,8 @@ def arrival_histogram(packets: DataFrame, duration_us: int, buckets: int = 100)
 
 def sliding_accuracy(predictions: DataFrame, fair: float = 1.0, share: float = 0.4, method: str = "auto") -> DataFrame:
     """Accuracy of predictions smoothed over each row's last RTT (columns idx, arrival_us, rtt_us, predicted, ratio of one key exp_id)."""
-    run = Window.partitionBy("exp_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     # The window is open at its far end: t_i - t < rtt, in whole microseconds t >= t_i - (rtt - 1).
-    sums = predictions.withColumns({"_p": F.sum("predicted").over(run), "_r": F.sum("ratio").over(run), "_w": (F.col("rtt_us") - 1).cast("double")})
+    sums = running(predictions, ["exp_id"], ["idx"], {"_p": ("sum", F.col("predicted")), "_r": ("sum", F.col("ratio"))}).withColumn("_w", (F.col("rtt_us") - 1).cast("double"))
     rows = window_starts(sums, [1], ["exp_id"], "idx", "_w", method, True, ["_p", "_r", "predicted", "ratio"]).where("s_w1 is not null")
     rows = rows.select("exp_id", "idx", "_p", "_r", *[F.col(f"{a}_at_w1").alias(b) for a, b in (("_p", "_p0"), ("_r", "_r0"), ("predicted", "_ps"), ("ratio", "_rs"))], F.col("s_w1").alias("start"))
     n = F.col("idx") - F.col("start") + 1

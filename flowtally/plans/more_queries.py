@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from flowtally.functions import registry
 from flowtally.operators import fairness, features, joins, packets as pk, sampling
+from flowtally.operators.running import running
 from flowtally.plans.packet_queries import KEY, O_FEATURES, O_LABELLED, labelled, with_features, with_rtt
 from flowtally.plans.registry import query
 from flowtally.sources import files
@@ -87,8 +88,9 @@ def g3_pick_experiments(spark, sf_dir):
 @query(f"WITH {ORACLE_PACKETS} SELECT {KEY}, pkt_idx, row_number() OVER (PARTITION BY exp_id ORDER BY arrival_us, sender_port, receiver_port, pkt_idx) - 1 AS m_idx FROM data")
 def h1_merge_timelines(spark, sf_dir):
     """All flows of an experiment on one timeline; at equal times the lower flow first."""
-    order = Window.partitionBy("exp_id").orderBy("arrival_us", "sender_port", "receiver_port", "pkt_idx")
-    return data_packets(spark, sf_dir).select(*FLOW, "pkt_idx", (F.row_number().over(order) - 1).cast("long").alias("m_idx"))
+    rows = data_packets(spark, sf_dir).select(*FLOW, "pkt_idx", "arrival_us")
+    numbered = running(rows, ["exp_id"], ["arrival_us", "sender_port", "receiver_port", "pkt_idx"], {"_n": ("sum", F.lit(1))})
+    return numbered.select(*FLOW, "pkt_idx", (F.col("_n") - 1).alias("m_idx"))
 
 
 @query("WITH s AS (SELECT user_id * 1.0 AS start_s, 2000 + user_id * 10 AS rwnd_b FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0)) SELECT user_id + 10000 AS sender_port, event_id AS tsecr, coalesce((SELECT arg_min(rwnd_b, start_s) FROM s WHERE start_s >= user_id), (SELECT arg_max(rwnd_b, start_s) FROM s)) AS rwnd_b FROM events")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtally.functions import unknown as u
 from flowtally.operators import experiments as ex, fairness, joins, models, packets as pk, reports, sampling, scoring, windows as win
+from flowtally.operators.running import running
 from flowtally.plans.packet_queries import CLASS, KEY, O_LABELLED, labelled, loss_event_oracle
 from flowtally.plans.registry import query
 from flowtally.sources import files
@@ -206,8 +207,9 @@ SELECT a.exp_id, round(avg(CASE WHEN ((a.cp - b.cp + b.predicted) / (a.idx - a.s
 
 @query(O_SLIDE)
 def d26_sliding_accuracy(spark, sf_dir):
-    order = Window.partitionBy("exp_id").orderBy("arrival_us", "sender_port")
-    rows = data_packets(spark, sf_dir).select("exp_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "arrival_us", F.col("gen_rtt_us").alias("rtt_us"), (F.col("k") % 3 == 0).cast("int").alias("predicted"), ((F.col("k") % 5) / 2).alias("ratio"))
+    narrow = data_packets(spark, sf_dir).select("exp_id", "sender_port", "pkt_idx", "arrival_us", "gen_rtt_us", "k")
+    numbered = running(narrow, ["exp_id"], ["arrival_us", "sender_port", "pkt_idx"], {"_n": ("sum", F.lit(1))})
+    rows = numbered.select("exp_id", (F.col("_n") - 1).alias("idx"), "arrival_us", F.col("gen_rtt_us").alias("rtt_us"), (F.col("k") % 3 == 0).cast("int").alias("predicted"), ((F.col("k") % 5) / 2).alias("ratio"))
     return win.sliding_accuracy(rows).withColumn("accuracy", F.round("accuracy", 9))
 
 
