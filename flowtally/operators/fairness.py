@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtally.functions.unknown import bits_per_second
+from flowtally.operators.running import running
 from flowtally.sources.tables import FLOW
 
 BUCKET_US = 1_000_000
@@ -148,13 +149,14 @@ def maxmin_rates(intervals: DataFrame, flows: DataFrame, links: DataFrame) -> Da
 def maxmin_shares(packets: DataFrame, rates: DataFrame) -> DataFrame:
     """Actual rate over max-min rate of each flow in each interval (times in s from the experiment's start).
 
-    Packets meet intervals by an as-of union, so no packet is paired with every interval.
+    Packets meet intervals by an as-of union in ranges of time, so no packet is paired with
+    every interval and a sender of most packets is spread over many tasks.
     """
     starts = rates.select("exp_id", "sender_id", (F.col("from_s") * 1e6).cast("long").alias("_t"), F.struct("from_s", "to_s", "maxmin_mbps").alias("_r"), F.lit(0).alias("_kind"))
     keep = [*FLOW, "pkt_idx", "wire_b"]
     rows = packets.select("exp_id", "sender_id", F.col("arrival_us").alias("_t"), F.lit(1).alias("_kind"), *[c for c in keep if c != "exp_id"])
-    w = Window.partitionBy("exp_id", "sender_id").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.unionByName(starts, allowMissingColumns=True).withColumn("_in", F.last("_r", ignorenulls=True).over(w)).where("_kind = 1 and _in is not null").where(F.col("_t") < F.col("_in.to_s") * 1e6)
+    union = rows.unionByName(starts, allowMissingColumns=True)
+    met = running(union, ["exp_id", "sender_id"], ["_t", "_kind"], {"_in": ("last", F.col("_r"))}).where("_kind = 1 and _in is not null").where(F.col("_t") < F.col("_in.to_s") * 1e6)
     per = met.groupBy(*FLOW, "sender_id", F.col("_in.from_s").alias("from_s"), F.col("_in.maxmin_mbps").alias("maxmin_mbps")).agg((F.sum("wire_b") - F.min_by("wire_b", "pkt_idx")).alias("bytes"), (F.max("_t") - F.min("_t")).alias("us"))
     return per.withColumn("ratio", bits_per_second(F.col("bytes"), F.col("us")) / (F.col("maxmin_mbps") * 1e6)).drop("bytes", "us")
 

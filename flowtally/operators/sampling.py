@@ -1,7 +1,8 @@
 """Splits, samples, balance and scaling.
 
 Random order is the md5 of a seed and the row's key: portable, repeatable and the same
-whatever the partitioning.  Ranks run per experiment, split or class.
+whatever the partitioning.  Ranks run per experiment, split or class, in ranges of the
+order, so that a class of most rows is numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -9,19 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtally.functions.unknown import seeded_order
+from flowtally.operators.running import running
 
 
 def sample_splits(rows: DataFrame, fractions: dict[str, float], sample: float, key: list[str], seed: int = 1) -> DataFrame:
     """Disjoint samples: of each experiment floor(n * fraction * sample) rows per split, in split order; adds split and shuffle_key."""
-    order = seeded_order(seed, *key)
-    w = Window.partitionBy("exp_id")
-    ranked = rows.withColumn("shuffle_key", order).withColumns({"_n": F.count(F.lit(1)).over(w), "_rn": F.row_number().over(w.orderBy("shuffle_key", *key))})
+    ranked = running(rows.withColumn("shuffle_key", seeded_order(seed, *key)), ["exp_id"], ["shuffle_key", *key], {"_rn": ("sum", F.lit(1))}, totals=True)
     split, upto = None, F.lit(0)
     for name, fraction in fractions.items():
-        upto = upto + F.floor(F.col("_n") * F.lit(float(fraction * sample)))
+        upto = upto + F.floor(F.col("_rn_all") * F.lit(float(fraction * sample)))
         test = F.col("_rn") <= upto
         split = F.when(test, name) if split is None else split.when(test, name)
-    return ranked.withColumn("split", split).where("split is not null").drop("_n", "_rn")
+    return ranked.withColumn("split", split).where("split is not null").drop("_rn", "_rn_all")
 
 
 def disjoint_splits(experiments: DataFrame, fractions: dict[str, float], seed: int = 1) -> DataFrame:
@@ -40,8 +40,8 @@ def pick_experiments(experiments: DataFrame, n: int, seed: int = 1) -> DataFrame
 def subsplit_fraction(rows: DataFrame, fraction: float, order: list[str]) -> DataFrame:
     """The first ceil(n * fraction) rows of each subsplit; names with "high-fair-rate" get 1.25 times the fraction, at most all."""
     share = F.when(F.contains(F.col("subsplit"), F.lit("high-fair-rate")), F.lit(min(1.0, fraction * 1.25))).otherwise(F.lit(float(fraction)))
-    w = Window.partitionBy("subsplit")
-    return rows.withColumns({"_n": F.count(F.lit(1)).over(w), "_rn": F.row_number().over(w.orderBy(*order)), "_share": share}).where(F.col("_rn") <= F.ceil(F.col("_n") * F.col("_share"))).drop("_n", "_rn", "_share")
+    ranked = running(rows, ["subsplit"], order, {"_rn": ("sum", F.lit(1))}, totals=True)
+    return ranked.where(F.col("_rn") <= F.ceil(F.col("_rn_all") * share)).drop("_rn", "_rn_all")
 
 
 def draw_with_replacement(rows: DataFrame, by: str, draws: Column, key: list[str], seed: int = 1) -> DataFrame:
@@ -50,7 +50,7 @@ def draw_with_replacement(rows: DataFrame, by: str, draws: Column, key: list[str
     Draw d of a group takes the row numbered by the hash of (seed, group, d), an equi-join
     on (group, number), so draws of a hot group spread over all its numbers.
     """
-    numbered = rows.withColumn("_no", F.row_number().over(Window.partitionBy(by).orderBy(seeded_order(seed, *key), *key)) - 1)
+    numbered = running(rows.withColumn("_seeded", seeded_order(seed, *key)), [by], ["_seeded", *key], {"_upto": ("sum", F.lit(1))}).withColumn("_no", F.col("_upto") - 1)
     wanted = rows.groupBy(F.col(by).alias("_g")).agg(F.count(F.lit(1)).alias("n")).withColumn("_draw", F.explode(F.when(draws > 0, F.sequence(F.lit(1), draws.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("_g").cast("string"), F.col("_draw").cast("string"))), 1, 12), 16, 10).cast("long"), F.col("n"))
     chosen = wanted.select("_g", pick.alias("_pick"))
@@ -67,8 +67,8 @@ def balance(rows: DataFrame, label: str, key: list[str], mode: str = "drop", see
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     target = counts.agg(F.min("_n").alias("lo"), F.max("_n").alias("hi")).first()
     if mode == "drop":
-        rank = F.row_number().over(Window.partitionBy(label).orderBy(seeded_order(seed, *key), *key))
-        return rows.withColumn("_rn", rank).where(F.col("_rn") <= (target.lo or 0)).drop("_rn")
+        ranked = running(rows.withColumn("_seeded", seeded_order(seed, *key)), [label], ["_seeded", *key], {"_rn": ("sum", F.lit(1))})
+        return ranked.where(F.col("_rn") <= (target.lo or 0)).drop("_rn", "_seeded")
     return rows.unionByName(draw_with_replacement(rows, label, F.lit(target.hi or 0) - F.col("n"), key, seed))
 
 

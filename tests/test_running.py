@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import Window, functions as F
 
-from flowtally.operators import reports, windows as win
+from flowtally.operators import reports, sampling, windows as win
 from flowtally.operators.running import running
 
 
@@ -85,3 +85,18 @@ def test_merged_totals_of_one_hot_experiment(spark, ranges):
     )
     a, b = ({tuple(r[:4]): tuple(r[4:]) for r in win.merged_totals(rows, [1, 32], method=m).collect()} for m in ("vectorised", "builtin"))
     assert len(a) == 2000 and a == b
+
+
+def test_samples_of_a_hot_class(spark, ranges):
+    """Splits are disjoint with the counts asked for, the same again; balance cuts all classes to the rarest."""
+    rows = hot(spark).select(F.coalesce("k", F.lit(9)).alias("exp_id"), "id")
+    n = {r.exp_id: r["count"] for r in rows.groupBy("exp_id").count().collect()}
+    got, again = (sampling.sample_splits(rows, {"train": 0.5, "test": 0.25}, 0.4, ["id"]).select("exp_id", "id", "split").collect() for _ in range(2))
+    assert sorted(got) == sorted(again) and len({r.id for r in got}) == len(got)
+    counts = {}
+    for r in got:
+        counts[r.exp_id, r.split] = counts.get((r.exp_id, r.split), 0) + 1
+    assert counts == {(k, s): int(n[k] * f * 0.4) for k in n for s, f in (("train", 0.5), ("test", 0.25)) if int(n[k] * f * 0.4)}
+    balanced = {r.exp_id: r["count"] for r in sampling.balance(rows, "exp_id", ["id"]).groupBy("exp_id").count().collect()}
+    assert balanced == dict.fromkeys(n, min(n.values()))
+    assert sampling.balance(rows, "exp_id", ["id"], "add").groupBy("exp_id").count().where(F.col("count") != max(n.values())).count() == 0
