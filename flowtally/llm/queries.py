@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtally.llm import embed_dups, licences, mix, pack, quality_forest, quality_gam, shards, simhash, token_files, warc
+from flowtally.llm import embed_dups, licences, mix, pack, quality_forest, quality_gam, shards, simhash, spelling, token_files, warc
 from flowtally.llm.common import vocabulary
 
 
@@ -56,8 +56,12 @@ def op10_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_gam, op2_rendezvous_shards, op3_token_files, op4_embedding_collisions, op5_rule_forest, op6_sainte_lague_mix, op7_differencing_pack, op8_warc_pages, op9_licence_sentences, op10_simhash_bytes)
+    found = (op1_quality_gam, op2_rendezvous_shards, op3_token_files, op4_embedding_collisions, op5_rule_forest, op6_sainte_lague_mix, op7_differencing_pack, op8_warc_pages, op9_licence_sentences, op10_simhash_bytes, op11_spelling_trie)
     return {f.__name__: f for f in found}
 
 
