@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtally.llm import embed_dups, licences, mix, pack, quality_forest, quality_gam, shards, simhash, spelling, token_files, warc
+from flowtally.llm import context_tree, divergence, embed_dups, licences, mix, pack, quality_forest, quality_gam, shards, simhash, spelling, token_files, warc
 from flowtally.llm.common import vocabulary
 
 
@@ -60,14 +60,23 @@ def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_gam, op2_rendezvous_shards, op3_token_files, op4_embedding_collisions, op5_rule_forest, op6_sainte_lague_mix, op7_differencing_pack, op8_warc_pages, op9_licence_sentences, op10_simhash_bytes, op11_spelling_trie)
+    found = (op1_quality_gam, op2_rendezvous_shards, op3_token_files, op4_embedding_collisions, op5_rule_forest, op6_sainte_lague_mix, op7_differencing_pack, op8_warc_pages, op9_licence_sentences, op10_simhash_bytes, op11_spelling_trie, op12_divergence_cube, op13_context_tree)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_licence_sentences": licences.oracle_sql(),
+        "op12_divergence_cube": divergence.oracle_sql(),
         "op4_embedding_collisions": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
