@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowtally.operators.running import running
 from flowtally.sources.tables import FLOW, flow_window
 
 
@@ -135,15 +136,20 @@ def pair_experiments(experiments: DataFrame, flag: str = "unfair") -> tuple[Data
 def schedule_at(times: DataFrame, schedule: DataFrame, lookup: str = "next") -> DataFrame:
     """Adds rwnd_b from a schedule (start_s, rwnd_b): the next entry at or after the time (parity), or the one in force ("current").
 
-    Past the end the last entry holds; before the start "current" takes the first.  The
-    schedule is one sorted array in a single row, so no row of ``times`` moves.
+    Past the end the last entry holds; before the start "current" takes the first.  Entries and
+    times are one union in order of time, in which each time carries the entry before it
+    along: neither side is collected, and equal starts keep the entry of the largest window ("current") or smallest ("next").
     """
-    entries = schedule.agg(F.array_sort(F.collect_list(F.struct("start_s", "rwnd_b"))).alias("_e"))
-    if lookup == "next":
-        chosen = F.expr("coalesce(get(filter(_e, e -> e.start_s >= now_s), 0), element_at(_e, -1))")
-    else:
-        chosen = F.expr("coalesce(try_element_at(filter(_e, e -> e.start_s <= now_s), -1), element_at(_e, 1))")
-    return times.join(F.broadcast(entries)).withColumn("rwnd_b", chosen["rwnd_b"]).drop("_e")
+    ahead = lookup == "next"
+    columns = times.columns
+    entry = schedule.select(F.col("start_s").alias("_t"), F.col("rwnd_b").cast("long").alias("_w"), F.lit(0).alias("_ask"))
+    asked = times.select(F.struct(*columns).alias("_row"), F.col("now_s").alias("_t"), F.lit(1).alias("_ask")).withColumn("_id", F.monotonically_increasing_id())
+    union = asked.unionByName(entry, allowMissingColumns=True)
+    order = [F.desc("_t") if ahead else F.asc("_t"), F.asc("_ask"), F.desc("_w") if ahead else F.asc("_w"), F.asc("_id")]
+    met = running(union, [], order, {"_found": ("last", F.col("_w"))}).where("_ask = 1")
+    pick = F.max_by if ahead else F.min_by
+    edge = schedule.agg(pick(F.col("rwnd_b").cast("long"), F.struct("start_s", "rwnd_b")).alias("_edge"))
+    return met.join(F.broadcast(edge)).select("_row.*", F.coalesce("_found", "_edge").alias("rwnd_b"))
 
 
 def not_yet_done(work: DataFrame, done: DataFrame, key: str = "exp_name") -> DataFrame:

@@ -95,8 +95,9 @@ def h1_merge_timelines(spark, sf_dir):
 
 @query("WITH s AS (SELECT user_id * 1.0 AS start_s, 2000 + user_id * 10 AS rwnd_b FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0)) SELECT user_id + 10000 AS sender_port, event_id AS tsecr, coalesce((SELECT arg_min(rwnd_b, start_s) FROM s WHERE start_s >= user_id), (SELECT arg_max(rwnd_b, start_s) FROM s)) AS rwnd_b FROM events")
 def j17_scheduled_window(spark, sf_dir):
-    """A stream joined with a static schedule."""
+    """A stream joined with a schedule that is read anew for each micro-batch."""
     users = table(spark, sf_dir, "events").where("user_id % 10 = 0").select("user_id").distinct()
-    schedule = users.select(F.col("user_id").cast("double").alias("start_s"), (2000 + F.col("user_id") * 10).alias("rwnd_b"))
-    stream = live.packet_stream(spark, sf_dir).withColumn("now_s", (F.col("sender_port") - 10000).cast("double"))
-    return live.run_to_end(joins.schedule_at(stream, schedule).select("sender_port", "tsecr", "rwnd_b"), "scheduled")
+    path = work_path(spark, "schedule")
+    users.select(F.col("user_id").cast("double").alias("start_s"), (2000 + F.col("user_id") * 10).alias("rwnd_b")).write.parquet(path)
+    stream = live.packet_stream(spark, sf_dir).withColumn("now_s", (F.col("sender_port") - 10000).cast("double")).select("sender_port", "tsecr", "now_s")
+    return live.run_each(stream, "scheduled", lambda df: joins.schedule_at(df, df.sparkSession.read.parquet(path)).drop("now_s")).drop("batch")

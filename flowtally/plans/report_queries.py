@@ -11,7 +11,7 @@ from flowtally.plans.packet_queries import CLASS, KEY, O_LABELLED, labelled, los
 from flowtally.plans.registry import query
 from flowtally.sources import files
 from flowtally.sources.shared import stored, work_path
-from flowtally.sources.tables import FLOW, ORACLE_PACKETS, data_packets, paired_packets, table, wall_micros
+from flowtally.sources.tables import FLOW, ORACLE_PACKETS, data_packets, paired_packets, raw_packets, table, wall_micros
 from flowtally.streaming import flows as live, online
 
 DAY_US = 86_400_000_000
@@ -485,31 +485,32 @@ def j5_active_sessions(spark, sf_dir):
     return live.active_sessions(rows, "1 day")
 
 
-@query(f"WITH {ORACLE_PACKETS} SELECT sender_port, tsecr, CAST(gen_rtt_us AS DOUBLE) AS rtt_us FROM data WHERE k % 10 <> 0 AND gen_rtt_us <= 36000000000")
-def j1_stream_rtt(spark, sf_dir):
-    """A stream-stream join of received packets with the outgoing ones that they echo (RTTs up to ten hours)."""
-    received = live.packet_stream(spark, sf_dir)
-    sent_us = F.col("arrival_us") - (F.col("k") + 1) * 1_000_000_000
-    sent = live.packet_stream(spark, sf_dir).where("k % 10 <> 0").select(F.timestamp_micros(sent_us).alias("ts"), "sender_port", F.col("tsecr").alias("tsval"), sent_us.alias("sent_us"))
-    return live.run_to_end(live.stream_rtt(received, sent, "10 hours"), "rtt")
+TICKS = 400
 
 
-@query(f"WITH {ORACLE_PACKETS} SELECT sender_port, tsecr, CAST(gen_rtt_us AS DOUBLE) AS rtt_us FROM data WHERE k % 10 <> 0")
-def j1_stream_rtt_all(spark, sf_dir):
-    """The same join kept for as long as the largest RTT of the table, so that every answered packet has its RTT; state still expires."""
-    longest = table(spark, sf_dir, "events").agg(F.max(F.get_json_object("props", "$.k").cast("long"))).first()[0] or 0
-    received = live.packet_stream(spark, sf_dir)
-    sent_us = F.col("arrival_us") - (F.col("k") + 1) * 1_000_000_000
-    sent = live.packet_stream(spark, sf_dir).where("k % 10 <> 0").select(F.timestamp_micros(sent_us).alias("ts"), "sender_port", F.col("tsecr").alias("tsval"), sent_us.alias("sent_us"))
-    return live.run_to_end(live.stream_rtt(received, sent, f"{(longest + 1) * 1000} seconds"), "rtt-all")
+def _raw_stream(spark: SparkSession, sf_dir: str, ticks: int = 1) -> DataFrame:
+    """Raw packets of both directions as a stream of one micro-batch."""
+    path = work_path(spark, "raw-packets")
+    raw_packets(data_packets(spark, sf_dir), ticks).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-@query()
-def j2_track_flows(spark, sf_dir):
-    """Keyed state: buffers, readiness, throughput, losses and removals of idle flows."""
-    stream = live.packet_stream(spark, sf_dir).withColumn("rtt_us", F.when(F.col("k") % 10 != 0, (F.col("k") + 1) * 1e6))
-    seq = data_packets(spark, sf_dir).select("tsecr", "seq")
-    return live.run_to_end(live.track_flows(stream.join(seq, "tsecr"), "1 hour", smoothing=10, idle_s=3600), "flows")
+def _oracle_round_trips(ticks: int) -> str:
+    return f"WITH {ORACLE_PACKETS}, sent AS (SELECT sender_port, tsecr // {ticks} AS tsval, arrival_us - gen_rtt_us AS sent_us FROM data WHERE k % 10 <> 0) SELECT sender_port, arrival_us, tsecr // {ticks} AS tsecr, (arrival_us - (SELECT max(sent_us) FROM sent s WHERE s.sender_port = d.sender_port AND s.tsval = d.tsecr // {ticks} AND sent_us < d.arrival_us))::DOUBLE AS rtt_us FROM data d"
+
+
+@query(_oracle_round_trips(TICKS))
+def j1_stream_rtt(spark, sf_dir):
+    """Every received packet with the time since the last send of the TSval it echoes, of which a flow sends many twice; null where there was none."""
+    rows = online.round_trips(online.watched(_raw_stream(spark, sf_dir, TICKS), "1 hour"))
+    return live.run_to_end(rows.select("sender_port", "arrival_us", "tsecr", "rtt_us"), "rtt")
+
+
+@query(_oracle_round_trips(1))
+def j1_stream_rtt_all(spark, sf_dir):
+    """The same where every TSval is unique: each packet has its own RTT, or none where its TSval was never sent."""
+    rows = online.round_trips(online.watched(_raw_stream(spark, sf_dir), "1 hour"))
+    return live.run_to_end(rows.select("sender_port", "arrival_us", "tsecr", "rtt_us"), "rtt-all")
 
 
 WATCHED, WATCHED_EWMAS = [8, 32], [("rtt_us", 0.1), ("rtt_us", 0.5), ("interarrival_us", 0.1)]
@@ -547,15 +548,27 @@ SELECT mo.sender_port, mo.arrival_us, mo.packets, {columns.replace('min_rtt_us,
 FROM mo JOIN ew ON mo.sender_port = ew.sender_port AND mo.idx = ew.idx JOIN de ON mo.sender_port = de.sender_port"""
 
 
+def _live_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Raw packets of both directions to round trips to features, labels and decisions: two chained states."""
+    trips = online.round_trips(online.watched(_raw_stream(spark, sf_dir), "1 hour"))
+    return online.decide_live(trips, WATCHED, WATCHED_EWMAS, late=None, idle_s=3600, **options)
+
+
 @query(_oracle_live())
 def j8_live_decisions(spark, sf_dir):
-    """Packets to features, labels and decisions in keyed state: J2, J3, J4, J8, J12, J15 and W13 as one streaming job."""
-    stream = live.packet_stream(spark, sf_dir).withColumn("rtt_us", F.when(F.col("k") % 10 != 0, (F.col("k") + 1) * 1e9))
-    seq = data_packets(spark, sf_dir).select("tsecr", "seq")
-    rows = live.run_to_end(online.decide_live(stream.join(seq, "tsecr"), WATCHED, WATCHED_EWMAS, "1 hour", idle_s=3600), "online").where("event = 'features'")
+    """Raw packets to features, labels and decisions: J1, J2, J3, J4, J8, J12, J15 and W13 as one streaming job."""
+    rows = live.run_to_end(_live_rows(spark, sf_dir), "online").where("event = 'features'")
     return rows.select("sender_port", "arrival_us", "packets", *[F.round(c, d).alias(c) for c, d in LIVE_DIGITS.items()], "label", "decision", "rwnd_b")
 
 
+@query(f"""WITH f AS ({_oracle_live()}), {ORACLE_PACKETS}, z AS (SELECT sender_port, max(arrival_us) AS newest, min(CASE WHEN k % 10 <> 0 THEN gen_rtt_us::DOUBLE END) AS low, count(*) AS n FROM data GROUP BY sender_port)
+SELECT sender_port, 'features' AS event, arrival_us, packets, min_rtt_us FROM f UNION ALL SELECT sender_port, 'open', newest, n, low FROM z
+UNION ALL SELECT sender_port, 'removed', newest, (SELECT count(DISTINCT f.sender_port) FROM f WHERE f.sender_port = z.sender_port), low FROM z WHERE newest // 1000 + 3600000 <= (SELECT max(newest) // 1000 - 3600000 FROM z)""")
+def j2_track_flows(spark, sf_dir):
+    """What a flow's state tells of it: that it is there, its features, and that it was removed after an idle hour (packets: its evaluations)."""
+    return live.run_to_end(_live_rows(spark, sf_dir, announce=True), "flows").select("sender_port", "event", "arrival_us", "packets", "min_rtt_us")
+
+
 @query("WITH e AS (SELECT user_id + 10000 AS sender_port, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY sender_port ORDER BY t) < 86400000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT *, sum(brk) OVER (PARTITION BY sender_port ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g), o AS (SELECT sender_port, min(t) AS start_us, max(t) + 86400000000 AS end_us, count(*) AS packets FROM s GROUP BY sender_port, sid) SELECT * FROM o WHERE end_us <= (SELECT (max(t) // 1000 - 60000) * 1000 FROM e)")
 def j5_closed_sessions(spark, sf_dir):
     """The sessions that the stream has closed when its source ends: those whose gap passed a minute before the newest packet."""
@@ -601,7 +614,7 @@ def j11_sender_ready(spark, sf_dir):
 MERGED = ["rtt_us", "loss_event_rate", "loss_rate", "tput_bps", "min_rtt_us"]
 
 
-def _oracle_sender_merge() -> str:
+def _oracle_sender_merge(more: str = "") -> str:
     """Each flow at the last ten times of its sender, between its packets before and after."""
     at = lambda c: f"CASE WHEN b.{c} IS NULL THEN a.{c} WHEN a.{c} IS NULL OR a.arrival_us = b.arrival_us THEN b.{c} ELSE b.{c} + (t - b.arrival_us) / (a.arrival_us - b.arrival_us)::DOUBLE * (a.{c} - b.{c}) END AS {c}"
     how = {"rtt_us": "avg", "loss_event_rate": "min", "loss_rate": "avg", "tput_bps": "sum", "min_rtt_us": "min"}
@@ -612,7 +625,7 @@ fl AS (SELECT DISTINCT sender_id, sender_port FROM v),
 br AS (SELECT fl.sender_id, fl.sender_port, t, n, (SELECT max(arrival_us) FROM v WHERE v.sender_port = fl.sender_port AND v.arrival_us <= t) AS tb, (SELECT min(arrival_us) FROM v WHERE v.sender_port = fl.sender_port AND v.arrival_us >= t) AS ta FROM fl JOIN ti USING (sender_id)),
 va AS (SELECT br.sender_id, t, n, {", ".join(map(at, how))} FROM br LEFT JOIN v b ON b.sender_port = br.sender_port AND b.arrival_us = tb LEFT JOIN v a ON a.sender_port = br.sender_port AND a.arrival_us = ta),
 ag AS (SELECT sender_id, t, n, {values} FROM va GROUP BY ALL)
-SELECT sender_id, 1 AS epoch, t AS arrival_us, {", ".join(f"round({c}, 6) AS {c}" for c in how)}, round(8e6 * 1448 * sqrt(1.5::DOUBLE) / nullif(rtt_us, 0) / sqrt(nullif(loss_event_rate, 0)), 6) AS mathis_bps FROM ag"""
+SELECT sender_id, 1 AS epoch, t AS arrival_us, {", ".join(f"round({c}, 6) AS {c}" for c in how)}, round(8e6 * 1448 * sqrt(1.5::DOUBLE) / nullif(rtt_us, 0) / sqrt(nullif(loss_event_rate, 0)), 6) AS mathis_bps{more} FROM ag"""
 
 
 @query(_oracle_sender_merge())
@@ -621,3 +634,16 @@ def j10_sender_merge(spark, sf_dir):
     n = rows.groupBy("sender_id").agg(F.countDistinct("sender_port").alias("n_flows"))
     out = live.sender_merge(rows.join(n, "sender_id"))
     return out.select("sender_id", "epoch", "arrival_us", *[F.round(c, 6).alias(c) for c in [*MERGED, "mathis_bps"]])
+
+
+@query(f"""WITH o AS ({_oracle_sender_merge(", n, (SELECT count(DISTINCT sender_port) FROM v WHERE v.sender_id = ag.sender_id) AS n_flows, rtt_us AS r, loss_event_rate AS l, min(min_rtt_us) OVER (PARTITION BY sender_id) AS low")}),
+d AS (SELECT sender_id, 8e6 * 1448 * sqrt(1.5::DOUBLE) / r / sqrt(l / (4 + 5e4 * l)) / n_flows AS rate, low FROM o WHERE n = 1)
+SELECT sender_id, epoch, arrival_us, {", ".join(MERGED)}, mathis_bps, n_flows, round(rate, 6) AS target_bps, CAST(greatest(round_even(rate / 8 * d.low / 1e6, 0), 2000) AS BIGINT) AS rwnd_b FROM o JOIN d USING (sender_id)""")
+def j10_live_senders(spark, sf_dir):
+    """J10, J11 and J13 on a stream: a sender's flows wait for each other in keyed state, are merged and decided."""
+    events = table(spark, sf_dir, "events")
+    n = events.groupBy((F.col("user_id") % 3).alias("sender_id")).agg(F.countDistinct("user_id").alias("n_flows"))
+    k = F.col("k")
+    rows = live.packet_stream(spark, sf_dir).join(n, "sender_id").select("sender_id", "sender_port", F.lit("features").alias("event"), F.lit(1).cast("long").alias("epoch"), "n_flows", "arrival_us", ((k + 1) * 1e9).alias("rtt_us"), (1 / (k + 2)).alias("loss_event_rate"), (1 / (k + 3)).alias("loss_rate"), F.col("payload_b").cast("double").alias("tput_bps"), ((k + 1) * 1e9).alias("min_rtt_us"))
+    out = live.run_to_end(online.decide_senders(rows), "senders")
+    return out.select("sender_id", "epoch", "arrival_us", *[F.round(c, 6).alias(c) for c in [*MERGED, "mathis_bps"]], "n_flows", F.round("target_bps", 6).alias("target_bps"), "rwnd_b")

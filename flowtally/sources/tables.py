@@ -56,6 +56,17 @@ def ack_packets(data: DataFrame) -> DataFrame:
     return sent.withColumn("ack_idx", (F.row_number().over(order) - 1).cast("long"))
 
 
+def raw_packets(data: DataFrame, ticks: int = 1) -> DataFrame:
+    """Packets of both directions as captured: received data (direction 0) and the sent packets that it answers (1).
+
+    A TSval stands for ``ticks`` events, so that a flow sends it again if ticks is large; a tenth is never sent.
+    """
+    clock = F.expr(f"tsecr div {ticks}")
+    received = data.select("sender_id", "sender_port", F.lit(0).alias("direction"), "arrival_us", F.lit(None).cast("long").alias("tsval"), clock.alias("tsecr"), "seq", "payload_b", "wire_b")
+    sent = data.where("k % 10 <> 0").select("sender_id", "sender_port", F.lit(1).alias("direction"), (F.col("arrival_us") - F.col("gen_rtt_us")).alias("arrival_us"), clock.alias("tsval"))
+    return received.unionByName(sent, allowMissingColumns=True).withColumn("ts", F.timestamp_micros("arrival_us"))
+
+
 def bandwidths(spark: SparkSession) -> DataFrame:
     """exp_id, bw_bps, use_bess: the emulated link of each experiment (constant, five rows)."""
     return spark.createDataFrame(BANDWIDTHS, "exp_id long, bw_bps double, use_bess boolean")

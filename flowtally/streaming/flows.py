@@ -1,4 +1,4 @@
-"""Rates, sessions, round trips and flow state on live packets, with Structured Streaming; decisions in batch form (``online`` has them as keyed state).
+"""Rates and sessions of live packets with Structured Streaming, and decisions in batch form; ``online`` has round trips, flow state and decisions as keyed state.
 
 Every streaming job runs on an unbounded source and, in tests and registered queries, to the end of
 what is there (``run_to_end``).  State is keyed by flow and expires by event time.
@@ -6,17 +6,14 @@ what is there (``run_to_end``).  State is keyed by flow and expires by event tim
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowtally.functions.registry import WINDOWS
 from flowtally.functions.unknown import MATHIS_C, MIN_RWND_B, MSS_B
-from flowtally.operators.recurrences import LossEvents, gap_losses
 from flowtally.sources.shared import work_path
 from flowtally.sources.tables import wall_micros
 
@@ -41,6 +38,17 @@ def packet_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1)
     )
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, which state with lists, maps and timers needs; the session's setting is put back."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that its source holds and returns what it wrote.
 
@@ -50,111 +58,44 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     out, state = work_path(spark, name), work_path(spark, f"{name}-state")
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
+    with state_in_rocksdb(spark):
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).outputMode("append").start()
+        else:
+            query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
     query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.withColumn("batch", F.lit(0).cast("long")).schema
     return spark.read.schema(schema).parquet(out)
 
 
-def ingress_rate(stream: DataFrame, every: str = "10 seconds", late: str = "1 minute") -> DataFrame:
-    """Packets and bytes per tumbling window."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("packets"), F.sum("wire_b").alias("bytes")).select(F.unix_micros("w.start").alias("start_us"), "packets", "bytes")
-
-
-def active_sessions(stream: DataFrame, gap: str = f"{ACTIVE_S} seconds", late: str = "1 minute") -> DataFrame:
-    """Spans in which a flow never paused for the gap: a flow is active until the gap after its last packet."""
-    return stream.withWatermark("ts", late).groupBy("sender_port", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("packets")).select("sender_port", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "packets")
-
-
-def stream_rtt(received: DataFrame, sent: DataFrame, keep: str = "1 hour") -> DataFrame:
-    """Received packets with the time since the outgoing packet whose TSval they echo; only positive differences count.
+def run_each(stream: DataFrame, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs ``work`` on each micro-batch until the source ends and returns what it gave.
 
-    Both sides (ts, sender_port, tsecr or tsval, arrival_us or sent_us) expire after ``keep``.
+    ``work`` may read tables anew for every batch, and a batch that runs again replaces what it wrote.
     """
-    r, s = received.withWatermark("ts", keep).alias("r"), sent.withColumnRenamed("ts", "sent_ts").withWatermark("sent_ts", keep).alias("s")
-    on = (F.col("r.sender_port") == F.col("s.sender_port")) & (F.col("r.tsecr") == F.col("s.tsval")) & (F.col("r.ts") > F.col("s.sent_ts")) & (F.col("r.ts") <= F.col("s.sent_ts") + F.expr(f"interval {keep}"))
-    return r.join(s, on).select("r.sender_port", "r.tsecr", (F.col("r.arrival_us") - F.col("s.sent_us")).cast("double").alias("rtt_us"))
-
-
-FLOW_STATE = "arrivals array<long>, payloads array<long>, losses array<long>, first_us long, min_rtt_us double, emitted long, last_seq long, highest_seq long, event_starts array<double>, event_sizes array<long>"
-FLOW_OUTPUT = "sender_port long, event string, arrival_us long, packets long, tput_bps double, min_rtt_us double, loss_rate double, loss_event_rate double"
+    spark = stream.sparkSession
+    out, state = work_path(spark, name), work_path(spark, f"{name}-state")
+    schemas = []
 
+    def write(df: DataFrame, n: int) -> None:
+        rows = work(df)
+        schemas[:] = [rows.schema]
+        rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-def in_order(frames: Iterator[pd.DataFrame], newest: int | None) -> tuple[pd.DataFrame, int]:
-    """A batch's packets in order of time, without those older than ``newest``, and the number of these late ones."""
-    batch = pd.concat(list(frames))
-    batch = batch.sort_values(["arrival_us", *(c for c in ("tsecr",) if c in batch)], kind="stable")
-    fresh = batch if newest is None else batch[batch["arrival_us"] >= newest]
-    return fresh, len(batch) - len(fresh)
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    if not schemas:
+        raise ValueError("the stream had no batch")
+    return spark.read.schema(schemas[0]).parquet(out)
 
 
-def flow_tracker(smoothing: int = SMOOTHING, longest: int = max(WINDOWS), idle_s: int = IDLE_S):
-    """State function: buffers a flow's packets, emits features once it is ready, a "late" row with the count of packets older than
-    what was seen, and a "removed" row once the flow has idled.
+def ingress_rate(stream: DataFrame, every: str = "10 seconds", late: str = "1 minute") -> DataFrame:
+    """Packets and bytes per tumbling window."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("packets"), F.sum("wire_b").alias("bytes")).select(F.unix_micros("w.start").alias("start_us"), "packets", "bytes")
 
-    Losses follow from sequence numbers by the tracker of the batch form: loss_rate over the
-    packets of the smoothing window, loss_event_rate over all packets of the flow.  Both are
-    unknown on packets without ``seq``.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FLOW_OUTPUT.split(", ")]
-        if state.hasTimedOut:
-            arrivals, low, emitted = state.get[0], state.get[4], state.get[5]
-            state.remove()
-            yield pd.DataFrame([(key[0], "removed", arrivals[-1] if len(arrivals) else 0, emitted, None, low, None, None)], columns=names)
-            return
-        tracker = LossEvents()
-        arrivals, payloads, losses, first, low, emitted, seq, highest = [], [], [], None, float("inf"), 0, None, 0
-        if state.exists:
-            arrivals, payloads, losses, first, low, emitted, seq, highest, starts, sizes = state.get
-            tracker.events = [[a, n] for a, n in zip(starts, sizes)]
-        arrivals, payloads, losses, out = list(arrivals), list(payloads), list(losses), []
-        batch, late = in_order(frames, arrivals[-1] if arrivals else None)
-        if late:
-            out.append((key[0], "late", arrivals[-1], late, None, low, None, None))
-        t, b = batch["arrival_us"].to_numpy(np.int64), batch["payload_b"].to_numpy(np.int64)
-        rtt = batch["rtt_us"].to_numpy(float, na_value=np.nan)
-        numbered = "seq" in batch
-        lost, rates = np.zeros(len(t), np.int64), np.zeros(len(t))
-        if numbered and len(t):
-            numbers, known = batch["seq"].to_numpy(np.int64), len(arrivals) > 0
-            before = lambda last, x: np.concatenate([[last], x]) if known else x
-            gaps, highest = gap_losses(before(seq, numbers), before(payloads[-1] if known else 0, b), highest=highest)
-            found = tracker.follow(gaps, before(arrivals[-1] if known else 0, t), before(-1.0, np.nan_to_num(rtt, nan=-1.0)))[:, 0]
-            lost[len(t) - len(gaps) :], rates[len(t) - len(gaps) :], seq = gaps, found, int(numbers[-1])
-        first = int(t[0]) if first is None and len(t) else first
-        lows = np.minimum.accumulate(np.minimum(np.where(rtt > 0, rtt, np.inf), low)) if len(t) else rtt
-        for i in range(len(t)):
-            low = float(lows[i])
-            arrivals.append(int(t[i]))
-            payloads.append(int(b[i]))
-            losses.append(int(lost[i]))
-            if len(arrivals) < smoothing or not np.isfinite(low) or arrivals[-smoothing] - first < low * longest:
-                continue
-            span = arrivals[-1] - arrivals[-smoothing]
-            rate = sum(payloads[-smoothing + 1 :]) * 8e6 / span if span else None
-            emitted += 1
-            gone = sum(losses[-smoothing + 1 :])
-            loss = (gone / (gone + smoothing - 1), float(rates[i])) if numbered else (None, None)
-            out.append((key[0], "features", arrivals[-1], len(arrivals), rate, low, *loss))
-            keep = bisect_left(arrivals, arrivals[-1] - low * longest)
-            del arrivals[:keep], payloads[:keep], losses[:keep]
-        state.update((arrivals, payloads, losses, first, low, emitted, seq, highest, [float(a) for a, _ in tracker.events], [int(n) for _, n in tracker.events]))
-        if arrivals and state.getCurrentWatermarkMs() < arrivals[-1] // 1000 + idle_s * 1000:
-            state.setTimeoutTimestamp(int(arrivals[-1] // 1000 + idle_s * 1000))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    return step
-
-
-def track_flows(stream: DataFrame, late: str = "1 minute", **options) -> DataFrame:
-    """Features of ready flows and removals of idle ones; the stream has ts, sender_port, arrival_us, payload_b, rtt_us and, for losses, seq."""
-    return stream.withWatermark("ts", late).groupBy("sender_port").applyInPandasWithState(flow_tracker(**options), FLOW_OUTPUT, FLOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def active_sessions(stream: DataFrame, gap: str = f"{ACTIVE_S} seconds", late: str = "1 minute") -> DataFrame:
+    """Spans in which a flow never paused for the gap: a flow is active until the gap after its last packet."""
+    return stream.withWatermark("ts", late).groupBy("sender_port", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("packets")).select("sender_port", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "packets")
 
 
 # Decisions ----------------------------------------------------------------------------

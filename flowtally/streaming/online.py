@@ -1,34 +1,51 @@
-"""From live packets to decisions: keyed state that turns a flow's packets into features, a label and a paced rate.
-
-At the end of each micro-batch a flow that is ready (``smoothing`` packets, and the longest
-window before them has passed since its first packet) is evaluated: its buffer is cut to what
-the longest window of the last ``smoothing`` packets needs, the features of these packets are
-emitted, the EWMAs go on from where the last evaluation ended, the mean ratio of measured to
-modelled throughput gives the label, the label and the decision before give the next decision,
-and the buffer is cleared.  Windows follow the online rules: a start is at most the
-packet before, and a window counts if its whole width lies after the buffer's first packet.
-
-Cases: packets older than what was seen are left out and counted in a "late" row; a flow
-without an RTT is never ready; a null RTT, a payload of 0 or an unknown ratio leaves the label
-out, and a flow without a label keeps its decision; an idle flow leaves a "removed" row; repeated
-packets count each; an empty batch changes nothing.
+"""From raw live packets to decisions: chained keyed state with timers.
+
+``round_trips`` remembers per flow when each TSval was last sent and gives every received packet
+its RTT, or none.  ``decide_live`` buffers a flow's packets: a flow that is ready (``smoothing``
+packets, and the longest window before them has passed since its first packet) is evaluated
+once ``enough`` packets wait or ``wait_s`` has passed since it became ready.  Its
+buffer is cut to what the longest window of the last ``smoothing`` packets needs, the
+features of these packets are emitted, the EWMAs go on from where the last evaluation ended, the
+mean ratio of measured to modelled throughput gives the label, the label and the decision
+before give the next decision, and the buffer is cleared.  Windows follow the online rules: a
+start is at most the packet before, and a window counts if its whole width lies after the
+buffer's first packet.  ``decide_senders`` gathers the evaluated flows of a sender.
+
+Time.  The watermark comes from ``ts``, which is dropped right behind it (``watched``): Spark then
+hands over rows of any age instead of dropping those behind the watermark, and the state
+functions see the watermark and set timers by it.  So packets in = packets buffered + packets in
+"late" rows, whatever the lateness.  ``clock="ProcessingTime"`` takes the wall clock instead.
+
+State.  A flow's buffer is a list to which each batch appends one element; what changes with
+every packet is one small value.  A flow idle for ``idle_s`` leaves a "removed" row and no state,
+also one that is already that far behind when its packets come.  A flow that is never
+ready keeps its newest ``most`` to 2 ``most`` packets; a "trimmed" row counts what it lets go.
+
+Cases: packets older than what was seen of their flow are left out and counted in a "late" row; a
+flow without an RTT is never ready; a null RTT, a payload of 0 or an unknown ratio leaves the
+label out, and a flow without a label keeps its decision; repeated packets count each; an
+empty batch changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtally.functions.registry import ewma_name
-from flowtally.functions.unknown import FAIR_BAND, MATHIS_C, MIN_RWND_B
+from flowtally.functions.unknown import FAIR_BAND, MATHIS_C, MIN_RWND_B, MSS_B
 from flowtally.operators.recurrences import LossEvents, ewma_paths, gap_losses
-from flowtally.streaming.flows import IDLE_S, NOT_PACED, PACED, SMOOTHING, decide, in_order
+from flowtally.streaming.flows import IDLE_S, NOT_PACED, PACED, SMOOTHING, decide
 
-STATE = "arrivals array<long>, wires array<long>, payloads array<long>, rtts array<double>, losses array<long>, rates array<double>, first_us long, newest_us long, min_rtt_us double, evaluations long, last_seq long, last_payload long, highest_seq long, event_starts array<double>, event_sizes array<long>, ewmas array<double>, paced_bps double, decision int, rwnd_b long"
+FLOW_STATE = "first_us long, newest_us long, min_rtt_us double, evaluations long, last_seq long, last_payload long, highest_seq long, event_starts array<double>, event_sizes array<long>, ewmas array<double>, paced_bps double, decision int, rwnd_b long, waiting long, recent array<long>, due_ms long, timer_ms long"
+CHUNK = "arrivals array<long>, wires array<long>, payloads array<long>, rtts array<double>, losses array<long>, rates array<double>"
+KINDS = (np.int64, np.int64, np.int64, float, np.int64, float)
+MOST = 1 << 17
 METRICS = ("interarrival_us", "tput_bps", "rtt_us", "loss_rate", "mathis_tput_bps")
 
 
@@ -76,10 +93,10 @@ def window_values(at: np.ndarray, k: int, arrival: np.ndarray, wire: np.ndarray,
     }
 
 
-def output_fields(windows: list[int], ewmas: list[tuple[str, float]]) -> list[tuple[str, str]]:
+def output_fields(key: list[str], windows: list[int], ewmas: list[tuple[str, float]]) -> list[tuple[str, str]]:
     """Names and types of the rows that a flow emits."""
     return [
-        ("sender_port", "long"), ("event", "string"), ("arrival_us", "long"), ("packets", "long"), ("min_rtt_us", "double"), ("loss_event_rate", "double"),
+        *((c, "long") for c in key), ("event", "string"), ("arrival_us", "long"), ("packets", "long"), ("min_rtt_us", "double"), ("loss_event_rate", "double"),
         *((f"{m}_w{k}", "double") for k in windows for m in METRICS), *((ewma_name(m, a), "double") for m, a in ewmas),
         ("label", "int"), ("decision", "int"), ("target_bps", "double"), ("rwnd_b", "long"), ("changed", "boolean"),
     ]
@@ -90,80 +107,319 @@ def class_of(x: float) -> int | None:
     return None if not np.isfinite(x) else 0 if x < 1 - FAIR_BAND else 1 if x <= 1 + FAIR_BAND else 2
 
 
-def evaluator(windows: list[int], ewmas: list[tuple[str, float]], smoothing: int = SMOOTHING, idle_s: int = IDLE_S, strategy: str = "aimd", judge: int = 8):
-    """State function over one flow's packets; ``judge`` is the window (one of ``windows``) whose ratio gives the label."""
-    fields, longest = output_fields(windows, ewmas), max(windows)
-    names = [n for n, _ in fields]
+def typed(rows: pd.DataFrame, fields: list[tuple[str, str]]) -> pd.DataFrame:
+    """Columns in nullable types, with NaN as null."""
+    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "string": "string"}
+    return pd.DataFrame({n: pd.array([None if x is None or x != x else x for x in rows[n]], dtype=kinds[k]) for n, k in fields})
+
+
+def watched(stream: DataFrame, late: str) -> DataFrame:
+    """The stream with a watermark by ``ts``, without the column, so that no row is dropped for its age."""
+    return stream.withWatermark("ts", late).drop("ts")
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def in_order(frames: Iterator[pd.DataFrame], newest: int | None) -> tuple[pd.DataFrame, int]:
+    """A batch's packets in order of time, without those older than ``newest``, and the number of these late ones."""
+    batch = pd.concat(list(frames))
+    batch = batch.sort_values(["arrival_us", *(c for c in ("tsecr",) if c in batch)], kind="stable")
+    fresh = batch if newest is None else batch[batch["arrival_us"] >= newest]
+    return fresh, len(batch) - len(fresh)
+
+
+# Round trips --------------------------------------------------------------------------
+
+RECEIVED, SENT = 0, 1
+PACKET = [("arrival_us", "long"), ("tsecr", "long"), ("seq", "long"), ("payload_b", "long"), ("wire_b", "long"), ("rtt_us", "double")]
+
+
+class RoundTrips(StatefulProcessor):
+    """Per flow, when each TSval was last sent; one row for each received packet."""
+
+    def __init__(self, key: list[str], keep_s: float) -> None:
+        self.key, self.keep_ms = key, int(keep_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getMapState("sent", "tsval long", "sent_us long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("arrival_us", kind="stable")
+        sends = batch[(batch["direction"] == SENT) & batch["tsval"].notna()]
+        got = batch[batch["direction"] == RECEIVED]
+        rtts = pd.Series(np.nan, index=range(len(got)))
+        echoes = pd.DataFrame({"at": range(len(got)), "arrival_us": got["arrival_us"].to_numpy(np.int64), "tsval": got["tsecr"].to_numpy(float, na_value=np.nan)}).dropna()
+        echoes["tsval"] = echoes["tsval"].astype(np.int64)
+        times = pd.DataFrame({"arrival_us": sends["arrival_us"].to_numpy(np.int64), "tsval": sends["tsval"].to_numpy(np.int64)})
+        times["sent_us"] = times["arrival_us"]
+        # The last send before the packet: of this batch, else the one remembered.
+        met = pd.merge_asof(echoes, times, on="arrival_us", by="tsval", allow_exact_matches=False)
+        known = {v: self.sent.getValue((v,))[0] for v in set(met["tsval"][met["sent_us"].isna()]) if self.sent.containsKey((v,))}
+        start = met["sent_us"].fillna(met["tsval"].map(known)).to_numpy(float)
+        rtt = met["arrival_us"].to_numpy(float) - start
+        rtts[met["at"]] = np.where(rtt > 0, rtt, np.nan)
+        for v, t in times.groupby("tsval")["sent_us"].max().items():
+            held = self.sent.getValue((int(v),))[0] if self.sent.containsKey((int(v),)) else None
+            self.sent.updateValue((int(v),), (int(t) if held is None else max(held, int(t)),))
+        if len(times) and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(int(times["sent_us"].min() // 1000) + self.keep_ms)
+        if len(got):
+            out = {c: [v] * len(got) for c, v in zip(self.key, key)} | {c: got[c].tolist() for c, _ in PACKET[:-1]} | {"rtt_us": rtts.tolist()}
+            yield typed(pd.DataFrame(out), [*((c, "long") for c in self.key), *PACKET])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Forgets what was sent longer than ``keep_s`` before the watermark; looks again when the oldest of the rest is due."""
+        now, oldest = timerValues.getCurrentWatermarkInMs(), None
+        for (tsval,), (sent_us,) in list(self.sent.iterator()):
+            if sent_us // 1000 + self.keep_ms <= now:
+                self.sent.removeKey((tsval,))
+            else:
+                oldest = sent_us if oldest is None else min(oldest, sent_us)
+        if oldest is not None:
+            self.handle.registerTimer(oldest // 1000 + self.keep_ms)
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600) -> DataFrame:
+    """Every received packet with the time since the last send before it of the TSval it echoes, null without one.
+
+    ``packets`` is a ``watched`` stream of both directions: key, direction (0 received, 1 sent), arrival_us,
+    tsval, tsecr, seq, payload_b, wire_b.  Sends are remembered until ``keep_s`` behind the watermark.
+    A packet that comes in an earlier batch than a send before it has no RTT from it.
+    """
+    schema = ", ".join(f"{n} {k}" for n, k in [*((c, "long") for c in key), *PACKET])
+    return packets.groupBy(*key).transformWithStateInPandas(RoundTrips(key, keep_s), schema, "Append", "EventTime", eventTimeColumnName="")
+
+
+# Flows --------------------------------------------------------------------------------
 
-    def plain(**values) -> list:
-        return [values.get(n) for n in names]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip((x.split()[0] for x in STATE.split(", ")), state.get)) if state.exists else {}
-        low, newest = held.get("min_rtt_us", float("inf")), held.get("newest_us")
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([plain(sender_port=key[0], event="removed", arrival_us=newest, packets=held["evaluations"], min_rtt_us=low)], columns=names)
-            return
-        batch, late = in_order(frames, newest)
-        rows = [plain(sender_port=key[0], event="late", arrival_us=newest, packets=late, min_rtt_us=low)] if late else []
+class Evaluator(StatefulProcessor):
+    """One flow's packets; ``judge`` is the window (one of ``windows``) whose ratio gives the label."""
+
+    def __init__(self, key: list[str], windows: list[int], ewmas: list[tuple[str, float]], smoothing: int = SMOOTHING, idle_s: float = IDLE_S, strategy: str = "aimd", judge: int = 8, enough: int = 0, wait_s: float = 0.1, most: int = MOST, announce: bool = False, clock: str = "EventTime") -> None:
+        self.key, self.windows, self.ewmas, self.smoothing, self.idle_ms = key, windows, ewmas, smoothing, int(idle_s * 1000)
+        self.strategy, self.judge, self.enough, self.wait_ms, self.most, self.announce, self.clock = strategy, judge, enough, int(wait_s * 1000), most, announce, clock
+        self.fields = output_fields(key, windows, ewmas)
+        self.names = [n for n, _ in self.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState("flow", FLOW_STATE)
+        self.buffer = handle.getListState("buffer", CHUNK)
+
+    def plain(self, key: Any, event: str, packets: int, held: dict) -> list:
+        values = dict(zip(self.key, key)) | {"event": event, "arrival_us": held["newest_us"], "packets": packets, "min_rtt_us": held["min_rtt_us"]}
+        return [values.get(n) for n in self.names]
+
+    def packets(self) -> list[np.ndarray]:
+        """The whole buffer, as arrays in the order of ``CHUNK``."""
+        chunks = list(self.buffer.get())
+        return [np.concatenate([np.zeros(0, kind), *(np.asarray(c[i], kind) for c in chunks)]) for i, kind in enumerate(KINDS)]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        names = names_of(FLOW_STATE)
+        fresh = not self.flow.exists()
+        held = dict.fromkeys(names) | {"evaluations": 0, "highest_seq": 0, "waiting": 0, "recent": []} if fresh else dict(zip(names, self.flow.get()))
+        newest = held["newest_us"]
+        batch, late = in_order(rows, newest)
+        out = [self.plain(key, "late", late, held)] if late else []
         t, seq, b = (batch[c].to_numpy(np.int64) for c in ("arrival_us", "seq", "payload_b"))
-        rtt = batch["rtt_us"].to_numpy(float, na_value=np.nan)
-        events = [[a, n] for a, n in zip(held["event_starts"], held["event_sizes"])] if held else None
-        tracker, lost, rates, highest = LossEvents(events=events), np.zeros(len(t), np.int64), np.zeros(len(t)), held.get("highest_seq", 0)
         if len(t):
+            rtt = batch["rtt_us"].to_numpy(float, na_value=np.nan)
+            events = [[a, n] for a, n in zip(held["event_starts"] or [], held["event_sizes"] or [])]
+            tracker, lost, rates = LossEvents(events=events or None), np.zeros(len(t), np.int64), np.zeros(len(t))
             joined = lambda last, x: x if newest is None else np.concatenate([[last], x])
-            gaps, highest = gap_losses(joined(held.get("last_seq"), seq), joined(held.get("last_payload"), b), highest=highest)
+            gaps, high = gap_losses(joined(held["last_seq"], seq), joined(held["last_payload"], b), highest=held["highest_seq"])
             lost[len(t) - len(gaps) :] = gaps
             rates[len(t) - len(gaps) :] = tracker.follow(gaps, joined(newest, t), joined(-1.0, np.nan_to_num(rtt, nan=-1.0)))[:, 0]
-        before = lambda name, x, kind: np.concatenate([np.asarray(held.get(name, []), kind), x])
-        arrival, wire, payload = before("arrivals", t, np.int64), before("wires", batch["wire_b"].to_numpy(np.int64), np.int64), before("payloads", b, np.int64)
-        rtts, losses, rates = before("rtts", rtt, float), before("losses", lost, np.int64), before("rates", rates, float)
-        first = held.get("first_us") if held else int(t[0]) if len(t) else None
-        low = float(np.min(np.where(rtt > 0, rtt, np.inf), initial=low))
-        newest = int(t[-1]) if len(t) else newest
-        paced, decision, window, evaluations = held.get("paced_bps"), held.get("decision"), held.get("rwnd_b"), held.get("evaluations", 0)
-        averages = np.asarray(held.get("ewmas") or [np.nan] * len(ewmas), float)
-        averages = np.where(np.isfinite(averages), averages, np.nan)
-        if len(arrival) > smoothing and np.isfinite(low) and arrival[-smoothing] - first >= low * longest:
-            keep = min(int(np.searchsorted(arrival, arrival[-smoothing] - low * longest)), len(arrival) - smoothing - 1)
-            arrival, wire, payload, rtts, losses, rates = (x[keep:] for x in (arrival, wire, payload, rtts, losses, rates))
-            at = np.arange(len(arrival) - smoothing, len(arrival))
-            out = {"sender_port": np.full(smoothing, key[0]), "event": ["features"] * smoothing, "arrival_us": arrival[at], "packets": np.full(smoothing, len(arrival)), "min_rtt_us": np.full(smoothing, low), "loss_event_rate": rates[at]}
-            for k in windows:
-                out |= {f"{m}_w{k}": x for m, x in window_values(at, k, arrival, wire, payload, rtts, losses, low).items()}
-            values = packet_values(arrival, payload, rtts, losses, low)
-            for i, (m, a) in enumerate(ewmas):
-                path = ewma_paths(values[m][:, None], np.array([a]), averages[i : i + 1])[:, 0]
-                out[ewma_name(m, a)], averages[i] = path[at], path[-1]
-            shares = ratio(out[f"tput_bps_w{judge}"], out[f"mathis_tput_bps_w{judge}"])
-            label = class_of(float(np.mean(shares[np.isfinite(shares)])) if np.isfinite(shares).any() else np.nan)
-            measured = out[f"tput_bps_w{judge}"][-1]
-            if label is not None and np.isfinite(measured):
-                paced = decide(label, float(measured), paced, strategy)
-            chosen = NOT_PACED if paced is None else PACED
-            size = None if paced is None else max(int(np.round(paced / 8 * low / 1e6)), MIN_RWND_B)
-            out |= {"label": [label] * smoothing, "decision": [chosen] * smoothing, "target_bps": [paced] * smoothing, "rwnd_b": [size] * smoothing, "changed": [(chosen, size) != (decision, window)] * smoothing}
-            decision, window, evaluations = chosen, size, evaluations + 1
-            rows += pd.DataFrame(out)[names].astype(object).values.tolist()
-            arrival, wire, payload, rtts, losses, rates = (x[:0] for x in (arrival, wire, payload, rtts, losses, rates))
-        last = (int(seq[-1]), int(b[-1])) if len(t) else (held.get("last_seq"), held.get("last_payload"))
-        state.update((arrival.tolist(), wire.tolist(), payload.tolist(), rtts.tolist(), losses.tolist(), rates.tolist(), first, newest, low, evaluations, *last, highest, [float(a) for a, _ in tracker.events], [int(n) for _, n in tracker.events], averages.tolist(), paced, decision, window))
-        if newest is not None and state.getCurrentWatermarkMs() < newest // 1000 + idle_s * 1000:
-            state.setTimeoutTimestamp(int(newest // 1000 + idle_s * 1000))
-        if rows:
-            yield typed(pd.DataFrame(rows, columns=names), fields)
-
-    return step
+            self.buffer.appendList([(t.tolist(), batch["wire_b"].to_numpy(np.int64).tolist(), b.tolist(), rtt.tolist(), lost.tolist(), rates.tolist())])
+            low = np.min(np.where(rtt > 0, rtt, np.inf), initial=np.inf if held["min_rtt_us"] is None else held["min_rtt_us"])
+            held |= {"first_us": int(t[0]) if fresh else held["first_us"], "newest_us": int(t[-1]), "min_rtt_us": float(low) if np.isfinite(low) else None, "last_seq": int(seq[-1]), "last_payload": int(b[-1]), "highest_seq": int(high)}
+            held |= {"event_starts": [float(a) for a, _ in tracker.events], "event_sizes": [int(n) for _, n in tracker.events], "waiting": held["waiting"] + len(t), "recent": [*held["recent"], *t.tolist()][-self.smoothing :]}
+            if fresh and self.announce:
+                out.append(self.plain(key, "open", len(t), held))
+        now = timerValues.getCurrentProcessingTimeInMs() if self.clock == "ProcessingTime" else held["newest_us"] // 1000
+        if self.ready(held):
+            if held["waiting"] >= self.enough:
+                out += self.evaluate(key, held)
+            elif held["due_ms"] is None:
+                held["due_ms"] = now + self.wait_ms
+        elif held["waiting"] > 2 * self.most:
+            kept = [x[-self.most :] for x in self.packets()]
+            self.buffer.put([tuple(x.tolist() for x in kept)])
+            out.append(self.plain(key, "trimmed", held["waiting"] - self.most, held))
+            held["waiting"] = self.most
+        self.settle(held, now + self.idle_ms)
+        if out:
+            yield typed(pd.DataFrame(out, columns=self.names), self.fields)
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held = dict(zip(names_of(FLOW_STATE), self.flow.get()))
+        fired, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        wall = self.clock == "ProcessingTime"
+        now = timerValues.getCurrentProcessingTimeInMs() if wall else held["newest_us"] // 1000
+        idle = held["due_ms"] is None or (not wall and timerValues.getCurrentWatermarkInMs() >= now + self.idle_ms)
+        held["timer_ms"] = None
+        if held["due_ms"] is not None and fired >= held["due_ms"]:
+            out += self.evaluate(key, held)
+        if idle:
+            self.flow.clear()
+            self.buffer.clear()
+            out.append(self.plain(key, "removed", held["evaluations"], held))
+        else:
+            self.settle(held, now + self.idle_ms)
+        if out:
+            yield typed(pd.DataFrame(out, columns=self.names), self.fields)
+        else:
+            yield pd.DataFrame()
 
-def typed(rows: pd.DataFrame, fields: list[tuple[str, str]]) -> pd.DataFrame:
-    """Columns in nullable types, with NaN as null."""
-    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "string": "string"}
-    return pd.DataFrame({n: pd.array([None if x is None or x != x else x for x in rows[n]], dtype=kinds[k]) for n, k in fields})
+    def close(self) -> None:
+        pass
+
+    def settle(self, held: dict, idle_ms: int) -> None:
+        """Keeps one timer, for the evaluation that is due or else for the end of the flow, and the state."""
+        timer = idle_ms if held["due_ms"] is None else min(idle_ms, held["due_ms"])
+        if timer != held["timer_ms"]:
+            if held["timer_ms"] is not None:
+                self.handle.deleteTimer(held["timer_ms"])
+            self.handle.registerTimer(timer)
+        held["timer_ms"] = timer
+        self.flow.update(tuple(held[n] for n in names_of(FLOW_STATE)))
+
+    def ready(self, held: dict) -> bool:
+        return held["waiting"] > self.smoothing and held["min_rtt_us"] is not None and held["recent"][0] - held["first_us"] >= held["min_rtt_us"] * max(self.windows)
+
+    def evaluate(self, key: Any, held: dict) -> list[list]:
+        """Features, label and decision of a ready flow, whose buffer ends here."""
+        n, low = self.smoothing, held["min_rtt_us"]
+        buffer = self.packets()
+        arrival = buffer[0]
+        keep = min(int(np.searchsorted(arrival, arrival[-n] - low * max(self.windows))), len(arrival) - n - 1)
+        arrival, wire, payload, rtts, losses, rates = (x[keep:] for x in buffer)
+        at = np.arange(len(arrival) - n, len(arrival))
+        out = {c: [v] * n for c, v in zip(self.key, key)} | {"event": ["features"] * n, "arrival_us": arrival[at], "packets": np.full(n, len(arrival)), "min_rtt_us": np.full(n, low), "loss_event_rate": rates[at]}
+        for k in self.windows:
+            out |= {f"{m}_w{k}": x for m, x in window_values(at, k, arrival, wire, payload, rtts, losses, low).items()}
+        values = packet_values(arrival, payload, rtts, losses, low)
+        averages = np.array([np.nan if x is None else x for x in held["ewmas"] or [None] * len(self.ewmas)], float)
+        for i, (m, a) in enumerate(self.ewmas):
+            path = ewma_paths(values[m][:, None], np.array([a]), averages[i : i + 1])[:, 0]
+            out[ewma_name(m, a)], averages[i] = path[at], path[-1]
+        shares = ratio(out[f"tput_bps_w{self.judge}"], out[f"mathis_tput_bps_w{self.judge}"])
+        label = class_of(float(np.mean(shares[np.isfinite(shares)])) if np.isfinite(shares).any() else np.nan)
+        measured, paced = out[f"tput_bps_w{self.judge}"][-1], held["paced_bps"]
+        if label is not None and np.isfinite(measured):
+            paced = decide(label, float(measured), paced, self.strategy)
+        chosen = NOT_PACED if paced is None else PACED
+        size = None if paced is None else max(int(np.round(paced / 8 * low / 1e6)), MIN_RWND_B)
+        out |= {"label": [label] * n, "decision": [chosen] * n, "target_bps": [paced] * n, "rwnd_b": [size] * n, "changed": [(chosen, size) != (held["decision"], held["rwnd_b"])] * n}
+        held |= {"paced_bps": paced, "decision": chosen, "rwnd_b": size, "evaluations": held["evaluations"] + 1, "ewmas": [float(x) if np.isfinite(x) else None for x in averages], "waiting": 0, "recent": [], "due_ms": None}
+        self.buffer.clear()
+        return pd.DataFrame(out)[self.names].astype(object).values.tolist()
+
+
+def decide_live(stream: DataFrame, windows: list[int] = [8], ewmas: list[tuple[str, float]] = [("rtt_us", 0.1), ("interarrival_us", 0.1)], late: str | None = "1 minute", key: list[str] = ["sender_port"], **options) -> DataFrame:
+    """Features, labels and decisions of live flows; the stream has the key, arrival_us, seq, payload_b, wire_b, rtt_us (null: none)
+    and ``ts``, unless ``late`` is None: then it is ``watched`` already, as what ``round_trips`` gives is."""
+    evaluator = Evaluator(key, windows, ewmas, **options)
+    rows = stream if late is None else watched(stream, late)
+    return rows.groupBy(*key).transformWithStateInPandas(evaluator, ", ".join(f"{n} {k}" for n, k in evaluator.fields), "Append", evaluator.clock, eventTimeColumnName="")
+
+
+# Senders ------------------------------------------------------------------------------
+
+MERGED = {"rtt_us": np.nanmean, "loss_event_rate": np.nanmin, "loss_rate": np.nanmean, "tput_bps": np.nansum, "min_rtt_us": np.nanmin}
+SENDER_FIELDS = [("sender_id", "long"), ("epoch", "long"), ("arrival_us", "long"), *((c, "double") for c in MERGED), ("mathis_bps", "double"), ("n_flows", "long"), ("target_bps", "double"), ("rwnd_b", "long"), ("changed", "boolean")]
+
+
+class SenderPolicy(StatefulProcessor):
+    """The evaluated flows of a sender wait for each other; a complete epoch is merged and decided."""
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.room = handle.getValueState("room", "epoch long, rwnd_b long, done long")
+        self.flows = handle.getMapState("flows", "sender_port long", "newest_us long")
+        self.waiting = handle.getMapState("waiting", "sender_port long", "arrivals array<long>, " + ", ".join(f"{c} array<double>" for c in MERGED))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        epoch, size, done = self.room.get() if self.room.exists() else (None, None, None)
+        for port, newest in batch[batch["event"] == "open"].groupby("sender_port")["arrival_us"].max().items():
+            self.flows.updateValue((int(port),), (int(newest),))
+        for port in set(batch["sender_port"][batch["event"] == "removed"]):
+            self.flows.removeKey((int(port),))
+        out = []
+        features = batch[batch["event"] == "features"]
+        for e, members in features.groupby("epoch", sort=True):
+            if (epoch is not None and e < epoch) or (done is not None and e < done):
+                continue
+            if e != epoch:
+                self.waiting.clear()
+            epoch = int(e)
+            for port, own in members.groupby("sender_port"):
+                own = own.sort_values("arrival_us", kind="stable")
+                self.waiting.updateValue((int(port),), (own["arrival_us"].astype(int).tolist(), *(own[c].to_numpy(float, na_value=np.nan).tolist() for c in MERGED)))
+            given = members["n_flows"].max()
+            expected = int(given) if given == given and given is not None else sum(1 for _ in self.flows.keys())
+            held = list(self.waiting.values())
+            if held and len(held) >= expected:
+                rows_, size = self.merge(key, epoch, held, size)
+                out += rows_
+                self.waiting.clear()
+                epoch, done = None, int(e)
+        self.room.update((epoch, size, done))
+        if out:
+            yield typed(pd.DataFrame(out, columns=[n for n, _ in SENDER_FIELDS]), SENDER_FIELDS)
+        else:
+            yield pd.DataFrame()
+
+    def merge(self, key: Any, epoch: int, held: list[tuple], size: int | None) -> tuple[list[tuple], int | None]:
+        """Rows at the last ``window`` times of all flows, with the decision of the last one, and its window."""
+        times = np.sort(np.concatenate([np.asarray(f[0], np.int64) for f in held]))[-self.window :]
+        columns = {}
+        for i, (c, how) in enumerate(MERGED.items()):
+            at = np.array([np.interp(times, np.asarray(f[0], float), np.array([np.nan if x is None else x for x in f[i + 1]], float)) for f in held])
+            known = np.isfinite(at).any(axis=0)
+            columns[c] = np.where(known, how(np.where(known, at, 0.0), axis=0), np.nan)
+        model = lambda loss: ratio(8e6 * MSS_B * MATHIS_C, columns["rtt_us"] * np.sqrt(np.where(loss > 0, loss, np.nan)))
+        columns["mathis_bps"] = model(columns["loss_event_rate"])
+        softened = columns["loss_event_rate"] / (4 + 5e4 * columns["loss_event_rate"])
+        rate = model(softened)[-1] / len(held)
+        low = columns["min_rtt_us"].min()
+        now = max(int(np.round(rate / 8 * low / 1e6)), MIN_RWND_B) if np.isfinite(rate * low) else None
+        rows = [(key[0], epoch, int(t), *(columns[c][i] for c in (*MERGED, "mathis_bps")), len(held), rate, now, now != size) for i, t in enumerate(times)]
+        return rows, now
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def decide_senders(flows: DataFrame, window: int = SMOOTHING) -> DataFrame:
+    """One paced rate per sender and epoch from rows of its flows: sender_id, sender_port, event, epoch, n_flows, arrival_us and the merged columns.
+
+    Rows of a flow and epoch come in one batch.  An epoch counts once all of the sender's flows are
+    there: ``n_flows``, or where that is null all with an "open" row and no "removed" row
+    since.  A newer epoch discards what waits of an older one.  Every flow is interpolated at the last
+    ``window`` times of all; mean RTT and loss rate, least loss event rate and minimum RTT, summed
+    throughput; the rate is the model's for the softened loss event rate, shared by the flows.
+    """
+    rows = flows.select("sender_id", "sender_port", "event", "epoch", "n_flows", "arrival_us", *MERGED)
+    return rows.groupBy("sender_id").transformWithStateInPandas(SenderPolicy(window), ", ".join(f"{n} {k}" for n, k in SENDER_FIELDS), "Append", "EventTime", eventTimeColumnName="")
 
 
-def decide_live(stream: DataFrame, windows: list[int] = [8], ewmas: list[tuple[str, float]] = [("rtt_us", 0.1), ("interarrival_us", 0.1)], late: str = "1 minute", **options) -> DataFrame:
-    """Features, labels and decisions of live flows; the stream has ts, sender_port, arrival_us, seq, payload_b, wire_b and rtt_us (null: none)."""
-    schema = ", ".join(f"{n} {k}" for n, k in output_fields(windows, ewmas))
-    return stream.withWatermark("ts", late).groupBy("sender_port").applyInPandasWithState(evaluator(windows, ewmas, **options), schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def sender_rows(decided: DataFrame, epoch: Column, judge: int = 8) -> DataFrame:
+    """Rows of ``decide_live`` (with ``announce``, by sender_id and sender_port) as ``decide_senders`` takes them."""
+    features = {c: f"{c}_w{judge}" for c in ("rtt_us", "loss_rate", "tput_bps")}
+    return decided.where("event in ('open', 'features', 'removed')").select("sender_id", "sender_port", "event", epoch.cast("long").alias("epoch"), F.lit(None).cast("long").alias("n_flows"), "arrival_us", *(F.col(x).alias(c) for c, x in features.items()), "loss_event_rate", "min_rtt_us")

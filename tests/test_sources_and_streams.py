@@ -74,16 +74,6 @@ def packets(spark, tmp_path):
     return df, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
-def test_flow_state(packets):
-    df, stream = packets
-    out = live.run_to_end(live.track_flows(stream, "10 seconds", smoothing=5, longest=8, idle_s=60), "flows").collect()
-    features = [r for r in out if r.event == "features"]
-    assert {r.sender_port for r in features} == {1, 2} and all(r.min_rtt_us == 50_000.0 and r.packets >= 5 for r in features)
-    steady = [r.tput_bps for r in features if r.sender_port == 2]
-    assert steady and all(x == pytest.approx(800.0) for x in steady)
-    assert 1 in {r.sender_port for r in out if r.event == "removed"}
-
-
 def test_streams_equal_batches(packets):
     df, stream = packets
     rate = live.run_to_end(live.ingress_rate(stream.withColumn("wire_b", F.lit(166)), "10 seconds"), "rate", "update")
