@@ -11,9 +11,10 @@ at a node the path stops with its half over its weighted probability and else go
 the logarithms of these chances over all bytes; the model is not changed by scoring.
 
 Form.  Everything follows from counts of strings of six bytes.  Documents are cut into pieces
-and gathered in stored bundles of about 48 MB, and a bundle reports each distinct string
-and word once.  Strings with the same last three context bytes (at most 2^24) make a subtree,
-whose three deeper levels numpy computes; the levels above are one aggregation each.  Weights
+and gathered in stored, compressed bundles of about 32 MB; a bundle reports each distinct string
+and word once, and each of these keeps the list of its bundles.  Strings with the same last three
+context bytes (at most 2^24) make a subtree, whose two deeper levels numpy computes; the levels
+above are one aggregation each.  Weights
 come down the same way and give each string its score.  Every bundle gets the scores of its own
 strings and the counts of its own words back and adds them up per document: nothing that grows
 with the corpus goes to the driver or to every task.  Strings of held-out texts are entered
@@ -33,15 +34,18 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowtally.llm.common import slices, store, whole_runs
 
 DEPTH, TOP = 5, 3
 FOLDS, HELD_FOLD = 7, 2
 END = b"\n"
-PIECE, BUNDLE, POSITIONS, ROWS = 1 << 20, 48 << 20, 1 << 22, 1 << 16
+CODEC = "zstd"
+PIECE, BUNDLE, POSITIONS, ROWS = 1 << 20, 32 << 20, 1 << 20, 1 << 16
 
 
 # Texts --------------------------------------------------------------------------------
@@ -65,40 +69,55 @@ def tokens(piece: bytes) -> list[bytes]:
     return body.split() + [END] * body.endswith(END)
 
 
-def strings(piece: bytes) -> Iterator[np.ndarray]:
-    """For each byte of a piece, the number made of its context and itself; some millions at a time."""
-    data = np.frombuffer(piece, np.uint8)
-    for s in range(0, len(data) - DEPTH, POSITIONS):
-        n = min(POSITIONS, len(data) - DEPTH - s)
-        out = np.zeros(n, np.int64)
-        for i in range(DEPTH + 1):
-            out = (out << 8) | data[s + i : s + i + n]
-        yield out
+def strings(sizes: np.ndarray, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each byte of a run of pieces, the number made of its context and itself, and which piece it is in; some millions at a time."""
+    read, ends = np.frombuffer(data, np.uint8), np.cumsum(sizes)
+    for s in range(DEPTH, len(read), POSITIONS):
+        at = np.arange(s, min(len(read), s + POSITIONS))
+        piece = np.searchsorted(ends, at, "right")
+        whole = at - (ends - sizes)[piece] >= DEPTH
+        out = np.zeros(len(at), np.int64)
+        for i in range(DEPTH, -1, -1):
+            out = (out << 8) | read[s - i : s - i + len(at)]
+        yield out[whole], piece[whole]
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(bundle, rid, doc_id, train, data), stored; the pieces of a bundle follow each other."""
+    """Stored runs of pieces, a megabyte or one piece at least: bundle, and per piece rid, doc_id, train and its size in the compressed data."""
+    kind, arrow = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[tuple] = []
+
+        def run() -> pa.RecordBatch:
+            rids, ids, train, data = zip(*held)
+            columns = [([first + number], pa.int64()), ([rids], pa.list_(pa.int64())), ([ids], pa.list_(arrow)), ([train], pa.list_(pa.bool_())), ([[len(x) for x in data]], pa.list_(pa.int64())), ([pa.compress(b"".join(data), CODEC, asbytes=True)], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["bundle", "rids", "ids", "train", "sizes", "data"])
+
         for batch in batches:
             for part, texts in slices(batch, 3):
-                at, bundle, data = [], [], []
-                for i, text in enumerate(texts):
+                for *about, text in zip(*(part.column(i).to_pylist() for i in range(3)), texts):
                     for piece in spelled(text):
-                        at.append(i)
-                        bundle.append(first + number)
-                        data.append(piece)
+                        held.append((*about, piece))
                         size += len(piece)
-                    if size >= BUNDLE:
-                        number, size = number + 1, 0
-                rows = part.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(bundle, pa.int64()), *rows.columns[:3], pa.array(data, pa.binary())], ["bundle", *rows.schema.names[:3], "data"])
+                        if size // PIECE > (size - len(piece)) // PIECE:
+                            yield run()
+                            if size >= BUNDLE:
+                                number, size = number + 1, 0
+        if held:
+            yield run()
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~held).alias("train"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return store(rows.mapInArrow(cut, f"bundle long, rid long, doc_id {kind}, train boolean, data binary"), "pieces")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~held_out).alias("train"), "text")
+    return store(rows.mapInArrow(cut, f"bundle long, rids array<long>, ids array<{kind}>, train array<boolean>, sizes array<long>, data binary"), "pieces")
+
+
+def unpacked(sizes: list[int], data: bytes) -> tuple[np.ndarray, bytes, list[bytes]]:
+    """The sizes, the bytes and the pieces of a run."""
+    whole, ends = pa.decompress(data, sum(sizes), CODEC, asbytes=True), np.cumsum(sizes).tolist()
+    return np.asarray(sizes), whole, [whole[e - n : e] for e, n in zip(ends, sizes)]
 
 
 class Tally:
@@ -123,7 +142,7 @@ class Tally:
 
 
 def found(parts: DataFrame) -> DataFrame:
-    """(bundle, string or word, n): what each bundle holds, and how often in training texts."""
+    """(string or word, n, bundles), stored: how often each occurs in training texts, and the bundles that hold it."""
     names = ["bundle", "string", "word", "n"]
 
     def report(bundle: int, train: Tally, other: Tally, words: Counter, others: set[bytes]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +161,23 @@ def found(parts: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
-            for bundle, train, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for bundle, trains, sizes, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if bundle != now:
                     if state:
                         yield from report(now, *state)
                     now, state = bundle, (Tally(), Tally(), Counter(), set())
-                for keys in strings(piece):
-                    state[0 if train else 1].add(keys)
-                state[2 if train else 3].update(tokens(piece))
+                sizes, whole, parts_ = unpacked(sizes, data)
+                learnt = np.asarray(trains)
+                for keys, piece in strings(sizes, whole):
+                    state[0].add(keys[learnt[piece]])
+                    state[1].add(keys[~learnt[piece]])
+                for train, part in zip(trains, parts_):
+                    state[2 if train else 3].update(tokens(part))
         if state:
             yield from report(now, *state)
 
-    return store(parts.select("bundle", "train", "data").mapInArrow(gather, "bundle long, string long, word binary, n long"), "found")
+    rows = parts.select("bundle", "train", "sizes", "data").mapInArrow(gather, "bundle long, string long, word binary, n long")
+    return store(rows.groupBy("string", "word").agg(F.sum("n").alias("n"), F.collect_list("bundle").alias("bundles")), "found")
 
 
 # The tree -----------------------------------------------------------------------------
@@ -289,29 +313,51 @@ def string_scores(counts: DataFrame) -> DataFrame:
 
 def piece_scores(left: pa.Table, right: pa.Table) -> pa.Table:
     """Sums over the pieces of one bundle; ``right`` has the bundle's strings with their scores and its words with their counts."""
-    known = right.filter(right["string"].is_valid())
-    keys, values = known["string"].to_numpy(), known["value"].to_numpy()
+    known = right["string"].is_valid()
+    keys, values = right["string"].filter(known).to_numpy(), right["value"].filter(known).to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    words = right.filter(right["word"].is_valid())
-    counts = dict(zip(words["word"].to_pylist(), words["value"].to_pylist()))
-    out: tuple[list, ...] = ([], [], [], [])
-    for piece in (x.as_py() for x in left["data"]):
-        seen = np.array([counts[w] for w in tokens(piece)])
-        for c, x in zip(out, (len(seen), int((seen > 0).sum()), float(np.log10(seen + 1).sum()), sum(float(values[np.searchsorted(keys, s)].sum()) for s in strings(piece)))):
-            c.append(x)
-    sums = [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-    return pa.table([left["rid"], left["doc_id"], *sums], ["rid", "doc_id", "n_tokens", "n_known", "base", "score"])
+    known = right["word"].is_valid()
+    words, counts = right["word"].filter(known).combine_chunks(), right["value"].filter(known).to_numpy()
+    total = sum(len(x) for x in left["sizes"])
+    n_tokens, n_known, base, score = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total), np.zeros(total)
+    first, held, owners = 0, [], []
+
+    def settle() -> None:
+        seen = counts[pc.index_in(pa.array(held, pa.binary()), words).to_numpy()]
+        owner = np.repeat(*map(np.asarray, zip(*owners)))
+        n_tokens[:] += np.bincount(owner, minlength=total)
+        n_known[:] += np.bincount(owner[seen > 0], minlength=total)
+        base[:] += np.bincount(owner, np.log10(seen + 1), total)
+        held.clear()
+        owners.clear()
+
+    for sizes, data in zip(left["sizes"], left["data"]):
+        sizes, whole, parts = unpacked(sizes.as_py(), data.as_py())
+        for found_, piece in strings(sizes, whole):
+            score += np.bincount(piece + first, values[np.searchsorted(keys, found_)], total)
+        for i, part in enumerate(parts):
+            own = tokens(part)
+            held += own
+            owners.append((first + i, len(own)))
+        first += len(sizes)
+        if len(held) > POSITIONS // 4:
+            settle()
+    if held:
+        settle()
+    about = [pa.chunked_array([c.flatten() for c in left[name].chunks]) for name in ("rids", "ids")]
+    return pa.table([*about, *map(pa.array, (n_tokens, n_known, base, score))], ["rid", "doc_id", "n_tokens", "n_known", "base", "score"])
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     parts = pieces(docs)
     held = found(parts)
-    strings_ = store(held.where("string is not null").groupBy("string").agg(F.sum("n").alias("n")).withColumn("top", F.shiftright("string", 8).bitwiseAND((1 << 8 * TOP) - 1)), "strings")
-    words = store(held.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    values = held.join(string_scores(strings_), "string").select("bundle", "string", F.lit(None).cast("binary").alias("word"), "value")
-    values = values.unionByName(held.drop("n").join(words, "word").select("bundle", F.lit(None).cast("long").alias("string"), "word", F.col("n").cast("double").alias("value")))
+    words = held.where("word is not null")
+    counts = held.where("string is not null").select("string", "n", F.shiftright("string", 8).bitwiseAND((1 << 8 * TOP) - 1).alias("top"))
+    scored = held.where("string is not null").join(string_scores(counts), "string").select("string", "bundles", "value", F.lit(None).cast("binary").alias("word"))
+    values = scored.unionByName(words.select(F.lit(None).cast("long").alias("string"), "bundles", F.col("n").cast("double").alias("value"), "word"))
+    values = values.select(F.explode("bundles").alias("bundle"), "string", "word", "value")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sums = parts.groupBy("bundle").cogroup(values.groupBy("bundle")).applyInArrow(piece_scores, f"rid long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
     each = sums.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
