@@ -98,7 +98,8 @@ def cell_sums(table: pa.Table) -> pa.Table:
 
     def side(block: int) -> tuple[np.ndarray, np.ndarray]:
         heads, facts = np.flatnonzero((gb == block) & (ti < 0)), np.flatnonzero((gb == block) & (ti >= 0))
-        place = np.zeros(int(gi[heads].max()) + 1, np.int64)
+        # A block may hold no source.
+        place = np.zeros(int(gi[heads].max(initial=-1)) + 1, np.int64)
         place[gi[heads]] = np.arange(len(heads))
         grid = np.repeat(p[heads][:, None], width, axis=1)
         grid[place[gi[facts]], ti[facts]] = p[facts]
@@ -119,7 +120,7 @@ def cell_sums(table: pa.Table) -> pa.Table:
 def blocks_of(rows: DataFrame, item: str, size: int, block: str, place: str) -> DataFrame:
     """Deals the ``item``s of each language into blocks of about ``size`` by hash, numbered within their block."""
     many = rows.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{block}s"))
-    dealt = rows.join(many, "lang").withColumn(block, F.pmod(F.xxhash64(item), F.col(f"{block}s")).cast("int"))
+    dealt = rows.join(many, "lang").withColumn(block, F.pmod(F.xxhash64(item), F.col(f"{block}s")).cast("int")).repartition("lang", block)
     return dealt.withColumn(place, (F.row_number().over(Window.partitionBy("lang", block).orderBy(item)) - 1).cast("int"))
 
 
