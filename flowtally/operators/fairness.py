@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtally.functions.unknown import bits_per_second
+from flowtally.operators.recurrences import in_packet_order
 from flowtally.operators.running import running
 from flowtally.sources.tables import FLOW
 
@@ -51,29 +54,34 @@ def throughput_series(packets: DataFrame, bucket_us: int = BUCKET_US) -> DataFra
     """Per flow, throughput of buckets that start at their first packet and close with the first packet over ``bucket_us`` after it.
 
     A bucket has two packets at least, the last one stays open; x_us is its middle.
+    A flow's packets pass through in batches; of a bucket only its first and latest packet are held on.
     """
+    keys = [c for c in [*FLOW, "sender_id"] if c in packets.columns]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pkt_idx", kind="stable")
-        t, b = group["arrival_us"].to_numpy(np.int64), np.cumsum(group["wire_b"].to_numpy(np.int64))
-        start, n, rows = 0, len(t), []
-        while start < n:
-            end = int(np.searchsorted(t, t[start] + bucket_us, "right"))
-            if end >= n:
-                break
-            last = end - 1
-            if last > start and t[last] > t[start]:
-                rows.append((len(rows), (t[start] + t[last]) / 2, (b[last] - b[start]) * 8e6 / (t[last] - t[start])))
-            start = end
-        out = pd.DataFrame(rows, columns=["sample_idx", "x_us", "tput_bps"])
-        for c in reversed(keys):
-            out.insert(0, c, group[c].iloc[0])
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, last, total, sample, key = None, None, 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = key or [batch.column(c)[:1].to_pylist()[0] for c in keys]
+            t = batch.column("arrival_us").to_numpy().astype(np.int64)
+            b = total + np.cumsum(batch.column("wire_b").to_numpy().astype(np.int64))
+            rows, at = [], 0
+            start = start or (int(t[0]), int(b[0]))
+            while (end := at + int(np.searchsorted(t[at:], start[0] + bucket_us, "right"))) < len(t):
+                last = (int(t[end - 1]), int(b[end - 1])) if end else last
+                if last and last[0] > start[0]:
+                    rows.append((sample, (start[0] + last[0]) / 2, (last[1] - start[1]) * 8e6 / (last[0] - start[0])))
+                    sample += 1
+                start, at = (int(t[end]), int(b[end])), end
+            last, total = (int(t[-1]), int(b[-1])), int(b[-1])
+            if rows:
+                columns = [pa.array([v] * len(rows), batch.schema.field(c).type) for c, v in zip(keys, key)]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, zip(*rows))], names=[*keys, "sample_idx", "x_us", "tput_bps"])
 
-    keys = [c for c in [*FLOW, "sender_id"] if c in packets.columns]
     kinds = {f.name: f.dataType.simpleString() for f in packets.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "sample_idx long", "x_us double", "tput_bps double"])
-    return packets.select(*keys, "pkt_idx", "arrival_us", "wire_b").groupBy(*FLOW).applyInPandas(run, schema)
+    return in_packet_order(packets.select(*keys, "pkt_idx", "arrival_us", "wire_b")).applyInArrow(run, schema)
 
 
 def throughput_grid(packets: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:

@@ -1,8 +1,8 @@
 """Recurrences along a flow: EWMAs that hold over unknown values, and loss events.
 
-Both stream a flow's narrow rows through a grouped map in Arrow batches, in packet order, and
-hand the state on from batch to batch, so a flow of any length needs the memory of a
-batch.  The helpers are plain numpy and are shared with the stream.
+Both stream narrow rows through a grouped map in Arrow batches, in packet order, and hand the
+state on from batch to batch, so a flow of any length needs the memory of a batch.  EWMAs
+also hand it on from range to range of a flow, so that one flow fills many tasks.  The helpers are plain numpy and are shared with the stream.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtally.functions.registry import ALPHAS, ewma_name
 from flowtally.functions.unknown import MATHIS_C
+from flowtally.sources.shared import stored
 from flowtally.sources.tables import FLOW
 
 
@@ -26,49 +27,130 @@ def in_packet_order(rows: DataFrame):
     return rows.repartition(*FLOW).sortWithinPartitions(*FLOW, "pkt_idx").groupBy(*FLOW)
 
 
+BLOCK = 64
+
+
 def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """EWMA of each column of x after each row, for all alphas at once (NaN: unknown); shape rows x (columns * alphas).
 
     An unknown or zero average takes x as it is; else unknown, zero and infinite x leave it.
     ``start`` holds the averages to go on from.
+
+    Every row is the map e -> kept * e + added, and maps compose.  Rows are laid out in
+    blocks that advance side by side, the blocks' maps are followed one after another, and each
+    row is applied to what its block starts from: steps of Python grow with the block and the
+    number of blocks, not with the rows.
     """
     x = x.reshape(len(x), -1)
-    wide, a = np.repeat(x, len(alphas), axis=1), np.tile(alphas, x.shape[1])
-    usable, out = np.isfinite(wide) & (wide != 0), np.empty_like(wide)
-    # What a usable x adds and what stays of the average; an x that is not usable adds nothing.
-    added, kept = np.where(usable, a * np.where(usable, wide, 0), 0), np.where(usable, 1 - a, 1)
-    e, open_ = np.full(wide.shape[1], np.nan) if start is None else np.asarray(start, float), True
-    for i in range(len(x)):
-        if open_:
-            fresh = np.isnan(e) | (e == 0)
-            e = np.where(fresh, wide[i], added[i] + kept[i] * e)
-            # Once every average is known and not zero, it stays so.
-            open_ = bool((np.isnan(e) | (e == 0)).any())
-        else:
-            e = added[i] + kept[i] * e
-        out[i] = e
-    return out
+    n, columns = x.shape
+    e = np.full(columns * len(alphas), np.nan) if start is None else np.asarray(start, float).copy()
+    if not n:
+        return np.empty((0, len(e)))
+    usable = np.isfinite(x) & (x != 0)
+    # An average that is not open yet takes the first usable value, or an unusable one as it is.
+    first = np.where(usable.any(axis=0), usable.argmax(axis=0), n)
+    seed = np.where(first < n, x[np.minimum(first, n - 1), np.arange(columns)], 0.0)
+    fresh = np.isnan(e) | (e == 0)
+    before = np.where(fresh, np.repeat(seed, len(alphas)), e)
+    size = max(1, min(BLOCK, int(np.sqrt(n)) + 1))
+    blocks = -(-n // size)
+    pad = lambda v, fill: np.concatenate([v, np.full((blocks * size - n, columns), fill)]).reshape(blocks, size, columns)
+    ok, value = pad(usable, False), pad(np.where(usable, x, 0.0), 0.0)
+    # Maps from the start of a block to each of its rows.
+    kept, added = np.empty((blocks, size, len(e))), np.empty((blocks, size, len(e)))
+    k, b = np.ones((blocks, len(e))), np.zeros((blocks, len(e)))
+    for i in range(size):
+        on, v = np.repeat(ok[:, i], len(alphas), axis=1), np.repeat(value[:, i], len(alphas), axis=1)
+        a = np.where(on, np.tile(alphas, columns), 0.0)
+        k, b = k * (1 - a), b * (1 - a) + a * v
+        kept[:, i], added[:, i] = k, b
+    starts = np.empty((blocks, len(e)))
+    for i in range(blocks):
+        starts[i] = before
+        before = kept[i, -1] * before + added[i, -1]
+    out = (kept * starts[:, None] + added).reshape(blocks * size, len(e))[:n]
+    closed = np.arange(n)[:, None] < np.repeat(first, len(alphas))
+    unknown = fresh & closed
+    return np.where(unknown, np.repeat(x, len(alphas), axis=1), out) if unknown.any() else out
+
+
+def _metrics_of(batch: pa.RecordBatch, metrics: list[str]) -> np.ndarray:
+    x = np.column_stack([batch.column(m).to_numpy(zero_copy_only=False) for m in metrics]).astype(float)
+    for k, m in enumerate(metrics):
+        if m == "inv_sqrt_loss_rate":
+            x[:, k] = np.where(np.isnan(x[:, k]), 1.0, x[:, k])
+    return x
+
+
+def ewma_carries(ranges: DataFrame, metrics: list[str], alphas: list[float]) -> DataFrame:
+    """(flow, _part, start): the averages that each range of a flow goes on from, for flows of several ranges.
+
+    A range is reduced to one small row: per metric its first usable value and the number of
+    usable ones, and its averages from an open start; these rows compose along the flow.
+    """
+    keys, a = [*FLOW, "_part"], np.tile(alphas, len(metrics))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, seed, key = None, np.zeros(len(metrics), np.int64), np.full(len(metrics), np.nan), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = key or [batch.column(c)[:1] for c in keys]
+            x = _metrics_of(batch, metrics)
+            usable = np.isfinite(x) & (x != 0)
+            first = x[usable.argmax(axis=0), np.arange(len(metrics))]
+            seed = np.where(np.isnan(seed) & usable.any(axis=0), first, seed)
+            n = n + usable.sum(axis=0)
+            last = ewma_paths(x, np.array(alphas), last)[-1]
+        if key:
+            yield pa.RecordBatch.from_arrays([*key, pa.array([last.tolist()]), pa.array([n.tolist()]), pa.array([seed.tolist()])], names=[*keys, "last", "n", "seed"])
+
+    def compose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_part")
+        e, starts = np.full(len(a), np.nan), []
+        for last, n, seed in zip(*(table[c].to_pylist() for c in ("last", "n", "seed"))):
+            starts.append(e.tolist())
+            n, seed, last = np.repeat(n, len(alphas)), np.repeat(np.array(seed, float), len(alphas)), np.array(last, float)
+            e = np.where(n == 0, np.where(np.isnan(e), last, e), np.where(np.isnan(e) | (e == 0), last, last + (1 - a) ** n * (e - seed)))
+        return table.select(keys).append_column("start", pa.array(starts, pa.list_(pa.float64())))
+
+    kinds = {f.name: f.dataType.simpleString() for f in ranges.schema}
+    named = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    long = ranges.groupBy(*FLOW).agg(F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high").select(*FLOW)
+    small = ranges.join(long, FLOW, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "pkt_idx").groupBy(*keys).applyInArrow(reduce, f"{named}, last array<double>, n array<long>, seed array<double>")
+    return small.groupBy(*FLOW).applyInArrow(compose, f"{named}, start array<double>")
 
 
 def ewma_features(rows: DataFrame, metrics: list[str], alphas: list[float] = ALPHAS) -> DataFrame:
-    """Flow key, pkt_idx and one column per metric and alpha; unknown inverse-sqrt loss rates count as 1."""
-    names = [ewma_name(m, a) for m in metrics for a in alphas]
+    """Flow key, pkt_idx and one column per metric and alpha; unknown inverse-sqrt loss rates count as 1.
+
+    Narrow rows are cut into ranges of (flow, pkt_idx) and stored; a range goes on from what
+    ``ewma_carries`` hands it, so a flow is spread over as many tasks as its packets fill.
+    """
+    names, keys = [ewma_name(m, a) for m in metrics for a in alphas], [*FLOW, "_part"]
+    narrow = rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics])
+    ranges = stored(narrow.repartitionByRange(*FLOW, "pkt_idx").withColumn("_part", F.spark_partition_id()), "ewma-ranges")
+    starts = stored(ewma_carries(ranges, metrics, alphas), "ewma-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            x = np.column_stack([batch.column(m).to_numpy(zero_copy_only=False) for m in metrics]).astype(float)
-            for k, m in enumerate(metrics):
-                if m == "inv_sqrt_loss_rate":
-                    x[:, k] = np.where(np.isnan(x[:, k]), 1.0, x[:, k])
-            paths = ewma_paths(x, np.array(alphas), last)
-            last = paths[-1] if len(paths) else last
+            held = batch.column("start").drop_null()
+            if len(held):
+                last = np.array(held[0].as_py(), float)
+                batch = batch.filter(batch.column("start").is_null())
+            if not batch.num_rows:
+                continue
+            paths = ewma_paths(_metrics_of(batch, metrics), np.array(alphas), last)
+            last = paths[-1]
             # from_pandas: NaN becomes NULL.
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*FLOW, "pkt_idx"]), *(pa.array(c, from_pandas=True) for c in paths.T)], names=[*FLOW, "pkt_idx", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*FLOW, "pkt_idx"]), *(f"{n} double" for n in names)])
-    return in_packet_order(rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics])).applyInArrow(run, schema)
+    # A range's start comes before its packets.
+    both = ranges.withColumn("_at", F.lit(1)).unionByName(starts.withColumn("_at", F.lit(0)), allowMissingColumns=True)
+    return both.repartition(*keys).sortWithinPartitions(*keys, "_at", "pkt_idx").groupBy(*keys).applyInArrow(run, schema)
 
 
 def gap_losses(seq: np.ndarray, payload: np.ndarray, packet_seq: bool = False, highest: int = 0) -> tuple[np.ndarray, int]:

@@ -11,6 +11,8 @@ more than ``GROUP_LIMIT`` packets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -178,16 +180,46 @@ def flatten_window(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
 
 
 def arrival_histogram(packets: DataFrame, duration_us: int, buckets: int = 100) -> DataFrame:
-    """For each packet the counts of its flow's packets in equal parts of the ``duration_us`` before it (ending at it).
+    """For each packet the counts of its flow's packets in equal parts of the ``duration_us`` before it (ending at it); parts without packets are left out.
 
-    Times are cut into cells of the window's length, so a packet meets only its own and the previous cell.
+    A flow passes through in order of time.  A count is the difference of two positions among its
+    arrivals, found by sorted search at the parts' edges, so the cost is that of packets x
+    buckets; held on are the arrivals of one duration.
     """
-    cell = F.floor(F.col("arrival_us") / duration_us).cast("long")
-    ends = packets.select(*FLOW, F.col("pkt_idx").alias("end_idx"), F.col("arrival_us").alias("end_us"), F.explode(F.array(cell, cell - 1)).alias("cell"))
-    others = packets.select(*FLOW, "arrival_us", cell.alias("cell"))
-    met = ends.join(others, [*FLOW, "cell"]).where((F.col("arrival_us") <= F.col("end_us")) & (F.col("arrival_us") >= F.col("end_us") - duration_us))
-    at = F.least(F.floor((F.col("arrival_us") - (F.col("end_us") - duration_us)) * buckets / duration_us), F.lit(buckets - 1)).cast("int")
-    return met.groupBy(*FLOW, "end_idx", at.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    edges = -(-np.arange(buckets, dtype=np.int64) * duration_us // buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, waiting, key = np.zeros(0, np.int64), [], None
+
+        def count(t: np.ndarray, idx: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows of the packets at ``t``, all of whose peers are in ``past``."""
+            for s in range(0, len(t), 4096):
+                end = t[s : s + 4096]
+                at = np.searchsorted(past, (end - duration_us)[:, None] + edges[None, :])
+                n = np.diff(at, axis=1, append=np.searchsorted(past, end, "right")[:, None])
+                row, bucket = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(row), k) for v, k in key), pa.array(idx[s : s + 4096][row]), pa.array(bucket.astype(np.int32)), pa.array(n[row, bucket])], names=[*FLOW, "end_idx", "bucket", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = key or [(batch.column(c)[0].as_py(), batch.schema.field(c).type) for c in FLOW]
+            t, idx = (batch.column(c).to_numpy().astype(np.int64) for c in ("arrival_us", "pkt_idx"))
+            past = np.concatenate([past, t])
+            waiting.append((t, idx))
+            # Packets at the latest time wait, since more at that time may follow.
+            t, idx = (np.concatenate(x) for x in zip(*waiting))
+            done = int(np.searchsorted(t, t[-1]))
+            yield from count(t[:done], idx[:done])
+            waiting = [(t[done:], idx[done:])]
+            past = past[np.searchsorted(past, t[done] - duration_us) :]
+        if waiting:
+            yield from count(*waiting[0])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packets.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in FLOW), "end_idx long", "bucket int", "n long"])
+    ordered = packets.select(*FLOW, "pkt_idx", "arrival_us").repartition(*FLOW).sortWithinPartitions(*FLOW, "arrival_us", "pkt_idx")
+    return ordered.groupBy(*FLOW).applyInArrow(run, schema)
 
 
 def sliding_accuracy(predictions: DataFrame, fair: float = 1.0, share: float = 0.4, method: str = "auto") -> DataFrame:
