@@ -163,3 +163,70 @@ def test_sentences_against_a_plain_reading(spark):
     got = {r.doc_id: r.sentences for r in licences.scan(docs).collect()}
     want = {r.doc_id: "|".join(plain_ids(r.text)) for r in docs.collect()}
     assert got == want and all(want.values())
+
+
+# Mentions -----------------------------------------------------------------------------
+
+MENTIONS = {
+    "This project is licensed under the MIT License.": "MIT",
+    "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT",
+    "The code was released under the Apache License 2.0 by its authors.": "Apache-2.0",
+    "Licensed under the GNU General Public License v3.0": "GPL-3.0-only",
+    "It is distributed under the terms of the GNU General Public License, version 2 or (at your option) any later version.": "GPL-2.0-or-later",
+    "This work is licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+    "The text is available under a Creative Commons Attribution-ShareAlike License": "CC-BY-SA",
+    "All of it is licensed under the BSD 3-Clause License, see below.": "BSD-3-Clause",
+    "Code in this folder is licensed\nunder the Mozilla Public\nLicense, version 2.0, as is common.": "MPL-2.0",
+    "Available under the ISC licence": "ISC",
+    "The data are released under CC0 1.0 Universal.": "CC0-1.0",
+    "Published under the LGPL v2.1 or later.": "LGPL-2.1-or-later",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0",
+    "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n": "Apache-2.0,MIT",
+    "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0-or-later",
+    "<p>This page is licensed under the <a href=\"x\">MIT License</a>.</p>": "MIT",
+}
+NEGATIVE = [
+    "This project is not licensed under the MIT License.", "It was never released under the GPL v3.", "The MIT License is short.", "Licensed under the MIT License and more", "licensed under the mit licensee rules",
+    "We wrote about permission, warranty and copyright.", "Released under the old bridge, the Apache helicopter 2.0 flew.", "SPDX-License-Identifier: Unknown-9", "It can't be licensed under the ISC License.", "A licensed plumber works under the MIT dome.",
+    "released under the moon", "available under the counter", "The GPL v3 was discussed by people who hold a licence to fish.", "Distributed under the tree by MIT people.",
+]
+
+
+def scanned(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licences for r in licences.scan(docs).orderBy("doc_id").collect()]
+
+
+def test_mentions_in_longer_sentences(spark):
+    got = scanned(spark, [f"Some words.\n\n{t}\n\nMore words." for t in MENTIONS])
+    assert dict(zip(MENTIONS, got)) == MENTIONS
+
+
+def test_no_licence_where_none_is_given(spark):
+    assert dict(zip(NEGATIVE, scanned(spark, NEGATIVE))) == dict.fromkeys(NEGATIVE, "")
+
+
+LETTERS = BSD3.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ")
+ONE_LINE = " ".join(MIT.split())
+TAGGED = "<html><body><pre>" + MIT.replace('"', "&quot;") + "</pre></body></html>"
+COPYING = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"
+LESSER = COPYING.replace("GNU GENERAL", "GNU LESSER GENERAL").replace("Version 3, 29 June 2007", "Version 2.1, February 1999").split(" Copyright")[0]
+
+
+def test_whole_texts_in_other_layouts(spark):
+    assert scanned(spark, [LETTERS, ONE_LINE, TAGGED, COPYING, LESSER]) == ["BSD-3-Clause", "MIT", "MIT", "GPL-3.0-only", "LGPL-2.1-only"]
+
+
+def test_the_oracle_reads_all_of_these(spark):
+    """The SQL, which knows no look-around, against the scan on every text, form and mention of this file."""
+    import duckdb
+
+    texts = [f(t) for f in FORMS.values() for t in TEXTS.values()] + [*MENTIONS, *NEGATIVE, LETTERS, ONE_LINE, TAGGED, COPYING, LESSER, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.sql("CREATE TABLE documents AS SELECT * FROM documents")
+    want = {r[0]: r[1:] for r in con.sql(licences.oracle_sql()).fetchall()}
+    got = {r.doc_id: (r.n_known, r.sentences, r.licences) for r in licences.scan(docs).collect()}
+    assert {k: (got[k], want[k], texts[k]) for k in got if got[k] != want[k]} == {}
