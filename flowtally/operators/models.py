@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from math import gcd
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtally.operators.packets import replace_unknowns
 from flowtally.operators.scoring import global_row_numbers
+from flowtally.sources.shared import stored
 
 MOST_CLUSTERED = 400
 
@@ -68,18 +72,35 @@ def ward_clusters(matrix: np.ndarray, k: int) -> np.ndarray:
     return labels
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, columns: list[str], label: str, order: list[str], repeats: int = 1) -> DataFrame:
-    """Drop in accuracy when one column's values are dealt to other rows; mean of ``repeats``."""
-    score = lambda df: predict(model, assemble(df, columns, [label])).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-    whole, out = score(rows), []
-    for c in columns:
-        drops = []
-        for r in range(repeats):
-            dealt = global_row_numbers(rows.select(F.col(c).alias("_v"), *order), [F.md5(F.concat_ws("|", F.lit(f"{c}{r}"), *[F.col(o).cast("string") for o in order]))])
-            own = global_row_numbers(rows, order)
-            drops.append(whole - score(own.drop(c).join(dealt.select("rn", F.col("_v").alias(c)), "rn").drop("rn")))
-        out.append((c, float(np.mean(drops))))
-    return rows.sparkSession.createDataFrame(out, "feature string, importance double")
+def deals(n: int, repeats: int, seed: int = 1) -> list[tuple[int, int]]:
+    """Multipliers and offsets (a, b) of maps i -> (a i + b) mod n that deal n rows to each other."""
+    draw, out = random.Random(seed), []
+    while len(out) < repeats:
+        a = draw.randrange(n // 3 + 1, n) if n > 2 else 1
+        if gcd(a, n) == 1:
+            out.append((a, draw.randrange(1, max(n, 2))))
+    return out
+
+
+def permutation_importance(model: PipelineModel, rows: DataFrame, columns: list[str], label: str, order: list[str], repeats: int = 1, seed: int = 1) -> DataFrame:
+    """Drop in accuracy when one column's values are dealt to other rows; mean of ``repeats``.
+
+    Rows are numbered and stored once; one join per row and repeat brings the row whose values
+    it is dealt, and all columns of all repeats are scored in one pass.
+    """
+    numbered = stored(global_row_numbers(rows.select(*columns, label, *order), order).select("rn", label, *columns), "numbered")
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+    n = numbered.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "feature string, importance double")
+    whole = predict(model, assemble(numbered, columns, [label])).agg(right).first()[0]
+    ways = F.array(*[F.struct(F.lit(r).alias("r"), F.pmod(F.col("rn").cast("decimal(38,0)") * a + b, F.lit(n)).cast("long").alias("to")) for r, (a, b) in enumerate(deals(n, repeats, seed))])
+    asks = numbered.withColumn("_way", F.explode(ways)).withColumn("_from", F.col("_way.to"))
+    met = asks.join(numbered.select(F.col("rn").alias("_from"), F.struct(*columns).alias("_other")), "_from")
+    forms = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"_other.{x}" if x == c else x).alias(x) for x in columns]) for c in columns])
+    dealt = met.select(label, F.col("_way.r").alias("_r"), F.explode(forms).alias("_f")).select(label, "_r", "_f.*")
+    scored = predict(model, assemble(dealt, columns, [label, "_r", "feature"])).groupBy("feature", "_r").agg(right.alias("_accuracy"))
+    return scored.groupBy("feature").agg((F.lit(float(whole)) - F.avg("_accuracy")).alias("importance"))
 
 
 def select_features(importances: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -156,6 +156,37 @@ def c7_merged_windows_builtin(spark, sf_dir):
     return win.merged_totals(with_features(spark, sf_dir), [8], method="builtin").select(*FLOW, "pkt_idx", F.round("total_tput_bps_w8", 9).alias("total_tput_bps_w8"))
 
 
+def _oracle_merged_all(windows: list[int]) -> str:
+    """The merged totals of every window, one row per packet and window."""
+    parts = [
+        f"""ms{k} AS (SELECT *, CASE WHEN m_idx > 0 THEN least(m_idx - 1, min(m_idx) OVER (PARTITION BY exp_id ORDER BY arrival_us RANGE BETWEEN CAST({k} * least(min_rtt_us, 1e15) AS BIGINT) PRECEDING AND CURRENT ROW)) END AS s0 FROM mg),
+mm{k} AS (SELECT *, max(s0) OVER (PARTITION BY exp_id ORDER BY m_idx ROWS UNBOUNDED PRECEDING) AS ms FROM ms{k}),
+mt{k} AS (SELECT j.exp_id, j.sender_port, j.receiver_port, j.pkt_idx, {k} AS k, j.use_bess, j.bw_bps, (j.m_bytes - i.m_bytes) * 8e6 / nullif(j.arrival_us - i.arrival_us, 0) AS tput FROM mm{k} j LEFT JOIN mg i ON j.exp_id = i.exp_id AND j.ms = i.m_idx)"""
+        for k in windows
+    ]
+    every = " UNION ALL ".join(f"SELECT * FROM mt{k}" for k in windows)
+    head = _oracle_merged(8).split("ms AS (")[0]
+    return f"WITH {head}{', '.join(parts)} SELECT {KEY}, pkt_idx, k, round(CASE WHEN NOT use_bess OR tput <= bw_bps THEN tput END, 9) AS total_tput_bps FROM ({every})"
+
+
+def _merged_long(spark: SparkSession, sf_dir: str, windows: list[int], method: str) -> DataFrame:
+    rows = win.merged_totals(with_features(spark, sf_dir), windows, method=method)
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(f"total_tput_bps_w{k}", 9).alias("total_tput_bps")) for k in windows])).alias("p")
+    return rows.select(*FLOW, "pkt_idx", pairs).select(*FLOW, "pkt_idx", "p.*")
+
+
+@query(_oracle_merged_all(WINDOWS))
+def w8_merged_windows_all(spark, sf_dir):
+    """Throughput of all flows of an experiment over every window."""
+    return _merged_long(spark, sf_dir, WINDOWS, "vectorised")
+
+
+@query(_oracle_merged_all([1, 8, 32, 1024]))
+def c7_merged_windows_builtin_all(spark, sf_dir):
+    """The built-in form over the smallest, the label's, a middle and the largest window."""
+    return _merged_long(spark, sf_dir, [1, 8, 32, 1024], "builtin")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows with windows of 8, the ground truth ratio and its class."""
     packets = with_features(spark, sf_dir)

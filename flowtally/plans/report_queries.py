@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowtally.functions import unknown as u
 from flowtally.operators import experiments as ex, fairness, joins, models, packets as pk, reports, sampling, scoring, windows as win
 from flowtally.operators.running import running
-from flowtally.plans.packet_queries import CLASS, KEY, O_LABELLED, labelled, loss_event_oracle
+from flowtally.plans.packet_queries import CLASS, KEY, O_LABELLED, labelled, loss_event_oracle, with_features
 from flowtally.plans.registry import query
 from flowtally.sources import files
 from flowtally.sources.shared import stored, work_path
@@ -305,14 +305,33 @@ def g14_train_predict(spark, sf_dir):
     return scoring.classification_report(scored, "label", "prediction")
 
 
+SELECTED = [f"{m}_w{k}" for k in (8, 32) for m in ("rtt_us", "loss_rate", "interarrival_us", "tput_bps", "mathis_tput_bps")]
+
+
+def _wide_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled packets with the windows of 8 and 32."""
+    packets = labelled(spark, sf_dir).where("label is not null").withColumn("label", F.col("label").cast("double"))
+    more = win.flow_windows(with_features(spark, sf_dir), [32]).select(*FLOW, "pkt_idx", *[c for c in SELECTED if c.endswith("_w32")])
+    return stored(packets.join(more, [*FLOW, "pkt_idx"]), "wide-labelled")
+
+
+@query()
+def g14_train_predict_all(spark, sf_dir):
+    """Ten rounds of boosted trees over the windows of 8 and 32."""
+    rows = _wide_training_rows(spark, sf_dir)
+    ready = models.assemble(rows, SELECTED, [*FLOW, "pkt_idx", "label"])
+    model = models.train(ready.where("pkt_idx % 4 <> 0"), "trees", rounds=10)
+    return scoring.classification_report(models.predict(model, ready.where("pkt_idx % 4 = 0")), "label", "prediction")
+
+
 @query()
 def g12_feature_selection(spark, sf_dir):
-    """Clusters of correlated features, their importances, and the best of each cluster."""
-    rows, columns = _training_rows(spark, sf_dir)
-    matrix = models.spearman_matrix(rows, columns).toPandas().pivot(index="a", columns="b", values="rho")
-    clusters = models.ward_clusters(matrix.to_numpy(), min(2, len(matrix)))
-    model = models.train(models.assemble(rows, columns, ["label"]), "logistic")
-    importances = models.permutation_importance(model, rows, columns, "label", [*FLOW, "pkt_idx"])
+    """Clusters of correlated windows of 8 and 32, their importances to boosted trees over five repeats, and the best of each cluster."""
+    rows = _wide_training_rows(spark, sf_dir)
+    matrix = models.spearman_matrix(rows, SELECTED).toPandas().pivot(index="a", columns="b", values="rho")
+    clusters = models.ward_clusters(matrix.to_numpy(), min(4, len(matrix)))
+    model = models.train(models.assemble(rows, SELECTED, ["label"]), "trees", rounds=5)
+    importances = models.permutation_importance(model, rows, SELECTED, "label", [*FLOW, "pkt_idx"], repeats=5)
     return models.select_features(importances, spark.createDataFrame([(f, int(c)) for f, c in zip(matrix.index, clusters)], "feature string, cluster int"))
 
 

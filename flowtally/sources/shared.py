@@ -36,4 +36,14 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes ``df`` and reads it back, so that what follows starts from the files."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*parts: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these tables; for intermediates of which nothing is read any more."""
+    for df in parts:
+        if path := getattr(df, "_stored_at", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

@@ -49,3 +49,30 @@ def test_the_best_of_each_cluster_is_chosen(spark, rows):
     assert found["a"] > 0.2 and max(found["c"], found["d"]) < 0.05
     chosen = models.select_features(importances, spark.createDataFrame([(f, int(c)) for f, c in zip(matrix.index, clusters)], "feature string, cluster int")).collect()
     assert chosen[0].feature == "a" and {r.cluster for r in chosen} == {0, 1}
+
+
+def test_deals_move_every_row():
+    for n in (1, 2, 3, 10, 97, 900):
+        for a, b in models.deals(n, 3):
+            dealt = [(a * i + b) % n for i in range(n)]
+            assert sorted(dealt) == list(range(n)) and (n < 3 or sum(x == i for i, x in enumerate(dealt)) <= n // 2)
+
+
+def test_importance_of_a_known_rule(spark):
+    """A model that reads ``a`` alone: a dealt ``a`` is right only where the dealt value has the label, another column changes nothing."""
+    rows = spark.createDataFrame([(k, float(k % 4), float(k % 3), float(k % 4)) for k in range(120)], "k long, a double, b double, label double")
+    model = models.train(models.assemble(rows, ["a", "b"], ["label"]), "forest", seed=3)
+    found = {r.feature: r.importance for r in models.permutation_importance(model, rows, ["a", "b"], "label", ["k"], repeats=4).collect()}
+    right = [sum(((a * k + b) % 120) % 4 == k % 4 for k in range(120)) / 120 for a, b in models.deals(120, 4)]
+    assert found["a"] == pytest.approx(1 - sum(right) / 4) and found["b"] == pytest.approx(0)
+    assert models.permutation_importance(model, rows.limit(0), ["a", "b"], "label", ["k"]).count() == 0
+
+
+def test_discarded_tables_are_gone(spark):
+    from flowtally.sources.shared import discard, stored
+
+    df = stored(spark.range(5), "gone")
+    assert df.count() == 5
+    discard(df, spark.range(1))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.schema("id long").parquet(df._stored_at).count()
