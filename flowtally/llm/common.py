@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtally.sources.shared import stored as store, work_path as new_path
+from flowtally.sources.shared import discard, stored as store, work_path as new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 TEXT_BYTES = 4 << 20
@@ -143,22 +143,24 @@ def components(links: DataFrame) -> DataFrame:
     fall fast on chains.  Rounds are stored, so a lost executor costs one round at most.
     """
     tidy = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = store(tidy(links), "links")
+    given = left = store(tidy(links), "links")
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rounds = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hops = both.groupBy("a").agg(F.min("b").alias("to")).where("to < a").select(F.col("a").alias("node"), "to")
-        hops = store(hops, "hops")
+        first = hops = store(both.groupBy("a").agg(F.min("b").alias("to")).where("to < a").select(F.col("a").alias("node"), "to"), "hops")
         for _ in range(2):
             hops = _follow(hops, "to", hops)
         hops = store(hops, "hops")
         rounds.append(hops)
-        left = store(tidy(_follow(_follow(left, "a", hops), "b", hops)), "links")
+        before, left = left, store(tidy(_follow(_follow(left, "a", hops), "b", hops)), "links")
+        discard(first, *([before] if before is not given else []))
     labels = nodes.withColumn("root", F.col("node"))
     for hops in rounds:
         labels = _follow(labels, "root", hops)
-    return store(labels, "labels")
+    out = store(labels, "labels")
+    discard(given, left, *rounds)
+    return out
 
 
 def with_row_ids(df: DataFrame, name: str, extra: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, str]:

@@ -28,7 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowtally.llm.common import store
+from flowtally.llm.common import discard, store
 
 RUN = "[a-zÀ-ÿ]+"
 LENGTH, COUNT, RATIO, EVERY = 6, 5, 5, 199
@@ -95,6 +95,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     while True:
         edges = store(edges_below(frontier.where("edits = 0")), "edges")
         states = store(step(frontier, edges), "frontier")
+        discard(edges)
         ends.append(states.where("leaf and edits = 1").select("s", F.col("node").alias("t")))
         frontier = states.where("not leaf").drop("leaf")
         if frontier.isEmpty():
@@ -109,11 +110,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) for every row of ``forms`` (word, form): where the forms of forms end.  Paths double each round."""
-    ways = store(forms.select("word", F.col("form").alias("root")), "roots")
+    held = ways = store(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = ways.select(F.col("word").alias("root"), F.col("root").alias("_next"))
         grown = store(ways.join(further, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "roots")
-        ways = grown.select("word", "root")
+        discard(held)
+        held, ways = grown, grown.select("word", "root")
         if grown.where("_moved").isEmpty():
             return ways
 
