@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowtally.llm import mix, pack, quality_forest, quality_gam, simhash
-from flowtally.llm.common import store, vocabulary
+from flowtally.llm.common import discard, store, vocabulary
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each stored for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        before, docs = docs, store(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
