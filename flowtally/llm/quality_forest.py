@@ -78,9 +78,12 @@ def separation(x: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.array([np.abs(share(c[good], np.unique(c)) - share(c[~good], np.unique(c))).max() for c in x.T])
 
 
-def grow(x: np.ndarray, good: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = SEED) -> Forest:
-    """Isolation trees over the rows of ``x``, each on up to ``psi`` of them; ``good`` marks the rows labelled good."""
-    rng, weight = np.random.default_rng(seed), separation(x, good) + 1e-9
+def grow(x: np.ndarray, good: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = SEED, draw: str = "separation") -> Forest:
+    """Isolation trees over the rows of ``x``, each on up to ``psi`` of them; ``good`` marks the rows labelled good.
+
+    The statistic of a split is drawn by ``separation`` of the labels, or evenly (``draw="even"``).
+    """
+    rng, weight = np.random.default_rng(seed), np.ones(x.shape[1]) if draw == "even" else separation(x, good) + 1e-9
     psi = min(psi, len(x))
     levels = int(np.ceil(np.log2(max(psi, 2)))) + 1
     size = (1 << levels) - 1
@@ -158,11 +161,11 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
     return x[order], got["label"].to_numpy(np.int64)[order], share
 
 
-def grown(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[Forest | None, float]:
+def grown(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", draw: str = "separation") -> tuple[Forest | None, float]:
     """The forest of a sample of labelled rows (None without any), without a threshold, and the share of ids drawn."""
     stats, y, share = labelled_stats(docs, labels, "quality", max_rows, doc_id, text, most=0.5)
     stats, y = stats[~(failed := judge(stats, None)[0])], y[~failed]
-    return (grow(stats[:, AT], y == 1) if len(stats) else None), share
+    return (grow(stats[:, AT], y == 1, draw=draw) if len(stats) else None), share
 
 
 def calibrated(scored: DataFrame, labels: DataFrame, share: float, clean_loss: float = CLEAN_LOSS, doc_id: str = "doc_id") -> float:
@@ -211,9 +214,9 @@ def verdicts(docs: DataFrame, forest: Forest | None, doc_id: str = "doc_id", tex
     return measured(docs, forest, doc_id, text).withColumn("kept", _kept(forest.threshold if forest is not None else np.inf))
 
 
-def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, clean_loss: float = CLEAN_LOSS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, clean_loss: float = CLEAN_LOSS, doc_id: str = "doc_id", text: str = "text", draw: str = "separation") -> DataFrame:
     """``verdicts`` under the forest of ``labels``, with one pass over the texts for threshold and verdicts."""
-    forest, share = grown(docs, labels, max_rows, doc_id, text)
+    forest, share = grown(docs, labels, max_rows, doc_id, text, draw)
     if forest is None:
         return verdicts(docs, None, doc_id, text)
     rows = store(measured(docs, forest, doc_id, text), "scored")

@@ -179,3 +179,14 @@ def test_verdict_against_a_range_rule(tables):
     print(f"range rule and forest agree on {np.mean(outside == rejected):.4f} of {len(x)} rows; outside {outside.sum()}, rejected {rejected.sum()}, both {(outside & rejected).sum()}")
     assert share == 0.5 and len(np.unique(score[~failed].round(6))) > 100
     assert rejected[good].mean() <= 0.005 and rejected[~good].mean() > 0.9
+
+
+def test_an_even_draw_splits_by_every_statistic():
+    """Only the first statistic tells the labels apart; an even draw uses the others as often."""
+    rng = np.random.default_rng(1)
+    good = rng.random(600) < 0.8
+    x = rng.random((600, 4))
+    x[:, 0] += ~good
+    by_labels, even = (quality_forest.grow(x, good, draw=d).feature for d in ("separation", "even"))
+    share = lambda f: (f == 0).sum() / (f >= 0).sum()
+    assert share(by_labels) > 0.5 and abs(share(even) - 0.25) < 0.05
