@@ -187,6 +187,6 @@ def test_an_even_draw_splits_by_every_statistic():
     good = rng.random(600) < 0.8
     x = rng.random((600, 4))
     x[:, 0] += ~good
-    by_labels, even = (quality_forest.grow(x, good, draw=d).feature for d in ("separation", "even"))
+    by_labels, even = (forest.grow(x, good, draw=d).feature for d in ("separation", "even"))
     share = lambda f: (f == 0).sum() / (f >= 0).sum()
     assert share(by_labels) > 0.5 and abs(share(even) - 0.25) < 0.05
