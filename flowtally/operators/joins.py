@@ -45,17 +45,21 @@ def match_rtt_tcp(packets: DataFrame, acks: DataFrame) -> DataFrame:
     without seq have no RTT and reset it; a packet without a match carries the one before.
     ``packets`` has is_retrans.
     """
-    first = acks.where("tsval is not null").groupBy(*FLOW, F.col("tsval").alias("tsecr")).agg(F.min_by("ack_us", "ack_idx").alias("ack_us"), F.min("ack_idx").alias("ack_idx"))
+    # One exchange by flow deals packets and ACKs; all windows below keep it.
+    sent = acks.where("tsval is not null").select(*FLOW, F.col("tsval").alias("tsecr"), F.struct("ack_us", "ack_idx").alias("_sent"), F.lit(0).alias("_kind"))
+    both = packets.withColumn("_kind", F.lit(1)).unionByName(sent, allowMissingColumns=True).repartition(*FLOW)
+    same = Window.partitionBy(*FLOW, "tsecr").orderBy("_kind", "_sent.ack_idx").rowsBetween(Window.unboundedPreceding, 0)
     w = flow_window()
     eligible = (F.col("pkt_idx") > 0) & ~F.col("is_retrans") & F.col("seq").isNotNull()
-    joined = packets.join(first, [*FLOW, "tsecr"], "left").withColumn("_eligible", eligible)
+    first = F.first("_sent", ignorenulls=True).over(same)
+    joined = both.withColumn("_first", first).where("_kind = 1").withColumns({"_eligible": eligible, "ack_us": F.col("_first.ack_us"), "ack_idx": F.col("_first.ack_idx")})
     ahead = F.max(F.when(F.col("_eligible"), F.col("ack_idx"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     hit = F.col("_eligible") & F.col("ack_idx").isNotNull() & (F.col("ack_idx") >= F.coalesce(ahead, F.lit(-1)))
     # A struct is a value even when the RTT in it is unknown: that is the reset.
     value = F.when(F.col("_hit"), F.struct((F.col("arrival_us") - F.col("ack_us")).cast("double").alias("rtt"))).when(~F.col("_eligible"), F.struct(F.lit(None).cast("double").alias("rtt")))
     marked = joined.withColumn("_hit", hit).withColumn("_value", value)
     carried = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("rtt_us", carried["rtt"]).drop("ack_us", "ack_idx", "_eligible", "_hit", "_value")
+    return marked.withColumn("rtt_us", carried["rtt"]).drop("ack_us", "ack_idx", "_first", "_sent", "_kind", "_eligible", "_hit", "_value")
 
 
 def match_rtt_asof(packets: DataFrame, acks: DataFrame) -> DataFrame:
