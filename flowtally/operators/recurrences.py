@@ -27,7 +27,7 @@ def in_packet_order(rows: DataFrame):
     return rows.repartition(*FLOW).sortWithinPartitions(*FLOW, "pkt_idx").groupBy(*FLOW)
 
 
-BLOCK = 64
+BLOCK, STEPS = 64, 2048
 
 
 def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
@@ -36,17 +36,23 @@ def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = Non
     An unknown or zero average takes x as it is; else unknown, zero and infinite x leave it.
     ``start`` holds the averages to go on from.
 
-    Every row is the map e -> kept * e + added, and maps compose.  Rows are laid out in
-    blocks that advance side by side, the blocks' maps are followed one after another, and each
-    row is applied to what its block starts from: steps of Python grow with the block and the
-    number of blocks, not with the rows.
+    Every row is the map e -> kept * e + added, and maps compose.  More than ``STEPS`` rows are laid
+    out in blocks that advance side by side, the blocks' maps are followed one after another, and
+    each row is applied to what its block starts from: steps of Python grow with the block and
+    the number of blocks, not with the rows.  Fewer rows are followed one by one.
     """
     x = x.reshape(len(x), -1)
     n, columns = x.shape
     e = np.full(columns * len(alphas), np.nan) if start is None else np.asarray(start, float).copy()
-    if not n:
-        return np.empty((0, len(e)))
     usable = np.isfinite(x) & (x != 0)
+    if n <= STEPS:
+        out = np.empty((n, len(e)))
+        a = np.tile(alphas, columns)
+        for i in range(n):
+            on, v = np.repeat(usable[i], len(alphas)), np.repeat(x[i], len(alphas))
+            e = np.where(np.isnan(e) | (e == 0), v, np.where(on, a * v + (1 - a) * e, e))
+            out[i] = e
+        return out
     # An average that is not open yet takes the first usable value, or an unusable one as it is.
     first = np.where(usable.any(axis=0), usable.argmax(axis=0), n)
     seed = np.where(first < n, x[np.minimum(first, n - 1), np.arange(columns)], 0.0)

@@ -71,7 +71,8 @@ def test_a_hot_flow_spans_ranges(spark, many_ranges):
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000])
-def test_blocks_of_maps_equal_steps(n):
+def test_blocks_of_maps_equal_steps(n, monkeypatch):
+    monkeypatch.setattr(recurrences, "STEPS", 0)
     rng = np.random.default_rng(n)
     x = rng.normal(5, 2, (n, 3))
     x[rng.random((n, 3)) < 0.4] = np.nan
