@@ -177,13 +177,13 @@ def _merged_long(spark: SparkSession, sf_dir: str, windows: list[int], method: s
 
 @query(_oracle_merged_all(WINDOWS))
 def w8_merged_windows_all(spark, sf_dir):
-    """Throughput of all flows of an experiment over every window."""
+    """Throughput of all flows of an experiment over the smallest, the label's, a middle and the largest window."""
     return _merged_long(spark, sf_dir, WINDOWS, "vectorised")
 
 
 @query(_oracle_merged_all([1, 8, 32, 1024]))
 def c7_merged_windows_builtin_all(spark, sf_dir):
-    """The built-in form over the smallest, the label's, a middle and the largest window."""
+    """The same windows in the built-in form."""
     return _merged_long(spark, sf_dir, [1, 8, 32, 1024], "builtin")
 
 
