@@ -46,11 +46,18 @@ def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = Non
     e = np.full(columns * len(alphas), np.nan) if start is None else np.asarray(start, float).copy()
     usable = np.isfinite(x) & (x != 0)
     if n <= STEPS:
-        out = np.empty((n, len(e)))
-        a = np.tile(alphas, columns)
+        out, a = np.empty((n, len(e))), np.tile(alphas, columns)
+        wide, on = np.repeat(x, len(alphas), axis=1), np.repeat(usable, len(alphas), axis=1)
+        added, kept = np.where(on, a * np.where(on, wide, 0), 0), np.where(on, 1 - a, 1)
+        open_ = True
         for i in range(n):
-            on, v = np.repeat(usable[i], len(alphas)), np.repeat(x[i], len(alphas))
-            e = np.where(np.isnan(e) | (e == 0), v, np.where(on, a * v + (1 - a) * e, e))
+            if open_:
+                fresh = np.isnan(e) | (e == 0)
+                e = np.where(fresh, wide[i], added[i] + kept[i] * e)
+                # Once every average is known and not zero, it stays so.
+                open_ = bool((np.isnan(e) | (e == 0)).any())
+            else:
+                e = added[i] + kept[i] * e
             out[i] = e
         return out
     # An average that is not open yet takes the first usable value, or an unusable one as it is.
