@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtally.functions import unknown as u
 from flowtally.operators import fairness, joins, models, packets as pk, reports, windows as win
-from flowtally.plans.packet_queries import KEY, O_FEATURES, O_LABELLED, O_SERIES, _oracle_flow_window, _oracle_window_errors, labelled, with_features
+from flowtally.plans.packet_queries import KEY, O_FEATURES, O_LABELLED, O_SERIES, _oracle_flow_window, _oracle_window_errors, _window_errors, labelled, with_features
 from flowtally.plans.registry import query
 from flowtally.plans.report_queries import O_PAIRS, _jain_pairs
 from flowtally.sources.tables import FLOW, ORACLE_PACKETS, bandwidths, data_packets, paired_packets, table
@@ -51,8 +51,7 @@ def w7_flow_windows_online(spark, sf_dir):
 @query(_oracle_window_errors().replace("SELECT *, coalesce(min(k) FILTER (n_errors = 0) OVER (PARTITION BY exp_id), 0) AS safe_k FROM er", "SELECT max(safe_k) AS safe_k FROM (SELECT exp_id, coalesce(min(k) FILTER (n_errors = 0), 0) AS safe_k FROM er GROUP BY exp_id)"))
 def d20_global_window(spark, sf_dir):
     """The smallest safe window over all experiments."""
-    rows = win.flow_windows(with_features(spark, sf_dir).withColumn("_real", F.col("use_bess")).withColumn("use_bess", F.lit(False)))
-    return win.global_safe_window(win.window_errors(rows.withColumn("use_bess", F.col("_real")), column="tput_bps"))
+    return win.global_safe_window(_window_errors(spark, sf_dir, win.WINDOWS))
 
 
 @query(f"WITH {ORACLE_PACKETS}, f AS (SELECT exp_id, sender_id, CASE WHEN sender_port % 2 = 0 THEN 'cubic' ELSE 'bbr' END AS cca FROM data) SELECT exp_id, sender_id, string_agg(DISTINCT cca, ',' ORDER BY cca) AS ccas FROM f GROUP BY ALL HAVING count(DISTINCT cca) > 1")
