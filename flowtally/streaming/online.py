@@ -1,6 +1,6 @@
 """From raw live packets to decisions: chained keyed state with timers.
 
-``round_trips`` remembers per flow when each TSval was last sent and gives every received packet
+``round_trips`` remembers, for parts of all flows, when each TSval of a flow was last sent and gives every received packet
 its RTT, or none.  ``decide_live`` buffers a flow's packets: a flow that is ready (``smoothing``
 packets, and the longest window before them has passed since its first packet) is evaluated
 once ``enough`` packets wait or ``wait_s`` has passed since it became ready.  Its
@@ -109,8 +109,17 @@ def class_of(x: float) -> int | None:
 
 def typed(rows: pd.DataFrame, fields: list[tuple[str, str]]) -> pd.DataFrame:
     """Columns in nullable types, with NaN as null."""
-    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "string": "string"}
-    return pd.DataFrame({n: pd.array([None if x is None or x != x else x for x in rows[n]], dtype=kinds[k]) for n, k in fields})
+    kinds = {"long": np.int64, "int": np.int32, "double": np.float64, "boolean": np.bool_}
+    made = {"double": pd.arrays.FloatingArray, "boolean": pd.arrays.BooleanArray}
+    out = {}
+    for n, k in fields:
+        if k == "string":
+            out[n] = pd.array(rows[n], dtype="string")
+        else:
+            unknown = rows[n].isna().to_numpy()
+            values = rows[n].to_numpy(object) if rows[n].dtype == object or unknown.any() else rows[n].to_numpy()
+            out[n] = made.get(k, pd.arrays.IntegerArray)(np.where(unknown, 0, values).astype(kinds[k]), unknown)
+    return pd.DataFrame(out)
 
 
 def watched(stream: DataFrame, late: str) -> DataFrame:
@@ -137,48 +146,91 @@ PACKET = [("arrival_us", "long"), ("tsecr", "long"), ("seq", "long"), ("payload_
 
 
 class RoundTrips(StatefulProcessor):
-    """Per flow, when each TSval was last sent; one row for each received packet."""
+    """For a part of the flows, when each flow last sent each TSval; one row for each received packet.
+
+    All flows of a part are matched at once.  What they sent lies in ``slots`` rows of the state by TSval,
+    so a batch reads and writes at most that many rows, however many packets it brings.
+    """
 
-    def __init__(self, key: list[str], keep_s: float) -> None:
-        self.key, self.keep_ms = key, int(keep_s * 1000)
+    def __init__(self, key: list[str], keep_s: float, slots: int) -> None:
+        self.key, self.keep_ms, self.slots = key, int(keep_s * 1000), slots
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sent = handle.getMapState("sent", "tsval long", "sent_us long")
+        self.sent = handle.getMapState("sent", "slot int", ", ".join(f"{c} array<long>" for c in [*self.key, "tsval", "sent_us"]))
+
+    def slot(self, tsvals: pd.Series) -> np.ndarray:
+        v = tsvals.to_numpy(np.int64)
+        return (v ^ (v >> 9) ^ (v >> 18)) % self.slots
+
+    def frame(self, values: list[tuple]) -> pd.DataFrame:
+        """Sends of some slots."""
+        names = [*self.key, "tsval", "sent_us"]
+        return pd.DataFrame({n: pd.array([x for v in values for x in v[i]], "Int64") for i, n in enumerate(names)})
+
+    def remembered(self, tsvals: pd.Series) -> pd.DataFrame:
+        """What is held in the slots of these TSvals."""
+        slots = np.unique(self.slot(tsvals))
+        return self.frame([self.sent.getValue((int(v),)) for v in slots if self.sent.containsKey((int(v),))])
+
+    def remember(self, sends: pd.DataFrame) -> None:
+        """Writes the slots of ``sends``, which holds all that they held before."""
+        sends = sends.assign(slot=self.slot(sends["tsval"])).sort_values("slot", kind="stable")
+        slot = sends["slot"].to_numpy()
+        starts = np.flatnonzero(np.diff(slot, prepend=-1))
+        columns = [sends[n].astype(object).where(sends[n].notna(), None).tolist() for n in [*self.key, "tsval", "sent_us"]]
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(slot)]):
+            self.sent.updateValue((int(slot[i]),), tuple(c[i:j] for c in columns))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("arrival_us", kind="stable")
-        sends = batch[(batch["direction"] == SENT) & batch["tsval"].notna()]
-        got = batch[batch["direction"] == RECEIVED]
-        rtts = pd.Series(np.nan, index=range(len(got)))
-        echoes = pd.DataFrame({"at": range(len(got)), "arrival_us": got["arrival_us"].to_numpy(np.int64), "tsval": got["tsecr"].to_numpy(float, na_value=np.nan)}).dropna()
-        echoes["tsval"] = echoes["tsval"].astype(np.int64)
-        times = pd.DataFrame({"arrival_us": sends["arrival_us"].to_numpy(np.int64), "tsval": sends["tsval"].to_numpy(np.int64)})
-        times["sent_us"] = times["arrival_us"]
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("arrival_us", kind="stable", ignore_index=True)
+        batch = batch.astype({c: "Int64" for c in [*self.key, "tsval", "tsecr"]})
+        fresh, by = not self.sent.exists(), [*self.key, "tsval"]
+        got = batch[batch["direction"] == RECEIVED].reset_index(drop=True)
+        sends = batch.loc[(batch["direction"] == SENT) & batch["tsval"].notna(), [*by, "arrival_us"]].reset_index(drop=True)
+        echoes = got.loc[got["tsecr"].notna(), [*self.key, "tsecr", "arrival_us"]].rename(columns={"tsecr": "tsval"})
+        echoes = echoes.rename_axis("at").reset_index()
         # The last send before the packet: of this batch, else the one remembered.
-        met = pd.merge_asof(echoes, times, on="arrival_us", by="tsval", allow_exact_matches=False)
-        known = {v: self.sent.getValue((v,))[0] for v in set(met["tsval"][met["sent_us"].isna()]) if self.sent.containsKey((v,))}
-        start = met["sent_us"].fillna(met["tsval"].map(known)).to_numpy(float)
-        rtt = met["arrival_us"].to_numpy(float) - start
-        rtts[met["at"]] = np.where(rtt > 0, rtt, np.nan)
-        for v, t in times.groupby("tsval")["sent_us"].max().items():
-            held = self.sent.getValue((int(v),))[0] if self.sent.containsKey((int(v),)) else None
-            self.sent.updateValue((int(v),), (int(t) if held is None else max(held, int(t)),))
-        if len(times) and not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(int(times["sent_us"].min() // 1000) + self.keep_ms)
+        both = pd.concat([echoes[by], sends[by]])
+        same = both.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        times = pd.DataFrame({"arrival_us": sends["arrival_us"].to_numpy(np.int64), "_same": same[len(echoes) :]})
+        times["sent_us"] = times["arrival_us"].astype(float)
+        asked = pd.DataFrame({"arrival_us": echoes["arrival_us"].to_numpy(np.int64), "_same": same[: len(echoes)]})
+        start = pd.merge_asof(asked, times, on="arrival_us", by="_same", allow_exact_matches=False)["sent_us"].to_numpy(float)
+        if not fresh:
+            unmet = np.flatnonzero(np.isnan(start))
+            known = echoes.iloc[unmet][by].merge(self.remembered(echoes["tsval"].iloc[unmet]), on=by, how="left")
+            start[unmet] = known["sent_us"].to_numpy(float, na_value=np.nan)
+        rtt = echoes["arrival_us"].to_numpy(float) - start
+        rtts = np.full(len(got), np.nan)
+        rtts[echoes["at"].to_numpy(np.int64)] = np.where(rtt > 0, rtt, np.nan)
+        if len(sends):
+            new = sends.rename(columns={"arrival_us": "sent_us"}).astype({"sent_us": "Int64"})
+            held = new if fresh else pd.concat([self.remembered(new["tsval"]), new])
+            self.remember(held.groupby(by, dropna=False, sort=False)["sent_us"].max().reset_index())
+            if not any(True for _ in self.handle.listTimers()):
+                self.handle.registerTimer(int(sends["arrival_us"].min() // 1000) + self.keep_ms)
         if len(got):
-            out = {c: [v] * len(got) for c, v in zip(self.key, key)} | {c: got[c].tolist() for c, _ in PACKET[:-1]} | {"rtt_us": rtts.tolist()}
-            yield typed(pd.DataFrame(out), [*((c, "long") for c in self.key), *PACKET])
+            yield typed(got.assign(rtt_us=rtts), [*((c, "long") for c in self.key), *PACKET])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """Forgets what was sent longer than ``keep_s`` before the watermark; looks again when the oldest of the rest is due."""
-        now, oldest = timerValues.getCurrentWatermarkInMs(), None
-        for (tsval,), (sent_us,) in list(self.sent.iterator()):
-            if sent_us // 1000 + self.keep_ms <= now:
-                self.sent.removeKey((tsval,))
-            else:
-                oldest = sent_us if oldest is None else min(oldest, sent_us)
-        if oldest is not None:
+        now, oldest, gone = timerValues.getCurrentWatermarkInMs(), None, []
+        for (slot,), values in list(self.sent.iterator()):
+            sent_us = np.asarray(values[-1], np.int64)
+            kept = np.flatnonzero(sent_us // 1000 + self.keep_ms > now)
+            if not len(kept):
+                gone.append(slot)
+                continue
+            if len(kept) < len(sent_us):
+                self.sent.updateValue((slot,), tuple([v[i] for i in kept] for v in values))
+            least = int(sent_us[kept].min())
+            oldest = least if oldest is None else min(oldest, least)
+        if oldest is None:
+            self.sent.clear()
+        else:
+            for slot in gone:
+                self.sent.removeKey((slot,))
             self.handle.registerTimer(oldest // 1000 + self.keep_ms)
         yield pd.DataFrame()
 
@@ -186,15 +238,18 @@ class RoundTrips(StatefulProcessor):
         pass
 
 
-def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600) -> DataFrame:
+def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600, parts: int = 512, slots: int = 512) -> DataFrame:
     """Every received packet with the time since the last send before it of the TSval it echoes, null without one.
 
     ``packets`` is a ``watched`` stream of both directions: key, direction (0 received, 1 sent), arrival_us,
     tsval, tsecr, seq, payload_b, wire_b.  Sends are remembered until ``keep_s`` behind the watermark.
     A packet that comes in an earlier batch than a send before it has no RTT from it.
+    Flows are dealt to ``parts`` keys of the state; neither number may change while a stream has state.
     """
     schema = ", ".join(f"{n} {k}" for n, k in [*((c, "long") for c in key), *PACKET])
-    return packets.groupBy(*key).transformWithStateInPandas(RoundTrips(key, keep_s), schema, "Append", "EventTime", eventTimeColumnName="")
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part")
+    rows = packets.select(part, *key, "direction", "arrival_us", "tsval", "tsecr", "seq", "payload_b", "wire_b")
+    return rows.groupBy("part").transformWithStateInPandas(RoundTrips(key, keep_s, slots), schema, "Append", "EventTime", eventTimeColumnName="")
 
 
 # Flows --------------------------------------------------------------------------------

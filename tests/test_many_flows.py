@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 from flowtally.operators import windows as win
+from flowtally.streaming import online
 
 
 def brute_starts(rows, k, forward):
@@ -57,3 +59,60 @@ def test_no_python_step_per_flow(spark, sf_dir, name):
     """Flows' windows come from one pass over many flows, and errors are counted once and read back."""
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapGroupsInArrow" not in plan and plan.count("MapInArrow") == (0 if name.startswith("d20") else 1)
+
+
+class CountedMap:
+    """A map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        held = self.__dict__["held"]
+        self.calls += 1
+        work = {"exists": lambda: bool(held), "containsKey": lambda k: k in held, "getValue": lambda k: held[k], "updateValue": held.__setitem__, "removeKey": held.pop, "clear": held.clear, "iterator": lambda: iter(list(held.items()))}
+        return work[name]
+
+
+class Handle:
+    def __init__(self, state):
+        self.state, self.timers = state, []
+
+    def getMapState(self, *_):
+        return self.state
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_sends_of_many_flows_take_few_steps_of_state():
+    """A batch's state steps are bounded by the slots, not by its packets; flows are told apart, and all is forgotten in time."""
+    state = CountedMap()
+    trips = online.RoundTrips(["sender_id", "sender_port"], keep_s=60, slots=16)
+    trips.init(Handle(state))
+
+    def packets(rows):
+        return pd.DataFrame(rows, columns=["sender_id", "sender_port", "direction", "arrival_us", "tsval", "tsecr", "seq", "payload_b", "wire_b"])
+
+    sends = packets([(1, port, 1, 1_000_000 + 10 * v + port, v * 512, None, None, None, None) for port in range(50) for v in range(40)])
+    assert list(trips.handleInputRows((0,), iter([sends]), Clock(0))) == [] and state.calls <= 16 + 2
+    state.calls = 0
+    again = packets([(1, 7, 1, 2_000_000, 3 * 512, None, None, None, None), (1, 7, 0, 2_500_000, None, 3 * 512, 0, 100, 166), (1, 8, 0, 2_500_000, None, 3 * 512, 0, 100, 166), (2, 8, 0, 2_500_000, None, 3 * 512, 0, 100, 166), (1, None, 0, 2_500_000, None, None, 0, 100, 166)])
+    rows = pd.concat(trips.handleInputRows((0,), iter([again]), Clock(0)))
+    assert [None if x is pd.NA or x != x else x for x in rows["rtt_us"]] == [500_000.0, 1_499_962.0, None, None] and state.calls <= 8
+    list(trips.handleExpiredTimer((0,), Clock(61_500), None))
+    left = [(k, t) for v in state.held.values() for k, t in zip(v[1], v[-1])]
+    assert left == [(7, 2_000_000)]
+    list(trips.handleExpiredTimer((0,), Clock(62_000), None))
+    assert not state.held
