@@ -46,6 +46,7 @@ FLOW_STATE = "first_us long, newest_us long, min_rtt_us double, evaluations long
 CHUNK = "arrivals array<long>, wires array<long>, payloads array<long>, rtts array<double>, losses array<long>, rates array<double>"
 KINDS = (np.int64, np.int64, np.int64, float, np.int64, float)
 MOST = 1 << 17
+WHOLE = ("arrival_us", "seq", "payload_b", "wire_b")
 METRICS = ("interarrival_us", "tput_bps", "rtt_us", "loss_rate", "mathis_tput_bps")
 
 
@@ -122,6 +123,23 @@ def typed(rows: pd.DataFrame, fields: list[tuple[str, str]]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def typed_blocks(blocks: list[dict[str, Any]], fields: list[tuple[str, str]]) -> pd.DataFrame:
+    """Blocks of columns, one below the other; numbers with a fraction carry NaN for null, which Spark reads as such."""
+    kinds, out = {"long": np.int64, "int": np.int32, "boolean": np.bool_}, {}
+    for n, k in fields:
+        if k == "double":
+            out[n] = np.concatenate([np.asarray(b[n], float) for b in blocks])
+            continue
+        values = [x for b in blocks for x in (b[n].tolist() if isinstance(b[n], np.ndarray) else b[n])]
+        if k == "string":
+            out[n] = np.array(values, object)
+            continue
+        unknown = np.array([x is None or x != x for x in values])
+        array = pd.arrays.BooleanArray if k == "boolean" else pd.arrays.IntegerArray
+        out[n] = array(np.array([0 if u else x for x, u in zip(values, unknown.tolist())], kinds[k]), unknown)
+    return pd.DataFrame(out)
+
+
 def watched(stream: DataFrame, late: str) -> DataFrame:
     """The stream with a watermark by ``ts``, without the column, so that no row is dropped for its age."""
     return stream.withWatermark("ts", late).drop("ts")
@@ -131,12 +149,16 @@ def names_of(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def in_order(frames: Iterator[pd.DataFrame], newest: int | None) -> tuple[pd.DataFrame, int]:
-    """A batch's packets in order of time, without those older than ``newest``, and the number of these late ones."""
-    batch = pd.concat(list(frames))
-    batch = batch.sort_values(["arrival_us", *(c for c in ("tsecr",) if c in batch)], kind="stable")
-    fresh = batch if newest is None else batch[batch["arrival_us"] >= newest]
-    return fresh, len(batch) - len(fresh)
+def in_order(frames: Iterator[pd.DataFrame], newest: int | None, columns: list[str]) -> tuple[list[np.ndarray], int]:
+    """Columns of a batch's packets in order of time (NaN: null), without those older than ``newest``, and the number of these late ones."""
+    parts = list(frames)
+    given = {c: np.concatenate([p[c].to_numpy(np.int64) if c in WHOLE else p[c].to_numpy(float, na_value=np.nan) for p in parts]) for c in columns}
+    # Unknown TSvals last.
+    ties = [np.concatenate([p["tsecr"].to_numpy(float, na_value=np.inf) for p in parts])] if "tsecr" in parts[0] else []
+    order = np.lexsort([*ties, given["arrival_us"]])
+    given = [x[order] for x in given.values()]
+    late = 0 if newest is None else int(np.searchsorted(given[0], newest))
+    return [x[late:] for x in given], late
 
 
 # Round trips --------------------------------------------------------------------------
@@ -161,7 +183,7 @@ class RoundTrips(StatefulProcessor):
 
     def slot(self, tsvals: pd.Series) -> np.ndarray:
         v = tsvals.to_numpy(np.int64)
-        return (v ^ (v >> 9) ^ (v >> 18)) % self.slots
+        return (v ^ (v >> 7) ^ (v >> 14)) % self.slots
 
     def frame(self, values: list[tuple]) -> pd.DataFrame:
         """Sends of some slots."""
@@ -238,7 +260,7 @@ class RoundTrips(StatefulProcessor):
         pass
 
 
-def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600, parts: int = 512, slots: int = 512) -> DataFrame:
+def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600, parts: int = 256, slots: int = 128) -> DataFrame:
     """Every received packet with the time since the last send before it of the TSval it echoes, null without one.
 
     ``packets`` is a ``watched`` stream of both directions: key, direction (0 received, 1 sent), arrival_us,
@@ -269,9 +291,10 @@ class Evaluator(StatefulProcessor):
         self.flow = handle.getValueState("flow", FLOW_STATE)
         self.buffer = handle.getListState("buffer", CHUNK)
 
-    def plain(self, key: Any, event: str, packets: int, held: dict) -> list:
+    def plain(self, key: Any, event: str, packets: int, held: dict) -> dict[str, list]:
+        """One row, as columns."""
         values = dict(zip(self.key, key)) | {"event": event, "arrival_us": held["newest_us"], "packets": packets, "min_rtt_us": held["min_rtt_us"]}
-        return [values.get(n) for n in self.names]
+        return {n: [values.get(n)] for n in self.names}
 
     def packets(self) -> list[np.ndarray]:
         """The whole buffer, as arrays in the order of ``CHUNK``."""
@@ -283,18 +306,16 @@ class Evaluator(StatefulProcessor):
         fresh = not self.flow.exists()
         held = dict.fromkeys(names) | {"evaluations": 0, "highest_seq": 0, "waiting": 0, "recent": []} if fresh else dict(zip(names, self.flow.get()))
         newest = held["newest_us"]
-        batch, late = in_order(rows, newest)
+        (t, seq, b, wire, rtt), late = in_order(rows, newest, [*WHOLE, "rtt_us"])
         out = [self.plain(key, "late", late, held)] if late else []
-        t, seq, b = (batch[c].to_numpy(np.int64) for c in ("arrival_us", "seq", "payload_b"))
         if len(t):
-            rtt = batch["rtt_us"].to_numpy(float, na_value=np.nan)
             events = [[a, n] for a, n in zip(held["event_starts"] or [], held["event_sizes"] or [])]
             tracker, lost, rates = LossEvents(events=events or None), np.zeros(len(t), np.int64), np.zeros(len(t))
             joined = lambda last, x: x if newest is None else np.concatenate([[last], x])
             gaps, high = gap_losses(joined(held["last_seq"], seq), joined(held["last_payload"], b), highest=held["highest_seq"])
             lost[len(t) - len(gaps) :] = gaps
             rates[len(t) - len(gaps) :] = tracker.follow(gaps, joined(newest, t), joined(-1.0, np.nan_to_num(rtt, nan=-1.0)))[:, 0]
-            self.buffer.appendList([(t.tolist(), batch["wire_b"].to_numpy(np.int64).tolist(), b.tolist(), rtt.tolist(), lost.tolist(), rates.tolist())])
+            self.buffer.appendList([(t.tolist(), wire.tolist(), b.tolist(), rtt.tolist(), lost.tolist(), rates.tolist())])
             low = np.min(np.where(rtt > 0, rtt, np.inf), initial=np.inf if held["min_rtt_us"] is None else held["min_rtt_us"])
             held |= {"first_us": int(t[0]) if fresh else held["first_us"], "newest_us": int(t[-1]), "min_rtt_us": float(low) if np.isfinite(low) else None, "last_seq": int(seq[-1]), "last_payload": int(b[-1]), "highest_seq": int(high)}
             held |= {"event_starts": [float(a) for a, _ in tracker.events], "event_sizes": [int(n) for _, n in tracker.events], "waiting": held["waiting"] + len(t), "recent": [*held["recent"], *t.tolist()][-self.smoothing :]}
@@ -303,7 +324,7 @@ class Evaluator(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs() if self.clock == "ProcessingTime" else held["newest_us"] // 1000
         if self.ready(held):
             if held["waiting"] >= self.enough:
-                out += self.evaluate(key, held)
+                out.append(self.evaluate(key, held))
             elif held["due_ms"] is None:
                 held["due_ms"] = now + self.wait_ms
         elif held["waiting"] > 2 * self.most:
@@ -313,7 +334,7 @@ class Evaluator(StatefulProcessor):
             held["waiting"] = self.most
         self.settle(held, now + self.idle_ms)
         if out:
-            yield typed(pd.DataFrame(out, columns=self.names), self.fields)
+            yield typed_blocks(out, self.fields)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         held = dict(zip(names_of(FLOW_STATE), self.flow.get()))
@@ -323,7 +344,7 @@ class Evaluator(StatefulProcessor):
         idle = held["due_ms"] is None or (not wall and timerValues.getCurrentWatermarkInMs() >= now + self.idle_ms)
         held["timer_ms"] = None
         if held["due_ms"] is not None and fired >= held["due_ms"]:
-            out += self.evaluate(key, held)
+            out.append(self.evaluate(key, held))
         if idle:
             self.flow.clear()
             self.buffer.clear()
@@ -331,7 +352,7 @@ class Evaluator(StatefulProcessor):
         else:
             self.settle(held, now + self.idle_ms)
         if out:
-            yield typed(pd.DataFrame(out, columns=self.names), self.fields)
+            yield typed_blocks(out, self.fields)
         else:
             yield pd.DataFrame()
 
@@ -351,7 +372,7 @@ class Evaluator(StatefulProcessor):
     def ready(self, held: dict) -> bool:
         return held["waiting"] > self.smoothing and held["min_rtt_us"] is not None and held["recent"][0] - held["first_us"] >= held["min_rtt_us"] * max(self.windows)
 
-    def evaluate(self, key: Any, held: dict) -> list[list]:
+    def evaluate(self, key: Any, held: dict) -> dict[str, Any]:
         """Features, label and decision of a ready flow, whose buffer ends here."""
         n, low = self.smoothing, held["min_rtt_us"]
         buffer = self.packets()
@@ -377,7 +398,7 @@ class Evaluator(StatefulProcessor):
         out |= {"label": [label] * n, "decision": [chosen] * n, "target_bps": [paced] * n, "rwnd_b": [size] * n, "changed": [(chosen, size) != (held["decision"], held["rwnd_b"])] * n}
         held |= {"paced_bps": paced, "decision": chosen, "rwnd_b": size, "evaluations": held["evaluations"] + 1, "ewmas": [float(x) if np.isfinite(x) else None for x in averages], "waiting": 0, "recent": [], "due_ms": None}
         self.buffer.clear()
-        return pd.DataFrame(out)[self.names].astype(object).values.tolist()
+        return out
 
 
 def decide_live(stream: DataFrame, windows: list[int] = [8], ewmas: list[tuple[str, float]] = [("rtt_us", 0.1), ("interarrival_us", 0.1)], late: str | None = "1 minute", key: list[str] = ["sender_port"], **options) -> DataFrame:
