@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowtally.functions.unknown import MATHIS_C, MIN_RWND_B, MSS_B
+from flowtally.operators.running import join_spread
 from flowtally.sources.shared import work_path
 from flowtally.sources.tables import wall_micros
 
@@ -173,17 +174,18 @@ def sender_merge(flows: DataFrame, window: int = SMOOTHING) -> DataFrame:
     An epoch counts once all of the sender's n_flows are there; of a sender only the
     newest such epoch stays.  Mean RTT and loss rate, least loss event rate and minimum
     RTT, summed throughput; the Mathis rate follows anew from those.  Times are cut to
-    the last of each flow, then of the sender, so no task sees all packets of a sender.
+    the last of each flow, then of the sender, and a sender's rows meet what is one per sender
+    in parts by flow, so no task sees all packets of a sender.
     """
     epoch, flow = ["sender_id", "epoch"], ["sender_id", "epoch", "sender_port"]
     ready = flows.groupBy(*epoch).agg(F.countDistinct("sender_port").alias("have"), F.max("n_flows").alias("n_flows")).where("have = n_flows")
     newest = ready.groupBy("sender_id").agg(F.max("epoch").alias("epoch"))
     columns = ["rtt_us", "loss_event_rate", "loss_rate", "tput_bps", "min_rtt_us"]
-    rows = flows.join(newest, epoch).select(*flow, "arrival_us", *columns)
+    rows = join_spread(flows, newest, epoch, ["sender_port"]).select(*flow, "arrival_us", *columns)
     latest = lambda key, order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     last = rows.select(*flow, "arrival_us").withColumn("_own", latest(flow, [F.desc("arrival_us")])).where(F.col("_own") <= window)
     times = last.withColumn("_at", latest(epoch, [F.desc("arrival_us"), "sender_port", "_own"])).where(F.col("_at") <= window).select(*epoch, "_at", F.col("arrival_us").alias("_t"))
-    asks = rows.select(*flow).distinct().join(times, epoch)
+    asks = join_spread(rows.select(*flow).distinct(), times, epoch, ["sender_port"])
     seen = F.struct(F.col("arrival_us").alias("_x"), *columns)
     union = rows.select(*flow, F.col("arrival_us").alias("_t"), F.lit(None).cast("int").alias("_at"), seen.alias("_s")).unionByName(asks, allowMissingColumns=True)
     asked = F.col("_at").isNotNull()

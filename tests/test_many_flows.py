@@ -116,3 +116,10 @@ def test_sends_of_many_flows_take_few_steps_of_state():
     assert left == [(7, 2_000_000)]
     list(trips.handleExpiredTimer((0,), Clock(62_000), None))
     assert not state.held
+
+
+def test_no_task_holds_a_sender(spark, sf_dir):
+    """What is one per sender meets its packets in parts, so no shuffle of packets is by sender or epoch alone."""
+    plan = entry.queries()["j10_sender_merge"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("_deal" in line for line in joins)
