@@ -412,6 +412,7 @@ def decide_live(stream: DataFrame, windows: list[int] = [8], ewmas: list[tuple[s
 # Senders ------------------------------------------------------------------------------
 
 MERGED = {"rtt_us": np.nanmean, "loss_event_rate": np.nanmin, "loss_rate": np.nanmean, "tput_bps": np.nansum, "min_rtt_us": np.nanmin}
+GATHERED = 100_000
 SENDER_FIELDS = [("sender_id", "long"), ("epoch", "long"), ("arrival_us", "long"), *((c, "double") for c in MERGED), ("mathis_bps", "double"), ("n_flows", "long"), ("target_bps", "double"), ("rwnd_b", "long"), ("changed", "boolean")]
 
 
@@ -427,37 +428,66 @@ class SenderPolicy(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "sender_port long", "arrivals array<long>, " + ", ".join(f"{c} array<double>" for c in MERGED))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
         epoch, size, done = self.room.get() if self.room.exists() else (None, None, None)
-        for port, newest in batch[batch["event"] == "open"].groupby("sender_port")["arrival_us"].max().items():
-            self.flows.updateValue((int(port),), (int(newest),))
-        for port in set(batch["sender_port"][batch["event"] == "removed"]):
-            self.flows.removeKey((int(port),))
+        features, given, opened, removed = self.gather(rows)
+        for port, newest in opened.items():
+            self.flows.updateValue((port,), (newest,))
+        for port in removed:
+            self.flows.removeKey((port,))
         out = []
-        features = batch[batch["event"] == "features"]
-        for e, members in features.groupby("epoch", sort=True):
+        for e in sorted(given):
             if (epoch is not None and e < epoch) or (done is not None and e < done):
                 continue
             if e != epoch:
                 self.waiting.clear()
-            epoch = int(e)
-            for port, own in members.groupby("sender_port"):
-                own = own.sort_values("arrival_us", kind="stable")
-                self.waiting.updateValue((int(port),), (own["arrival_us"].astype(int).tolist(), *(own[c].to_numpy(float, na_value=np.nan).tolist() for c in MERGED)))
-            given = members["n_flows"].max()
-            expected = int(given) if given == given and given is not None else sum(1 for _ in self.flows.keys())
-            held = list(self.waiting.values())
+                held = {}
+            else:
+                held = {port: values for (port,), values in self.waiting.iterator()}
+            epoch, new = e, {}
+            for port, own in features[features["epoch"] == e].groupby("sender_port"):
+                new[int(port)] = (own["arrival_us"].astype(int).tolist(), *(own[c].to_numpy(float, na_value=np.nan).tolist() for c in MERGED))
+            held |= new
+            expected = int(given[e]) if given[e] == given[e] and given[e] is not None else sum(1 for _ in self.flows.keys())
             if held and len(held) >= expected:
-                rows_, size = self.merge(key, epoch, held, size)
+                rows_, size = self.merge(key, epoch, [held[port] for port in sorted(held)], size)
                 out += rows_
                 self.waiting.clear()
-                epoch, done = None, int(e)
+                epoch, done = None, e
+            else:
+                for port, values in new.items():
+                    self.waiting.updateValue((port,), values)
         self.room.update((epoch, size, done))
         if out:
             yield typed(pd.DataFrame(out, columns=[n for n, _ in SENDER_FIELDS]), SENDER_FIELDS)
         else:
             yield pd.DataFrame()
 
+    def gather(self, frames: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, dict[int, float], dict[int, int], set[int]]:
+        """A batch frame by frame: the rows of flows that a merge can reach, in order of time, each epoch's number of flows, and the flows opened and removed."""
+        kept, waiting, given, opened, removed = None, [], {}, {}, set()
+        for frame in frames:
+            for port, newest in frame[frame["event"] == "open"].groupby("sender_port")["arrival_us"].max().items():
+                opened[int(port)] = max(opened.get(int(port), int(newest)), int(newest))
+            removed |= set(frame["sender_port"][frame["event"] == "removed"])
+            features = frame[frame["event"] == "features"]
+            for e, n in features.groupby("epoch")["n_flows"].max().items():
+                known = [x for x in (given.get(int(e)), n) if x is not None and x == x]
+                given[int(e)] = max(known) if known else np.nan
+            waiting.append(features[features["sender_port"].notna()])
+            if sum(map(len, waiting)) > max(GATHERED, 0 if kept is None else len(kept)):
+                kept, waiting = self.reachable([*([] if kept is None else [kept]), *waiting]), []
+        return self.reachable([*([] if kept is None else [kept]), *waiting]), given, opened, removed
+
+    def reachable(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """Per epoch the rows from the ``window``-th last time on and of each flow the last one before it: later rows only move that time on."""
+        rows = pd.concat(parts, ignore_index=True).sort_values("arrival_us", kind="stable")
+        out = [rows[:0]]
+        for _, own in rows.groupby("epoch"):
+            t = own["arrival_us"].to_numpy(np.int64)
+            late = t >= t[max(len(t) - self.window, 0)]
+            out += [own[~late].groupby("sender_port").tail(1), own[late]]
+        return pd.concat(out)
+
     def merge(self, key: Any, epoch: int, held: list[tuple], size: int | None) -> tuple[list[tuple], int | None]:
         """Rows at the last ``window`` times of all flows, with the decision of the last one, and its window."""
         times = np.sort(np.concatenate([np.asarray(f[0], np.int64) for f in held]))[-self.window :]

@@ -123,3 +123,20 @@ def test_no_task_holds_a_sender(spark, sf_dir):
     plan = entry.queries()["j10_sender_merge"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert joins and all("_deal" in line for line in joins)
+
+
+def test_a_sender_keeps_only_what_a_merge_can_reach(monkeypatch):
+    """Of many packets per flow and frame few rows are held on, and the merge is that of all packets."""
+    monkeypatch.setattr(online, "GATHERED", 50)
+    draw, policy = random.Random(3), online.SenderPolicy(4)
+    rows = [(port, "features", 1, 6, t, *(draw.random() for _ in online.MERGED)) for port in range(6) for t in sorted(draw.randrange(400 if port else 40) for _ in range(60))]
+    draw.shuffle(rows)
+    table = pd.DataFrame(rows, columns=["sender_port", "event", "epoch", "n_flows", "arrival_us", *online.MERGED]).sort_values(["sender_port", "arrival_us"], kind="stable", ignore_index=True)
+    kept, given, opened, removed = policy.gather(iter([table[i : i + 20] for i in range(0, len(table), 20)]))
+    assert len(kept) <= 6 + 4 + 5 and given == {1: 6} and not opened and not removed
+
+    def merged(rows):
+        flows = [own.sort_values("arrival_us", kind="stable") for _, own in rows.groupby("sender_port")]
+        return policy.merge((1,), 1, [tuple(own[c].tolist() for c in ("arrival_us", *online.MERGED)) for own in flows], None)
+
+    assert merged(kept) == merged(table)
