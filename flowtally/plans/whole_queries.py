@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtally.functions import unknown as u
 from flowtally.operators import fairness, joins, models, packets as pk, reports, windows as win
-from flowtally.plans.packet_queries import KEY, O_FEATURES, O_LABELLED, O_SERIES, _oracle_flow_window, _oracle_window_errors, _window_errors, labelled, with_features
+from flowtally.plans.packet_queries import KEY, O_FEATURES, O_LABELLED, O_SERIES, _oracle_flow_window, _oracle_window_errors, _window_errors, with_features
 from flowtally.plans.registry import query
 from flowtally.plans.report_queries import O_PAIRS, _jain_pairs
 from flowtally.sources.tables import FLOW, ORACLE_PACKETS, bandwidths, data_packets, paired_packets, table
@@ -122,7 +122,9 @@ def i_queue_multiple(spark, sf_dir):
 @query(f"WITH {O_LABELLED} SELECT {KEY}, pkt_idx, CASE WHEN ok THEN CAST(flow_tput > mathis_tput_bps AS INT) END AS faster FROM labelled")
 def b21_mathis_label(spark, sf_dir):
     """Whether a flow is faster than the Mathis model says."""
-    return labelled(spark, sf_dir).select(*FLOW, "pkt_idx", u.mathis_label(F.col("tput_bps_w8"), F.col("mathis_tput_bps_w8")).alias("faster"))
+    # The flow's own windows suffice; those of the whole experiment are not part of this label.
+    rows = win.flow_windows(with_features(spark, sf_dir), [8], metrics=["tput_bps", "mathis_tput_bps"])
+    return rows.select(*FLOW, "pkt_idx", u.mathis_label(F.col("tput_bps_w8"), F.col("mathis_tput_bps_w8")).alias("faster"))
 
 
 DAY_US = 86_400_000_000
