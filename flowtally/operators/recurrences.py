@@ -87,6 +87,35 @@ def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = Non
     return np.where(unknown, np.repeat(x, len(alphas), axis=1), out) if unknown.any() else out
 
 
+def ewma_flows(x: np.ndarray, heads: np.ndarray, lengths: np.ndarray, alphas: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``ewma_paths`` of many flows at once: flow j has ``lengths[j]`` rows of x from ``heads[j]`` on and goes on from ``start[j]``; one factor per column.
+
+    The first rows of all flows make a step, then their second rows, and so on, so steps of Python grow with the
+    longest flow; flows of more than ``STEPS`` rows are followed by themselves.
+    """
+    out = np.empty(x.shape)
+    for j in np.flatnonzero(lengths > STEPS).tolist():
+        own = slice(int(heads[j]), int(heads[j] + lengths[j]))
+        for c in range(x.shape[1]):
+            out[own, c] = ewma_paths(x[own, c][:, None], alphas[c : c + 1], start[j, c : c + 1])[:, 0]
+    order = np.argsort(-lengths, kind="stable")
+    order = order[(lengths[order] <= STEPS) & (lengths[order] > 0)]
+    heads, lengths, e = heads[order], lengths[order], start[order].astype(float)
+    open_ = True
+    for i in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -i))
+        at = heads[:n] + i
+        v, now = x[at], e[:n]
+        on = np.isfinite(v) & (v != 0)
+        after = np.where(on, alphas * np.where(on, v, 0) + (1 - alphas) * now, now)
+        if open_:
+            fresh = np.isnan(now) | (now == 0)
+            open_ = bool(fresh.any())
+            after = np.where(fresh, v, after)
+        out[at] = e[:n] = after
+    return out
+
+
 def _metrics_of(batch: pa.RecordBatch, metrics: list[str]) -> np.ndarray:
     x = np.column_stack([batch.column(m).to_numpy(zero_copy_only=False) for m in metrics]).astype(float)
     for k, m in enumerate(metrics):

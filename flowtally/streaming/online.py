@@ -16,8 +16,8 @@ hands over rows of any age instead of dropping those behind the watermark, and t
 functions see the watermark and set timers by it.  So packets in = packets buffered + packets in
 "late" rows, whatever the lateness.  ``clock="ProcessingTime"`` takes the wall clock instead.
 
-State.  A flow's buffer is a list to which each batch appends one element; what changes with
-every packet is one small value.  A flow idle for ``idle_s`` leaves a "removed" row and no state,
+State.  Flows are dealt to parts, and what changes with every packet is small and lies in a few rows for all flows
+of a part; the packets of a flow that waits are added to its newest row, or to a new one if that is long.  A flow idle for ``idle_s`` leaves a "removed" row and no state,
 also one that is already that far behind when its packets come.  A flow that is never
 ready keeps its newest ``most`` to 2 ``most`` packets; a "trimmed" row counts what it lets go.
 
@@ -29,7 +29,9 @@ empty batch changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 from typing import Any
 
 import numpy as np
@@ -39,12 +41,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtally.functions.registry import ewma_name
 from flowtally.functions.unknown import FAIR_BAND, MATHIS_C, MIN_RWND_B, MSS_B
-from flowtally.operators.recurrences import LossEvents, ewma_paths, gap_losses
+from flowtally.operators.recurrences import LossEvents, ewma_flows, gap_losses
 from flowtally.streaming.flows import IDLE_S, NOT_PACED, PACED, SMOOTHING, decide
 
-FLOW_STATE = "first_us long, newest_us long, min_rtt_us double, evaluations long, last_seq long, last_payload long, highest_seq long, event_starts array<double>, event_sizes array<long>, ewmas array<double>, paced_bps double, decision int, rwnd_b long, waiting long, recent array<long>, due_ms long, timer_ms long"
+FLOW_STATE = "first_us long, newest_us long, min_rtt_us double, evaluations long, last_seq long, last_payload long, highest_seq long, event_starts array<double>, event_sizes array<long>, ewmas array<double>, paced_bps double, decision int, rwnd_b long, waiting long, recent array<long>, due_ms long, timer_ms long, chunks int, tail int"
+# Bits for the columns of a key that are unknown.
+NONE = "none"
 CHUNK = "arrivals array<long>, wires array<long>, payloads array<long>, rtts array<double>, losses array<long>, rates array<double>"
 KINDS = (np.int64, np.int64, np.int64, float, np.int64, float)
+CHUNKED = 1024
 MOST = 1 << 17
 WHOLE = ("arrival_us", "seq", "payload_b", "wire_b")
 METRICS = ("interarrival_us", "tput_bps", "rtt_us", "loss_rate", "mathis_tput_bps")
@@ -149,16 +154,15 @@ def names_of(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def in_order(frames: Iterator[pd.DataFrame], newest: int | None, columns: list[str]) -> tuple[list[np.ndarray], int]:
-    """Columns of a batch's packets in order of time (NaN: null), without those older than ``newest``, and the number of these late ones."""
+def in_order(frames: Iterator[pd.DataFrame], key: list[str], columns: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys and columns (NaN: null) of a batch's packets, by flow and in order of time."""
     parts = list(frames)
-    given = {c: np.concatenate([p[c].to_numpy(np.int64) if c in WHOLE else p[c].to_numpy(float, na_value=np.nan) for p in parts]) for c in columns}
+    whole = lambda c: np.concatenate([p[c].to_numpy(np.int64) for p in parts])
+    keys, given = [whole(c) for c in key], [whole(c) if c in WHOLE else np.concatenate([p[c].to_numpy(float, na_value=np.nan) for p in parts]) for c in columns]
     # Unknown TSvals last.
     ties = [np.concatenate([p["tsecr"].to_numpy(float, na_value=np.inf) for p in parts])] if "tsecr" in parts[0] else []
-    order = np.lexsort([*ties, given["arrival_us"]])
-    given = [x[order] for x in given.values()]
-    late = 0 if newest is None else int(np.searchsorted(given[0], newest))
-    return [x[late:] for x in given], late
+    order = np.lexsort([*ties, given[columns.index("arrival_us")], *keys[::-1]])
+    return [k[order] for k in keys], [x[order] for x in given]
 
 
 # Round trips --------------------------------------------------------------------------
@@ -278,36 +282,114 @@ def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: fl
 
 
 class Evaluator(StatefulProcessor):
-    """One flow's packets; ``judge`` is the window (one of ``windows``) whose ratio gives the label."""
+    """The flows of a part; ``judge`` is the window (one of ``windows``) whose ratio gives the label.
 
-    def __init__(self, key: list[str], windows: list[int], ewmas: list[tuple[str, float]], smoothing: int = SMOOTHING, idle_s: float = IDLE_S, strategy: str = "aimd", judge: int = 8, enough: int = 0, wait_s: float = 0.1, most: int = MOST, announce: bool = False, clock: str = "EventTime") -> None:
+    A flow is told by its key and ``NONE``, which marks unknown keys.  The small state of all flows of a part lies in ``slots`` rows
+    and there is one timer, for the first flow that is due, so steps of state grow with the slots and not with the flows.
+    A flow's packets are stored only while they wait, in rows of ``CHUNKED`` packets at least but for the newest.
+    """
+
+    def __init__(self, key: list[str], windows: list[int], ewmas: list[tuple[str, float]], smoothing: int = SMOOTHING, idle_s: float = IDLE_S, strategy: str = "aimd", judge: int = 8, enough: int = 0, wait_s: float = 0.1, most: int = MOST, announce: bool = False, clock: str = "EventTime", slots: int = 32) -> None:
         self.key, self.windows, self.ewmas, self.smoothing, self.idle_ms = key, windows, ewmas, smoothing, int(idle_s * 1000)
         self.strategy, self.judge, self.enough, self.wait_ms, self.most, self.announce, self.clock = strategy, judge, enough, int(wait_s * 1000), most, announce, clock
+        self.slots, self.flow_key = slots, [*key, NONE]
         self.fields = output_fields(key, windows, ewmas)
         self.names = [n for n, _ in self.fields]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", FLOW_STATE)
-        self.buffer = handle.getListState("buffer", CHUNK)
+        flow = ", ".join(f"{c}: long" for c in self.flow_key) + ", " + ", ".join(": ".join(x.split()) for x in FLOW_STATE.split(", "))
+        self.flows = handle.getMapState("flows", "slot int", f"flows array<struct<{flow}>>")
+        self.buffer = handle.getMapState("buffer", ", ".join(f"{c} long" for c in self.flow_key) + ", n int", CHUNK)
+        self.due = handle.getValueState("due", "timer_ms long, slots array<long>")
+
+    def slot(self, keys: list[np.ndarray]) -> np.ndarray:
+        v = np.zeros(len(keys[0]), np.int64)
+        for k in keys:
+            v = v * 1_000_003 + k
+        return (v ^ (v >> 7) ^ (v >> 14)) % self.slots
+
+    def load(self, slots: Iterable[int], fresh: bool) -> dict[int, dict[tuple, dict]]:
+        """The flows of some slots: what is held of each, by flow."""
+        names, n, out = names_of(FLOW_STATE), len(self.flow_key), {}
+        for s in slots:
+            rows = self.flows.getValue((s,))[0] if not fresh and self.flows.containsKey((s,)) else []
+            out[s] = {tuple(r[:n]): dict(zip(names, r[n:])) for r in rows}
+        return out
+
+    def keep(self, loaded: dict[int, dict[tuple, dict]], timer: int | None, due: list[int | None]) -> None:
+        """Writes the slots, and sets the timer to the first time at which a flow is due."""
+        names = names_of(FLOW_STATE)
+        for s, flows in loaded.items():
+            if flows:
+                self.flows.updateValue((s,), ([(*flow, *(held[n] for n in names)) for flow, held in flows.items()],))
+            elif due[s] is not None:
+                self.flows.removeKey((s,))
+            due[s] = min((held["timer_ms"] for held in flows.values()), default=None)
+        first = min((t for t in due if t is not None), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if first is None:
+            self.due.clear()
+        else:
+            self.due.update((first, due))
+
+    def known(self, flow: tuple) -> list[int | None]:
+        """The key of a flow, with None for what is unknown."""
+        return [None if flow[-1] >> i & 1 else x for i, x in enumerate(flow[:-1])]
 
-    def plain(self, key: Any, event: str, packets: int, held: dict) -> dict[str, list]:
+    def plain(self, flow: tuple, event: str, packets: int, held: dict) -> dict[str, list]:
         """One row, as columns."""
-        values = dict(zip(self.key, key)) | {"event": event, "arrival_us": held["newest_us"], "packets": packets, "min_rtt_us": held["min_rtt_us"]}
+        values = dict(zip(self.key, self.known(flow))) | {"event": event, "arrival_us": held["newest_us"], "packets": packets, "min_rtt_us": held["min_rtt_us"]}
         return {n: [values.get(n)] for n in self.names}
 
-    def packets(self) -> list[np.ndarray]:
-        """The whole buffer, as arrays in the order of ``CHUNK``."""
-        chunks = list(self.buffer.get())
-        return [np.concatenate([np.zeros(0, kind), *(np.asarray(c[i], kind) for c in chunks)]) for i, kind in enumerate(KINDS)]
+    def waiting(self, flow: tuple, held: dict, fresh: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """The whole buffer, as arrays in the order of ``CHUNK``, with packets that are not stored yet; what is stored goes."""
+        chunks = [self.buffer.getValue((*flow, n)) for n in range(held["chunks"])]
+        self.forget(flow, held)
+        return [np.concatenate([np.zeros(0, kind), *(np.asarray(c[i], kind) for c in chunks), *([] if fresh is None else [fresh[i]])]) for i, kind in enumerate(KINDS)]
+
+    def forget(self, flow: tuple, held: dict) -> None:
+        for n in range(held["chunks"]):
+            self.buffer.removeKey((*flow, n))
+        held["chunks"] = held["tail"] = 0
+
+    def store(self, flow: tuple, held: dict, packets: list[np.ndarray]) -> None:
+        """Packets join the newest row of their flow while it is short, else they are a new one."""
+        added = [x.tolist() for x in packets]
+        if 0 < held["tail"] < CHUNKED:
+            added = [[*a, *b] for a, b in zip(self.buffer.getValue((*flow, held["chunks"] - 1)), added)]
+        else:
+            held["chunks"] += 1
+        self.buffer.updateValue((*flow, held["chunks"] - 1), tuple(added))
+        held["tail"] = len(added[0])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = names_of(FLOW_STATE)
-        fresh = not self.flow.exists()
-        held = dict.fromkeys(names) | {"evaluations": 0, "highest_seq": 0, "waiting": 0, "recent": []} if fresh else dict(zip(names, self.flow.get()))
+        keys, values = in_order(rows, self.flow_key, [*WHOLE, "rtt_us"])
+        starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        slots = self.slot([k[starts] for k in keys]).tolist()
+        fresh = not self.due.exists()
+        timer, due = (None, [None] * self.slots) if fresh else self.due.get()
+        loaded, out, ready = self.load(sorted(set(slots)), fresh), [], []
+        for i, j, s, flow in zip(starts.tolist(), [*starts[1:].tolist(), len(keys[0])], slots, zip(*(k[starts].tolist() for k in keys))):
+            held = loaded[s].setdefault(flow, dict.fromkeys(names_of(FLOW_STATE)) | {"evaluations": 0, "highest_seq": 0, "waiting": 0, "recent": [], "chunks": 0, "tail": 0})
+            self.take(flow, held, [x[i:j] for x in values], timerValues, out, ready)
+        out += self.evaluate(ready)
+        self.keep(loaded, timer, list(due))
+        if out:
+            yield typed_blocks(out, self.fields)
+
+    def take(self, flow: tuple, held: dict, packets: list[np.ndarray], timerValues: Any, out: list[dict], ready: list[tuple]) -> None:
+        """A flow's packets of a batch in order of time: losses, minimum RTT, and whether the flow is to be evaluated now."""
         newest = held["newest_us"]
-        (t, seq, b, wire, rtt), late = in_order(rows, newest, [*WHOLE, "rtt_us"])
-        out = [self.plain(key, "late", late, held)] if late else []
+        late = 0 if newest is None else int(np.searchsorted(packets[0], newest))
+        t, seq, b, wire, rtt = (x[late:] for x in packets)
+        if late:
+            out.append(self.plain(flow, "late", late, held))
+        mine = None
         if len(t):
             events = [[a, n] for a, n in zip(held["event_starts"] or [], held["event_sizes"] or [])]
             tracker, lost, rates = LossEvents(events=events or None), np.zeros(len(t), np.int64), np.zeros(len(t))
@@ -315,98 +397,113 @@ class Evaluator(StatefulProcessor):
             gaps, high = gap_losses(joined(held["last_seq"], seq), joined(held["last_payload"], b), highest=held["highest_seq"])
             lost[len(t) - len(gaps) :] = gaps
             rates[len(t) - len(gaps) :] = tracker.follow(gaps, joined(newest, t), joined(-1.0, np.nan_to_num(rtt, nan=-1.0)))[:, 0]
-            self.buffer.appendList([(t.tolist(), wire.tolist(), b.tolist(), rtt.tolist(), lost.tolist(), rates.tolist())])
+            mine = [t, wire, b, rtt, lost, rates]
             low = np.min(np.where(rtt > 0, rtt, np.inf), initial=np.inf if held["min_rtt_us"] is None else held["min_rtt_us"])
-            held |= {"first_us": int(t[0]) if fresh else held["first_us"], "newest_us": int(t[-1]), "min_rtt_us": float(low) if np.isfinite(low) else None, "last_seq": int(seq[-1]), "last_payload": int(b[-1]), "highest_seq": int(high)}
-            held |= {"event_starts": [float(a) for a, _ in tracker.events], "event_sizes": [int(n) for _, n in tracker.events], "waiting": held["waiting"] + len(t), "recent": [*held["recent"], *t.tolist()][-self.smoothing :]}
-            if fresh and self.announce:
-                out.append(self.plain(key, "open", len(t), held))
+            held |= {"first_us": int(t[0]) if newest is None else held["first_us"], "newest_us": int(t[-1]), "min_rtt_us": float(low) if np.isfinite(low) else None, "last_seq": int(seq[-1]), "last_payload": int(b[-1]), "highest_seq": int(high)}
+            held |= {"event_starts": [float(a) for a, _ in tracker.events], "event_sizes": [int(n) for _, n in tracker.events], "waiting": held["waiting"] + len(t), "recent": [*held["recent"], *t[-self.smoothing :].tolist()][-self.smoothing :]}
+            if newest is None and self.announce:
+                out.append(self.plain(flow, "open", len(t), held))
         now = timerValues.getCurrentProcessingTimeInMs() if self.clock == "ProcessingTime" else held["newest_us"] // 1000
-        if self.ready(held):
-            if held["waiting"] >= self.enough:
-                out.append(self.evaluate(key, held))
-            elif held["due_ms"] is None:
-                held["due_ms"] = now + self.wait_ms
-        elif held["waiting"] > 2 * self.most:
-            kept = [x[-self.most :] for x in self.packets()]
-            self.buffer.put([tuple(x.tolist() for x in kept)])
-            out.append(self.plain(key, "trimmed", held["waiting"] - self.most, held))
-            held["waiting"] = self.most
+        if self.ready(held) and held["waiting"] >= self.enough:
+            ready.append((flow, held, self.waiting(flow, held, mine)))
+            # The evaluation that was due is this one.
+            held["due_ms"] = None
+        else:
+            if self.ready(held):
+                held["due_ms"] = now + self.wait_ms if held["due_ms"] is None else held["due_ms"]
+            elif held["waiting"] > 2 * self.most:
+                mine = [x[-self.most :] for x in self.waiting(flow, held, mine)]
+                out.append(self.plain(flow, "trimmed", held["waiting"] - self.most, held))
+                held["waiting"] = self.most
+            if mine:
+                self.store(flow, held, mine)
         self.settle(held, now + self.idle_ms)
-        if out:
-            yield typed_blocks(out, self.fields)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names_of(FLOW_STATE), self.flow.get()))
-        fired, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        wall = self.clock == "ProcessingTime"
-        now = timerValues.getCurrentProcessingTimeInMs() if wall else held["newest_us"] // 1000
-        idle = held["due_ms"] is None or (not wall and timerValues.getCurrentWatermarkInMs() >= now + self.idle_ms)
-        held["timer_ms"] = None
-        if held["due_ms"] is not None and fired >= held["due_ms"]:
-            out.append(self.evaluate(key, held))
-        if idle:
-            self.flow.clear()
-            self.buffer.clear()
-            out.append(self.plain(key, "removed", held["evaluations"], held))
-        else:
-            self.settle(held, now + self.idle_ms)
-        if out:
-            yield typed_blocks(out, self.fields)
-        else:
-            yield pd.DataFrame()
+        wall, out, ready, gone = self.clock == "ProcessingTime", [], [], []
+        clock = timerValues.getCurrentProcessingTimeInMs() if wall else timerValues.getCurrentWatermarkInMs()
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), clock - 1)
+        if self.due.exists():
+            _, due = self.due.get()
+            loaded = self.load([s for s, t in enumerate(due) if t is not None and t <= upto], False)
+            for s, flows in loaded.items():
+                for flow, held in flows.items():
+                    if held["timer_ms"] > upto:
+                        continue
+                    now = clock if wall else held["newest_us"] // 1000
+                    idle = held["due_ms"] is None or (not wall and clock >= now + self.idle_ms)
+                    if held["due_ms"] is not None and held["timer_ms"] >= held["due_ms"]:
+                        ready.append((flow, held, self.waiting(flow, held)))
+                        held["due_ms"] = None
+                    if idle:
+                        gone.append((s, flow, held))
+                    else:
+                        self.settle(held, now + self.idle_ms)
+            out = self.evaluate(ready)
+            for s, flow, held in gone:
+                self.forget(flow, held)
+                out.append(self.plain(flow, "removed", held["evaluations"], held))
+                del loaded[s][flow]
+            # The timer that fired is gone by itself.
+            self.keep(loaded, None, list(due))
+        yield typed_blocks(out, self.fields) if out else pd.DataFrame()
 
     def close(self) -> None:
         pass
 
     def settle(self, held: dict, idle_ms: int) -> None:
-        """Keeps one timer, for the evaluation that is due or else for the end of the flow, and the state."""
-        timer = idle_ms if held["due_ms"] is None else min(idle_ms, held["due_ms"])
-        if timer != held["timer_ms"]:
-            if held["timer_ms"] is not None:
-                self.handle.deleteTimer(held["timer_ms"])
-            self.handle.registerTimer(timer)
-        held["timer_ms"] = timer
-        self.flow.update(tuple(held[n] for n in names_of(FLOW_STATE)))
+        """The time at which the flow is looked at again: for the evaluation that is due or else for its end."""
+        held["timer_ms"] = idle_ms if held["due_ms"] is None else min(idle_ms, held["due_ms"])
 
     def ready(self, held: dict) -> bool:
         return held["waiting"] > self.smoothing and held["min_rtt_us"] is not None and held["recent"][0] - held["first_us"] >= held["min_rtt_us"] * max(self.windows)
 
-    def evaluate(self, key: Any, held: dict) -> dict[str, Any]:
-        """Features, label and decision of a ready flow, whose buffer ends here."""
-        n, low = self.smoothing, held["min_rtt_us"]
-        buffer = self.packets()
-        arrival = buffer[0]
-        keep = min(int(np.searchsorted(arrival, arrival[-n] - low * max(self.windows))), len(arrival) - n - 1)
-        arrival, wire, payload, rtts, losses, rates = (x[keep:] for x in buffer)
-        at = np.arange(len(arrival) - n, len(arrival))
-        out = {c: [v] * n for c, v in zip(self.key, key)} | {"event": ["features"] * n, "arrival_us": arrival[at], "packets": np.full(n, len(arrival)), "min_rtt_us": np.full(n, low), "loss_event_rate": rates[at]}
-        for k in self.windows:
-            out |= {f"{m}_w{k}": x for m, x in window_values(at, k, arrival, wire, payload, rtts, losses, low).items()}
-        values = packet_values(arrival, payload, rtts, losses, low)
-        averages = np.array([np.nan if x is None else x for x in held["ewmas"] or [None] * len(self.ewmas)], float)
-        for i, (m, a) in enumerate(self.ewmas):
-            path = ewma_paths(values[m][:, None], np.array([a]), averages[i : i + 1])[:, 0]
-            out[ewma_name(m, a)], averages[i] = path[at], path[-1]
-        shares = ratio(out[f"tput_bps_w{self.judge}"], out[f"mathis_tput_bps_w{self.judge}"])
-        label = class_of(float(np.mean(shares[np.isfinite(shares)])) if np.isfinite(shares).any() else np.nan)
-        measured, paced = out[f"tput_bps_w{self.judge}"][-1], held["paced_bps"]
-        if label is not None and np.isfinite(measured):
-            paced = decide(label, float(measured), paced, self.strategy)
-        chosen = NOT_PACED if paced is None else PACED
-        size = None if paced is None else max(int(np.round(paced / 8 * low / 1e6)), MIN_RWND_B)
-        out |= {"label": [label] * n, "decision": [chosen] * n, "target_bps": [paced] * n, "rwnd_b": [size] * n, "changed": [(chosen, size) != (held["decision"], held["rwnd_b"])] * n}
-        held |= {"paced_bps": paced, "decision": chosen, "rwnd_b": size, "evaluations": held["evaluations"] + 1, "ewmas": [float(x) if np.isfinite(x) else None for x in averages], "waiting": 0, "recent": [], "due_ms": None}
-        self.buffer.clear()
+    def evaluate(self, ready: list[tuple]) -> list[dict[str, Any]]:
+        """Features, label and decision of ready flows, whose buffers end here; the averages of all of them are followed together."""
+        n, cut, values = self.smoothing, [], []
+        for _, held, buffer in ready:
+            arrival, low = buffer[0], held["min_rtt_us"]
+            keep = min(int(np.searchsorted(arrival, arrival[-n] - low * max(self.windows))), len(arrival) - n - 1)
+            arrival, wire, payload, rtts, losses, rates = (x[keep:] for x in buffer)
+            cut.append((arrival, wire, payload, rtts, losses, rates))
+            own = packet_values(arrival, payload, rtts, losses, low)
+            values.append(np.column_stack([own[m] for m, _ in self.ewmas]) if self.ewmas else np.zeros((len(arrival), 0)))
+        if not ready:
+            return []
+        lengths = np.array([len(x) for x in values])
+        heads = np.cumsum(lengths) - lengths
+        held_on = np.array([[np.nan if x is None else x for x in held["ewmas"] or [None] * len(self.ewmas)] for _, held, _ in ready], float).reshape(len(ready), len(self.ewmas))
+        paths = ewma_flows(np.concatenate(values), heads, lengths, np.array([a for _, a in self.ewmas]), held_on)
+        out = []
+        for (flow, held, _), (arrival, wire, payload, rtts, losses, rates), head in zip(ready, cut, heads.tolist()):
+            at, low, path = np.arange(len(arrival) - n, len(arrival)), held["min_rtt_us"], paths[head : head + len(arrival)]
+            block = {c: [v] * n for c, v in zip(self.key, self.known(flow))} | {"event": ["features"] * n, "arrival_us": arrival[at], "packets": np.full(n, len(arrival)), "min_rtt_us": np.full(n, low), "loss_event_rate": rates[at]}
+            for k in self.windows:
+                block |= {f"{m}_w{k}": x for m, x in window_values(at, k, arrival, wire, payload, rtts, losses, low).items()}
+            block |= {ewma_name(m, a): path[at, i] for i, (m, a) in enumerate(self.ewmas)}
+            shares = ratio(block[f"tput_bps_w{self.judge}"], block[f"mathis_tput_bps_w{self.judge}"])
+            label = class_of(float(np.mean(shares[np.isfinite(shares)])) if np.isfinite(shares).any() else np.nan)
+            measured, paced = block[f"tput_bps_w{self.judge}"][-1], held["paced_bps"]
+            if label is not None and np.isfinite(measured):
+                paced = decide(label, float(measured), paced, self.strategy)
+            chosen = NOT_PACED if paced is None else PACED
+            size = None if paced is None else max(int(np.round(paced / 8 * low / 1e6)), MIN_RWND_B)
+            out.append(block | {"label": [label] * n, "decision": [chosen] * n, "target_bps": [paced] * n, "rwnd_b": [size] * n, "changed": [(chosen, size) != (held["decision"], held["rwnd_b"])] * n})
+            held |= {"paced_bps": paced, "decision": chosen, "rwnd_b": size, "evaluations": held["evaluations"] + 1, "ewmas": [float(x) if np.isfinite(x) else None for x in path[-1]], "waiting": 0, "recent": [], "due_ms": None}
         return out
 
 
-def decide_live(stream: DataFrame, windows: list[int] = [8], ewmas: list[tuple[str, float]] = [("rtt_us", 0.1), ("interarrival_us", 0.1)], late: str | None = "1 minute", key: list[str] = ["sender_port"], **options) -> DataFrame:
+def decide_live(stream: DataFrame, windows: list[int] = [8], ewmas: list[tuple[str, float]] = [("rtt_us", 0.1), ("interarrival_us", 0.1)], late: str | None = "1 minute", key: list[str] = ["sender_port"], parts: int = 256, **options) -> DataFrame:
     """Features, labels and decisions of live flows; the stream has the key, arrival_us, seq, payload_b, wire_b, rtt_us (null: none)
-    and ``ts``, unless ``late`` is None: then it is ``watched`` already, as what ``round_trips`` gives is."""
+    and ``ts``, unless ``late`` is None: then it is ``watched`` already, as what ``round_trips`` gives is.
+    Flows are dealt to ``parts`` keys of the state; the number may not change while a stream has state."""
     evaluator = Evaluator(key, windows, ewmas, **options)
     rows = stream if late is None else watched(stream, late)
-    return rows.groupBy(*key).transformWithStateInPandas(evaluator, ", ".join(f"{n} {k}" for n, k in evaluator.fields), "Append", evaluator.clock, eventTimeColumnName="")
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part")
+    none = reduce(add, [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(key)]).cast("long").alias(NONE)
+    others = [c for c in [*WHOLE, "rtt_us", "tsecr"] if c in rows.columns]
+    dealt = rows.select(part, *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in key], none, *others)
+    return dealt.groupBy("part").transformWithStateInPandas(evaluator, ", ".join(f"{n} {k}" for n, k in evaluator.fields), "Append", evaluator.clock, eventTimeColumnName="")
 
 
 # Senders ------------------------------------------------------------------------------

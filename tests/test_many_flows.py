@@ -140,3 +140,65 @@ def test_a_sender_keeps_only_what_a_merge_can_reach(monkeypatch):
         return policy.merge((1,), 1, [tuple(own[c].tolist() for c in ("arrival_us", *online.MERGED)) for own in flows], None)
 
     assert merged(kept) == merged(table)
+
+
+def test_many_flows_of_a_part_take_few_steps_of_state():
+    """A part's flows are read, evaluated and written with steps of state that grow with the slots, and are removed by one timer."""
+
+    class Value:
+        def __init__(self):
+            self.now, self.calls = None, 0
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            return self.now
+
+        def update(self, x):
+            self.now, self.calls = x, self.calls + 1
+
+        def clear(self):
+            self.now = None
+
+    class States(Handle):
+        def __init__(self):
+            self.maps, self.value, self.timers = {"flows": CountedMap(), "buffer": CountedMap()}, Value(), []
+
+        def getMapState(self, name, *_):
+            return self.maps[name]
+
+        def getValueState(self, *_):
+            return self.value
+
+        def deleteTimer(self, ms):
+            self.timers.remove(ms)
+
+    class Fired:
+        def getExpiryTimeInMs(self):
+            return states.timers[0]
+
+    states, flows = States(), online.Evaluator(["sender_port"], [8], [("rtt_us", 0.1)], smoothing=5, idle_s=60, slots=4)
+    flows.init(states)
+    rows = pd.DataFrame([(port, 0, k * 1_000_000 + port, k * 100, 100, 166, 50_000.0) for port in range(300) for k in range(20 if port else 3)], columns=["sender_port", "none", "arrival_us", "seq", "payload_b", "wire_b", "rtt_us"])
+    out = pd.concat(flows.handleInputRows((0,), iter([rows.sample(frac=1, random_state=1)]), Clock(0)))
+    assert len(out) == 299 * 5 and states.maps["flows"].calls <= 3 * 4 and states.value.calls == 1 and len(states.timers) == 1
+    assert list(states.maps["buffer"].held) == [(0, 0, 0)]
+    gone = pd.concat(flows.handleExpiredTimer((0,), Clock(90_000), Fired()))
+    assert set(gone["event"]) == {"removed"} and len(gone) == 300 and not states.maps["flows"].held and not states.maps["buffer"].held and states.value.now is None
+
+
+def test_averages_of_many_flows_are_those_of_each():
+    from flowtally.operators.recurrences import STEPS, ewma_flows, ewma_paths
+
+    rng = np.random.default_rng(5)
+    lengths = np.array([1, 7, 0, STEPS + 3, 40])
+    heads, x = np.cumsum(lengths) - lengths, rng.random((lengths.sum(), 2))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[rng.random(x.shape) < 0.1] = 0
+    start = np.array([[np.nan, 1.0], [0.0, np.nan], [3.0, 3.0], [np.nan, np.nan], [2.0, 0.0]])
+    got = ewma_flows(x, heads, lengths, np.array([0.1, 0.5]), start)
+    for h, n, e in zip(heads, lengths, start):
+        for c, a in enumerate((0.1, 0.5)):
+            if n:
+                np.testing.assert_array_equal(got[h : h + n, c], ewma_paths(x[h : h + n, c][:, None], np.array([a]), e[c : c + 1])[:, 0])
