@@ -76,3 +76,26 @@ def test_discarded_tables_are_gone(spark):
     discard(df, spark.range(1))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         spark.read.schema("id long").parquet(df._stored_at).count()
+
+
+def test_ranks_of_many_values_with_a_common_one(spark, monkeypatch):
+    """Values too many to broadcast, one of them of most rows and some unknown, have the ranks that pandas gives."""
+    import pandas as pd
+
+    monkeypatch.setattr(models, "FEW", 10)
+    monkeypatch.setattr(models, "HOT", 5)
+    rng = np.random.default_rng(7)
+    table = pd.DataFrame({"a": np.where(rng.random(400) < 0.6, 0.25, rng.random(400)), "b": rng.integers(0, 6, 400).astype(float), "c": rng.random(400), "same": 1.0})
+    table["c"] = table["c"] + table["a"]
+    rows = spark.createDataFrame([(*map(float, x), None if k % 9 == 0 else float(x[2])) for k, x in enumerate(table.to_numpy())], "a double, b double, c double, same double, d double")
+    want = table.assign(d=table["c"].where(np.arange(400) % 9 != 0).pipe(lambda x: x.fillna(x.mean()))).drop(columns="same").corr("spearman")
+    got = models.spearman_matrix(rows, ["a", "b", "c", "same", "d"]).toPandas().pivot(index="a", columns="b", values="rho")
+    assert list(got.index) == ["a", "b", "c", "d"] and np.allclose(got.to_numpy(), want.to_numpy())
+
+
+@pytest.mark.parametrize("kind", ["trees", "forest"])
+def test_trees_as_arrays_score_as_the_model_does(rows, kind):
+    model = models.train(models.assemble(rows, COLUMNS, ["k", "label"]), kind, rounds=4)
+    scored = models.predict(model, models.assemble(rows, COLUMNS, ["k", "label"])).toPandas()
+    trees, x = models.Trees(model.stages[-1]), np.array([v.toArray() for v in scored["features"]])
+    assert (trees.classes([trees.leaves(x, t) for t in range(len(trees.trees))]) == scored["prediction"]).all()
