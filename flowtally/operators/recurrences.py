@@ -1,6 +1,6 @@
 """Recurrences along a flow: EWMAs that hold over unknown values, and loss events.
 
-Both stream narrow rows through a grouped map in Arrow batches, in packet order, and hand the
+Both stream narrow rows through Python in Arrow batches, in packet order (loss events in a grouped map), and hand the
 state on from batch to batch, so a flow of any length needs the memory of a batch.  EWMAs
 also hand it on from range to range of a flow, so that one flow fills many tasks.  The helpers are plain numpy and are shared with the stream.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowtally.functions.registry import ALPHAS, ewma_name
 from flowtally.functions.unknown import MATHIS_C
+from flowtally.operators.windows import key_starts, steps
 from flowtally.sources.shared import stored
 from flowtally.sources.tables import FLOW
 
@@ -27,7 +28,7 @@ def in_packet_order(rows: DataFrame):
     return rows.repartition(*FLOW).sortWithinPartitions(*FLOW, "pkt_idx").groupBy(*FLOW)
 
 
-BLOCK, STEPS = 64, 2048
+BLOCK, STEPS, AVERAGED = 64, 2048, 8192
 
 
 def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
@@ -88,16 +89,15 @@ def ewma_paths(x: np.ndarray, alphas: np.ndarray, start: np.ndarray | None = Non
 
 
 def ewma_flows(x: np.ndarray, heads: np.ndarray, lengths: np.ndarray, alphas: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """``ewma_paths`` of many flows at once: flow j has ``lengths[j]`` rows of x from ``heads[j]`` on and goes on from ``start[j]``; one factor per column.
+    """``ewma_paths`` of many flows at once: flow j has ``lengths[j]`` rows of x from ``heads[j]`` on and goes on from ``start[j]``.
 
     The first rows of all flows make a step, then their second rows, and so on, so steps of Python grow with the
     longest flow; flows of more than ``STEPS`` rows are followed by themselves.
     """
-    out = np.empty(x.shape)
+    out, factors = np.empty((len(x), x.shape[1] * len(alphas))), np.tile(alphas, x.shape[1])
     for j in np.flatnonzero(lengths > STEPS).tolist():
         own = slice(int(heads[j]), int(heads[j] + lengths[j]))
-        for c in range(x.shape[1]):
-            out[own, c] = ewma_paths(x[own, c][:, None], alphas[c : c + 1], start[j, c : c + 1])[:, 0]
+        out[own] = ewma_paths(x[own], alphas, start[j])
     order = np.argsort(-lengths, kind="stable")
     order = order[(lengths[order] <= STEPS) & (lengths[order] > 0)]
     heads, lengths, e = heads[order], lengths[order], start[order].astype(float)
@@ -105,9 +105,9 @@ def ewma_flows(x: np.ndarray, heads: np.ndarray, lengths: np.ndarray, alphas: np
     for i in range(int(lengths[0]) if len(lengths) else 0):
         n = int(np.searchsorted(-lengths, -i))
         at = heads[:n] + i
-        v, now = x[at], e[:n]
+        v, now = np.repeat(x[at], len(alphas), axis=1), e[:n]
         on = np.isfinite(v) & (v != 0)
-        after = np.where(on, alphas * np.where(on, v, 0) + (1 - alphas) * now, now)
+        after = np.where(on, factors * np.where(on, v, 0) + (1 - factors) * now, now)
         if open_:
             fresh = np.isnan(now) | (now == 0)
             open_ = bool(fresh.any())
@@ -168,6 +168,7 @@ def ewma_features(rows: DataFrame, metrics: list[str], alphas: list[float] = ALP
 
     Narrow rows are cut into ranges of (flow, pkt_idx) and stored; a range goes on from what
     ``ewma_carries`` hands it, so a flow is spread over as many tasks as its packets fill.
+    Ranges stream through in order and those of a step of ``AVERAGED`` rows are followed together.
     """
     names, keys = [ewma_name(m, a) for m in metrics for a in alphas], [*FLOW, "_part"]
     narrow = rows.select(*FLOW, "pkt_idx", *[F.col(m).cast("double").alias(m) for m in metrics])
@@ -175,24 +176,27 @@ def ewma_features(rows: DataFrame, metrics: list[str], alphas: list[float] = ALP
     starts = stored(ewma_carries(ranges, metrics, alphas), "ewma-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            held = batch.column("start").drop_null()
-            if len(held):
-                last = np.array(held[0].as_py(), float)
-                batch = batch.filter(batch.column("start").is_null())
-            if not batch.num_rows:
-                continue
-            paths = ewma_paths(_metrics_of(batch, metrics), np.array(alphas), last)
-            last = paths[-1]
+        open_key, last = None, np.full(len(names), np.nan)
+        for step in steps(batches, lambda: 0, AVERAGED):
+            batch = step.combine_chunks().to_batches()[0]
+            heads = np.flatnonzero(key_starts(step, keys) == np.arange(len(batch)))
+            begun, given = np.full((len(heads), len(names)), np.nan), batch.column("start").is_valid().to_numpy(zero_copy_only=False)
+            if [batch.column(c)[0].as_py() for c in keys] == open_key:
+                begun[0] = last
+            for i in np.flatnonzero(given).tolist():
+                begun[np.searchsorted(heads, i, "right") - 1] = batch.column("start")[i].as_py()
+            lengths, open_key = np.add.reduceat(~given, heads, dtype=np.int64), [batch.column(c)[len(batch) - 1].as_py() for c in keys]
+            rows = batch.filter(pa.array(~given))
+            paths = ewma_flows(_metrics_of(rows, metrics), np.cumsum(lengths) - lengths, lengths, np.array(alphas), begun)
+            last = paths[-1] if lengths[-1] else begun[-1]
             # from_pandas: NaN becomes NULL.
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*FLOW, "pkt_idx"]), *(pa.array(c, from_pandas=True) for c in paths.T)], names=[*FLOW, "pkt_idx", *names])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in [*FLOW, "pkt_idx"]), *(pa.array(c, from_pandas=True) for c in np.ascontiguousarray(paths.T))], names=[*FLOW, "pkt_idx", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*FLOW, "pkt_idx"]), *(f"{n} double" for n in names)])
     # A range's start comes before its packets.
     both = ranges.withColumn("_at", F.lit(1)).unionByName(starts.withColumn("_at", F.lit(0)), allowMissingColumns=True)
-    return both.repartition(*keys).sortWithinPartitions(*keys, "_at", "pkt_idx").groupBy(*keys).applyInArrow(run, schema)
+    return both.repartition(*keys).sortWithinPartitions(*keys, "_at", "pkt_idx").mapInArrow(run, schema)
 
 
 def gap_losses(seq: np.ndarray, payload: np.ndarray, packet_seq: bool = False, highest: int = 0) -> tuple[np.ndarray, int]:

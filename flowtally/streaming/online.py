@@ -473,7 +473,8 @@ class Evaluator(StatefulProcessor):
         lengths = np.array([len(x) for x in values])
         heads = np.cumsum(lengths) - lengths
         held_on = np.array([[np.nan if x is None else x for x in held["ewmas"] or [None] * len(self.ewmas)] for _, held, _ in ready], float).reshape(len(ready), len(self.ewmas))
-        paths = ewma_flows(np.concatenate(values), heads, lengths, np.array([a for _, a in self.ewmas]), held_on)
+        x = np.concatenate(values)
+        paths = np.hstack([np.zeros((len(x), 0)), *(ewma_flows(x[:, [i]], heads, lengths, np.array([a]), held_on[:, [i]]) for i, (_, a) in enumerate(self.ewmas))])
         out = []
         for (flow, held, _), (arrival, wire, payload, rtts, losses, rates), head in zip(ready, cut, heads.tolist()):
             at, low, path = np.arange(len(arrival) - n, len(arrival)), held["min_rtt_us"], paths[head : head + len(arrival)]

@@ -196,9 +196,14 @@ def test_averages_of_many_flows_are_those_of_each():
     heads, x = np.cumsum(lengths) - lengths, rng.random((lengths.sum(), 2))
     x[rng.random(x.shape) < 0.3] = np.nan
     x[rng.random(x.shape) < 0.1] = 0
-    start = np.array([[np.nan, 1.0], [0.0, np.nan], [3.0, 3.0], [np.nan, np.nan], [2.0, 0.0]])
-    got = ewma_flows(x, heads, lengths, np.array([0.1, 0.5]), start)
+    alphas, start = np.array([0.1, 0.5]), np.array([[np.nan, 1.0] * 2, [0.0, np.nan] * 2, [3.0, 3.0] * 2, [np.nan, np.nan] * 2, [2.0, 0.0] * 2])
+    got = ewma_flows(x, heads, lengths, alphas, start)
     for h, n, e in zip(heads, lengths, start):
-        for c, a in enumerate((0.1, 0.5)):
-            if n:
-                np.testing.assert_array_equal(got[h : h + n, c], ewma_paths(x[h : h + n, c][:, None], np.array([a]), e[c : c + 1])[:, 0])
+        if n:
+            np.testing.assert_array_equal(got[h : h + n], ewma_paths(x[h : h + n], alphas, e))
+
+
+def test_no_python_step_per_flow_in_averages(spark, sf_dir):
+    """The averages of many flows come from one pass over them."""
+    plan = entry.queries()["w10_all_ewmas"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapGroupsInArrow" not in plan
