@@ -207,3 +207,11 @@ def test_no_python_step_per_flow_in_averages(spark, sf_dir):
     """The averages of many flows come from one pass over them."""
     plan = entry.queries()["w10_all_ewmas"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "MapGroupsInArrow" not in plan
+
+
+def test_what_a_step_of_windows_holds_is_small():
+    """A long stream leaves in steps of at most 16,384 rows, since wide rows of a step are held several times over."""
+    n = 40_000
+    table = pa.table({"f": np.arange(n) // 50, "i": np.arange(n) % 50, "arrival_us": np.arange(n), "w": np.ones(n)})
+    out = list(win.stream_starts(iter(table.to_batches(max_chunksize=1000)), [8], ["f"], "i", "w", False, []))
+    assert max(b.num_rows for b in out) <= 16_384 and sum(b.num_rows for b in out) == n
