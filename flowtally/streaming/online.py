@@ -29,6 +29,7 @@ empty batch changes nothing.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import add
@@ -168,22 +169,34 @@ def in_order(frames: Iterator[pd.DataFrame], key: list[str], columns: list[str])
 # Round trips --------------------------------------------------------------------------
 
 RECEIVED, SENT = 0, 1
-PACKET = [("arrival_us", "long"), ("tsecr", "long"), ("seq", "long"), ("payload_b", "long"), ("wire_b", "long"), ("rtt_us", "double")]
+CARRIED = ["seq", "payload_b", "wire_b"]
+
+
+def longs(values: np.ndarray) -> array:
+    """Whole numbers as one block of bytes, which goes to the state as it is; a list is pickled number by number."""
+    return array("l", np.ascontiguousarray(values, np.int64).tobytes())
+
+
+def trip_fields(key: list[str], carry: list[str]) -> list[tuple[str, str]]:
+    """Names and types of what ``round_trips`` gives."""
+    return [*((c, "long") for c in [*key, "arrival_us", "tsecr", *carry]), ("rtt_us", "double")]
 
 
 class RoundTrips(StatefulProcessor):
     """For a part of the flows, when each flow last sent each TSval; one row for each received packet.
 
     All flows of a part are matched at once.  What they sent lies in ``slots`` rows of the state by TSval,
-    so a batch reads and writes at most that many rows, however many packets it brings.
+    so a batch reads and writes at most that many rows, however many packets it brings.  A row is blocks of numbers;
+    ``NONE`` marks unknown keys.
     """
 
-    def __init__(self, key: list[str], keep_s: float, slots: int) -> None:
+    def __init__(self, key: list[str], keep_s: float, slots: int, carry: list[str] = CARRIED) -> None:
         self.key, self.keep_ms, self.slots = key, int(keep_s * 1000), slots
+        self.names, self.fields = [*key, NONE, "tsval", "sent_us"], trip_fields(key, carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sent = handle.getMapState("sent", "slot int", ", ".join(f"{c} array<long>" for c in [*self.key, "tsval", "sent_us"]))
+        self.sent = handle.getMapState("sent", "slot int", ", ".join(f"{c} array<long>" for c in self.names))
 
     def slot(self, tsvals: pd.Series) -> np.ndarray:
         v = tsvals.to_numpy(np.int64)
@@ -191,8 +204,10 @@ class RoundTrips(StatefulProcessor):
 
     def frame(self, values: list[tuple]) -> pd.DataFrame:
         """Sends of some slots."""
-        names = [*self.key, "tsval", "sent_us"]
-        return pd.DataFrame({n: pd.array([x for v in values for x in v[i]], "Int64") for i, n in enumerate(names)})
+        held = {n: np.concatenate([np.zeros(0, np.int64), *(np.asarray(v[i], np.int64) for v in values)]) for i, n in enumerate(self.names)}
+        none = held.pop(NONE)
+        unknown = {c: none >> i & 1 == 1 for i, c in enumerate(self.key)}
+        return pd.DataFrame({n: pd.arrays.IntegerArray(x, unknown.get(n, np.zeros(len(x), bool))) for n, x in held.items()})
 
     def remembered(self, tsvals: pd.Series) -> pd.DataFrame:
         """What is held in the slots of these TSvals."""
@@ -204,9 +219,10 @@ class RoundTrips(StatefulProcessor):
         sends = sends.assign(slot=self.slot(sends["tsval"])).sort_values("slot", kind="stable")
         slot = sends["slot"].to_numpy()
         starts = np.flatnonzero(np.diff(slot, prepend=-1))
-        columns = [sends[n].astype(object).where(sends[n].notna(), None).tolist() for n in [*self.key, "tsval", "sent_us"]]
+        held = {n: sends[n].to_numpy(np.int64, na_value=0) for n in self.names if n != NONE}
+        held[NONE] = sum(sends[c].isna().to_numpy().astype(np.int64) << i for i, c in enumerate(self.key))
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(slot)]):
-            self.sent.updateValue((int(slot[i]),), tuple(c[i:j] for c in columns))
+            self.sent.updateValue((int(slot[i]),), tuple(longs(held[n][i:j]) for n in self.names))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("arrival_us", kind="stable", ignore_index=True)
@@ -237,7 +253,7 @@ class RoundTrips(StatefulProcessor):
             if not any(True for _ in self.handle.listTimers()):
                 self.handle.registerTimer(int(sends["arrival_us"].min() // 1000) + self.keep_ms)
         if len(got):
-            yield typed(got.assign(rtt_us=rtts), [*((c, "long") for c in self.key), *PACKET])
+            yield typed(got.assign(rtt_us=rtts), self.fields)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """Forgets what was sent longer than ``keep_s`` before the watermark; looks again when the oldest of the rest is due."""
@@ -249,7 +265,7 @@ class RoundTrips(StatefulProcessor):
                 gone.append(slot)
                 continue
             if len(kept) < len(sent_us):
-                self.sent.updateValue((slot,), tuple([v[i] for i in kept] for v in values))
+                self.sent.updateValue((slot,), tuple(longs(np.asarray(v, np.int64)[kept]) for v in values))
             least = int(sent_us[kept].min())
             oldest = least if oldest is None else min(oldest, least)
         if oldest is None:
@@ -264,18 +280,18 @@ class RoundTrips(StatefulProcessor):
         pass
 
 
-def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600, parts: int = 256, slots: int = 128) -> DataFrame:
+def round_trips(packets: DataFrame, key: list[str] = ["sender_port"], keep_s: float = 3600, parts: int = 256, slots: int = 128, carry: list[str] = CARRIED) -> DataFrame:
     """Every received packet with the time since the last send before it of the TSval it echoes, null without one.
 
     ``packets`` is a ``watched`` stream of both directions: key, direction (0 received, 1 sent), arrival_us,
-    tsval, tsecr, seq, payload_b, wire_b.  Sends are remembered until ``keep_s`` behind the watermark.
+    tsval, tsecr, and what a received packet carries on (``carry``).  Sends are remembered until ``keep_s`` behind the watermark.
     A packet that comes in an earlier batch than a send before it has no RTT from it.
     Flows are dealt to ``parts`` keys of the state; neither number may change while a stream has state.
     """
-    schema = ", ".join(f"{n} {k}" for n, k in [*((c, "long") for c in key), *PACKET])
+    schema = ", ".join(f"{n} {k}" for n, k in trip_fields(key, carry))
     part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part")
-    rows = packets.select(part, *key, "direction", "arrival_us", "tsval", "tsecr", "seq", "payload_b", "wire_b")
-    return rows.groupBy("part").transformWithStateInPandas(RoundTrips(key, keep_s, slots), schema, "Append", "EventTime", eventTimeColumnName="")
+    rows = packets.select(part, *key, "direction", "arrival_us", "tsval", "tsecr", *carry)
+    return rows.groupBy("part").transformWithStateInPandas(RoundTrips(key, keep_s, slots, carry), schema, "Append", "EventTime", eventTimeColumnName="")
 
 
 # Flows --------------------------------------------------------------------------------
